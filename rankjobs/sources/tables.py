@@ -105,8 +105,8 @@ def read_csv(
         .csv(path)
     )
     first = raw.columns[0] if raw.columns else ""
-    if first.startswith("﻿"):
-        raw = raw.withColumnRenamed(first, first.lstrip("﻿"))
+    if first.startswith("\ufeff"):
+        raw = raw.withColumnRenamed(first, first.lstrip("\ufeff"))
     wanted = [f.name for f in schema.fields] if schema else raw.columns
     require_columns(raw, required or wanted, path)
 
