@@ -61,25 +61,36 @@ def resolve_links(raw: DataFrame, bugs: DataFrame, testcases: DataFrame, validat
     return links
 
 
-def build_master(raw: DataFrame, bugs: DataFrame, testcases: DataFrame, validate: bool = False) -> DataFrame:
+def build_master(
+    raw: DataFrame,
+    bugs: DataFrame,
+    testcases: DataFrame,
+    *,
+    unique_ids: bool = True,
+    validate: bool = False,
+) -> DataFrame:
     """The denormalised link table. Links that differ only in type fall together.
 
     The inner joins already drop dangling links, and the type is not part of the
-    result, so the pairs are made distinct before any wide column is attached.
+    result, so the narrow pairs are made distinct before any wide column is
+    attached. With ``unique_ids=False`` the two item tables may repeat rows; they
+    are then made distinct first, which gives the same rows as doing it at the end.
     """
     require_columns(bugs, [c for c in schemas.MASTER.fieldNames() if c.startswith("bug_")], "bugs")
     require_columns(testcases, [c for c in schemas.MASTER.fieldNames() if c.startswith("testcase_")], "test cases")
-    pairs = both_directions(raw).select("bug_id", "testcase_id").distinct()
-    bug_side = bugs.select("bug_id", *BUG_TEXT).withColumn("bug_id", to_id("bug_id"))
-    testcase_side = testcases.select("testcase_id", "testcase_title", "testcase_description", "test_steps").withColumn(
-        "testcase_id", to_id("testcase_id")
+    bug_side = bugs.select(to_id("bug_id").alias("bug_id"), *BUG_TEXT)
+    testcase_side = testcases.select(
+        to_id("testcase_id").alias("testcase_id"), "testcase_title", "testcase_description", "test_steps"
     )
-    # repeated rows of an input table would repeat master rows, which are distinct
+    if not unique_ids:
+        bug_side, testcase_side = bug_side.distinct(), testcase_side.distinct()
     master = (
-        pairs.join(bug_side.distinct(), "bug_id")
-        .join(testcase_side.distinct(), "testcase_id")
+        both_directions(raw)
+        .select("bug_id", "testcase_id")
+        .distinct()
+        .join(bug_side, "bug_id")
+        .join(testcase_side, "testcase_id")
         .select(*schemas.MASTER.fieldNames())
-        .dropna(subset=["bug_id", "testcase_id"])
     )
     if validate and master.isEmpty():
         raise ValueError("no link joins a known bug to a known test case")
@@ -148,31 +159,3 @@ def dangling_links(raw: DataFrame, bugs: DataFrame, testcases: DataFrame) -> Dat
         .groupBy("status")
         .agg(F.sum("n").alias("links"))
     )
-
-
-def testcase_pairs(links: DataFrame) -> DataFrame:
-    """How many bugs two test cases share, for every pair that shares one.
-
-    The number of pairs of a bug is quadratic in its degree, so a bug that many
-    test cases hang on is spread: its links get a salt on one side and all salts
-    on the other, and each task emits a slice of its pairs. Counts are partial
-    before they are shuffled. Nothing is dropped.
-    """
-    links = links.select("bug_id", "testcase_id").distinct()
-    per_salt = 1000
-    degree = links.groupBy("bug_id").agg(F.count(F.lit(1)).alias("degree")).filter("degree > 1")
-    sized = links.join(degree, "bug_id").withColumn("salts", F.ceil(F.col("degree") / per_salt).cast("int"))
-    left = sized.select(
-        "bug_id",
-        F.pmod(F.xxhash64("testcase_id"), F.col("salts")).cast("int").alias("salt"),
-        F.col("testcase_id").alias("testcase_a"),
-    )
-    right = sized.select(
-        "bug_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("testcase_id").alias("testcase_b")
-    )
-    return (
-        left.join(right, ["bug_id", "salt"])
-        .filter("testcase_a < testcase_b")
-        .groupBy("testcase_a", "testcase_b")
-        .agg(F.count(F.lit(1)).alias("shared_bugs"))
-    )

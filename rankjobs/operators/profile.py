@@ -58,21 +58,16 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between the smallest and the largest value, the last one closed.
 
-    Values are counted before the range is known, so the table is read once; the
-    one-row range then meets one row per distinct value.
+    The two ends of the range come to the driver, the values do not.
     """
     counted = df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v is not null")
-    everything = F.struct("v", "n")
-    ranged = counted.agg(
-        F.min("v").alias("low"), F.max("v").alias("high"), F.collect_list(everything).alias("cells")
-    ).select("low", "high", F.explode("cells").alias("c"))
-    width = (F.col("high") - F.col("low")) / bins
-    bin_no = F.when(width > 0, F.least(F.floor((F.col("c.v") - F.col("low")) / width), F.lit(bins - 1))).otherwise(
-        F.lit(0)
-    )
+    low, high = counted.agg(F.min("v"), F.max("v")).first()
+    width = (high - low) / bins if low is not None and high > low else 1.0
+    bin_no = F.least(F.floor((F.col("v") - F.lit(low)) / width), F.lit(bins - 1))
     return (
-        ranged.groupBy(bin_no.cast("int").alias("bin"), F.round(F.col("low") + bin_no * width, 6).alias("bin_start"))
-        .agg(F.sum("c.n").alias("n"))
+        counted.groupBy(bin_no.cast("int").alias("bin"))
+        .agg(F.sum("n").alias("n"))
+        .withColumn("bin_start", F.round(F.lit(low) + F.col("bin") * width, 6))
     )
 
 
