@@ -55,18 +55,28 @@ def cut_rows(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
     return rows[keep], ids[keep], values[keep]
 
 
-def grid_join(queries: DataFrame, corpus: DataFrame, blocks_per_group: int = 16, tasks: int | None = None) -> DataFrame:
+def grid_join(
+    queries: DataFrame,
+    corpus: DataFrame,
+    query_blocks: int,
+    corpus_blocks: int,
+    *,
+    blocks_per_group: int = 16,
+    blocks_per_shard: int = 64,
+) -> DataFrame:
     """Every query block next to every corpus block, spread over tasks.
 
-    Both inputs hold one row per block with a ``block_id``. Columns come back with
-    the prefixes ``q_`` and ``c_``.
+    Both inputs hold one row per block with a ``block_id``; the two counts size the
+    grid. Columns come back with the prefixes ``q_`` and ``c_``. The query side of a
+    grid cell is what a task buffers, the corpus side streams through.
     """
-    spark = queries.sparkSession
-    groups = max(1, math.ceil(queries.count() / blocks_per_group))
-    corpus_blocks = corpus.count()
-    tasks = tasks or 2 * spark.sparkContext.defaultParallelism
-    shards = max(1, min(corpus_blocks, math.ceil(tasks / groups) if groups < tasks else math.ceil(corpus_blocks / 64)))
-    cells = min(shards * groups, 4 * tasks * max(1, math.ceil(corpus_blocks / 4096)))
+    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, math.ceil(query_blocks / blocks_per_group))
+    shards = max(math.ceil(tasks / groups), math.ceil(corpus_blocks / blocks_per_shard))
+    shards = max(1, min(shards, corpus_blocks))
+    cells = shards * groups
+    # few cells would collide in as many hash partitions, many cells even out
+    partitions = cells if cells >= 4 * tasks else 4 * cells
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
@@ -84,7 +94,7 @@ def grid_join(queries: DataFrame, corpus: DataFrame, blocks_per_group: int = 16,
     # the number of partitions is given: the work per byte is high, and adaptive
     # coalescing by bytes would put all of it into one task
     keys = ("grid_column", "grid_row")
-    return right.repartition(cells, *keys).join(left.repartition(cells, *keys), list(keys))
+    return right.repartition(partitions, *keys).join(left.repartition(partitions, *keys).hint("merge"), list(keys))
 
 
 def score_blocks(

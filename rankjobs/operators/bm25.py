@@ -267,7 +267,7 @@ def bm25_top_k(
             matrix[matrix == 0] = -np.inf
         return query_ids, item_ids, matrix
 
-    pairs = blocks.grid_join(weighted, corpus)
+    pairs = blocks.grid_join(weighted, corpus, packed.count(), index.blocks.count())
     return blocks.merge_top_k(blocks.score_blocks(pairs, score, k), k, "bm25_rank").select(
         "query_id", F.col("item_id").alias("bug_id"), F.col("score").alias("bm25_score"), "bm25_rank"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +75,12 @@ def dense_top_k(
         return query_ids, item_ids, q @ c.T
 
     k = top_k(k)
-    pairs = blocks.grid_join(pack_vectors(queries, query_id, block_rows), pack_vectors(corpus, item_id, block_rows))
+    pairs = blocks.grid_join(
+        pack_vectors(queries, query_id, block_rows),
+        pack_vectors(corpus, item_id, block_rows),
+        math.ceil(queries.count() / block_rows),
+        math.ceil(corpus.count() / block_rows),
+    )
     return blocks.merge_top_k(blocks.score_blocks(pairs, score, k), k, "raw_rank").select(
         "query_id", F.col("item_id").alias("bug_id"), F.col("score").alias("dense_score"), "raw_rank"
     )
