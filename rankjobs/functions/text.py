@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Unicode classes, spelt out because Java's short classes are ASCII-only and
 # lack the four separator control characters.
@@ -41,7 +42,7 @@ def is_blank(value: Column | str) -> Column:
     return F.coalesce(strip(value), F.lit("")) == ""
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if v is not None and "&" in v else v)
 

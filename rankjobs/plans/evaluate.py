@@ -47,17 +47,18 @@ def evaluated_queries(metadata: DataFrame, truth: DataFrame) -> DataFrame:
 
 def leave_one_out_lists(
     metadata: DataFrame,
+    query_vectors: DataFrame,
     corpus: Corpus,
     scorer: rerank.Scorer | None = None,
     config: RecommendConfig = RecommendConfig(),
 ) -> DataFrame:
     """The ranked lists of the four methods for every bug, long form with ``method``.
 
-    Each text is embedded and retrieved once, at the largest depth; the shallow list
-    is a cut of the deep one. The candidates are staged, since four methods use them.
+    ``query_vectors`` are those of the same bugs as queries. Each text is retrieved
+    once, at the largest depth; the shallow list is a cut of the deep one. The
+    candidates are staged, since four methods use them.
     """
     queries = metadata.select(F.col("bug_id").alias("query_id"), F.col("bug_text_enriched").alias("query_text"))
-    query_vectors = corpus.vectors.select(F.col("bug_id").alias("query_id"), "embedding")
     depth = max(config.bugs, config.hybrid_bugs)
     near = stage(dense.dense_top_k(query_vectors, corpus.vectors, depth), "dense-lists")
     words = bm25.bm25_top_k(None, corpus.index, depth, exclude_self=True)
