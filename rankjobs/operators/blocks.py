@@ -101,6 +101,7 @@ def score_blocks(
     pairs: DataFrame,
     score: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, np.ndarray]],
     k: int,
+    decimals: int = SCORE_DECIMALS,
 ) -> DataFrame:
     """Run ``score(batch, row)`` on every block pair and keep the best k per query and task.
 
@@ -126,7 +127,7 @@ def score_blocks(
                     yield from flush()
                     cell = here
                 query_ids, item_ids, matrix = score(batch, i)
-                rows, ids, values = best_rows(np.round(matrix, SCORE_DECIMALS), item_ids, k)
+                rows, ids, values = best_rows(np.round(matrix, decimals), item_ids, k)
                 if block_ids[i] in best:
                     _, old_rows, old_ids, old_values = best[block_ids[i]]
                     rows, ids, values = cut_rows(

@@ -34,6 +34,8 @@ BLOCK = (
     "block_id bigint, ids array<bigint>, lengths array<int>, terms array<string>, doc_freq array<int>,"
     " post_term array<int>, post_doc array<int>, post_tf array<int>"
 )
+# A long query can reach 10^5, where a double keeps ten decimals at best.
+BM25_DECIMALS = 6
 MAX_DENSE_TERMS = 512
 MAX_SPARSE_CHUNK = 1 << 22
 
@@ -268,7 +270,7 @@ def bm25_top_k(
         return query_ids, item_ids, matrix
 
     pairs = blocks.grid_join(weighted, corpus, packed.count(), index.blocks.count())
-    return blocks.merge_top_k(blocks.score_blocks(pairs, score, k), k, "bm25_rank").select(
+    return blocks.merge_top_k(blocks.score_blocks(pairs, score, k, BM25_DECIMALS), k, "bm25_rank").select(
         "query_id", F.col("item_id").alias("bug_id"), F.col("score").alias("bm25_score"), "bm25_rank"
     )
 

@@ -23,7 +23,7 @@ def label_eval(spark, sf):
     truth = links.select(F.col("bug_id").alias("query_id"), "testcase_id")
     asked = evaluate.evaluated_queries(vectors.withColumnRenamed("vec_id", "bug_id"), truth)
     out = evaluate.metrics_per_query(lists, truth, asked)
-    return out.withColumn("mrr", F.round("mrr", 6))
+    return out.withColumn("mrr", F.round("mrr", 9))
 
 
 def _leave_one_out(spark, sf):
@@ -41,13 +41,13 @@ def _leave_one_out(spark, sf):
 def eval_metrics(spark, sf):
     _, _, lists, truth, asked = _leave_one_out(spark, sf)
     out = evaluate.evaluate(lists, truth, asked)
-    return out.withColumn("mrr", F.round("mrr", 6))
+    return out.withColumn("mrr", F.round("mrr", 9))
 
 
 def eval_summary(spark, sf):
     _, _, lists, truth, asked = _leave_one_out(spark, sf)
     out = evaluate.summary(evaluate.evaluate(lists, truth, asked))
-    return out.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in out.columns if c not in ("method", "queries")})
+    return out.withColumns({c: F.round(F.col(f"`{c}`"), 9) for c in out.columns if c not in ("method", "queries")})
 
 
 def _per_bug(spark, sf, use_reranker=True):
@@ -70,7 +70,7 @@ def eval_per_bug(spark, sf):
     _, _, table = _per_bug(spark, sf)
     score = [F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5).alias(c) for c in ("retrieval_scores", "reranker_scores", "final_scores")]
     return table.select(
-        "bug_id", *map(_listed, _ID_LISTS), *(f"hit@{k}" for k in evaluate.CUTOFFS), F.round("mrr", 6).alias("mrr"), "ranking_method", *score
+        "bug_id", *map(_listed, _ID_LISTS), *(f"hit@{k}" for k in evaluate.CUTOFFS), F.round("mrr", 9).alias("mrr"), "ranking_method", *score
     )
 
 
@@ -131,7 +131,7 @@ def _grid(spark, sf):
 
 def _grid_columns(df):
     names = [f"hit@{k}" for k in evaluate.CUTOFFS] + ["mrr"]
-    return df.select("n", "experiment_name", *(F.round(F.col(f"`{c}`"), 6).alias(c) for c in names), "improved", "status")
+    return df.select("n", "experiment_name", *(F.round(F.col(f"`{c}`"), 9).alias(c) for c in names), "improved", "status")
 
 
 def grid_results(spark, sf):
@@ -305,7 +305,7 @@ def _grid_sql() -> dict[str, str]:
     return ctes
 
 
-_GRID_OUT = ", ".join(["n", "experiment_name", *(f'round("{c}", 6) AS "{c}"' for c in ("hit@1", "hit@3", "hit@5", "hit@10", "mrr")), "improved", "status"])
+_GRID_OUT = ", ".join(["n", "experiment_name", *(f'round("{c}", 9) AS "{c}"' for c in ("hit@1", "hit@3", "hit@5", "hit@10", "mrr")), "improved", "status"])
 _GRID_ORDER = 'ORDER BY done."hit@1" DESC, done."hit@5" DESC, done.mrr DESC, n'
 _GRID_SQL = _grid_sql()
 
@@ -322,7 +322,7 @@ QUERIES = {
                 AND v.testcase_id = l.testcase_id""",
             },
             """SELECT query_id, coalesce((r <= 1)::INT, 0) AS "hit@1", coalesce((r <= 3)::INT, 0) AS "hit@3", coalesce((r <= 5)::INT, 0) AS "hit@5",
-            coalesce((r <= 10)::INT, 0) AS "hit@10", round(coalesce(1.0::DOUBLE / r, 0), 6) AS mrr FROM hits""",
+            coalesce((r <= 10)::INT, 0) AS "hit@10", round(coalesce(1.0::DOUBLE / r, 0), 9) AS mrr FROM hits""",
         ),
     ),
     "eval_metrics": (
@@ -330,7 +330,7 @@ QUERIES = {
         m.with_ctes(
             ("metadata",),
             _BOTH,
-            'SELECT method, query_id, "hit@1", "hit@3", "hit@5", "hit@10", round(mrr, 6) AS mrr FROM metrics',
+            'SELECT method, query_id, "hit@1", "hit@3", "hit@5", "hit@10", round(mrr, 9) AS mrr FROM metrics',
         ),
     ),
     "eval_summary": (
@@ -339,7 +339,7 @@ QUERIES = {
             ("metadata",),
             _BOTH,
             "SELECT method, count(*) AS queries, "
-            + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in ("hit@1", "hit@3", "hit@5", "hit@10", "mrr"))
+            + ", ".join(f'round(avg("{c}"), 9) AS "{c}"' for c in ("hit@1", "hit@3", "hit@5", "hit@10", "mrr"))
             + " FROM metrics GROUP BY method",
         ),
     ),
@@ -352,7 +352,7 @@ QUERIES = {
             """
             + ", ".join(f"coalesce({c}, '') AS {c}" for c in _ID_LISTS[1:5])
             + """, coalesce(hybrid_reranked_predicted_testcases, '') AS predicted_testcases, "hit@1", "hit@3", "hit@5", "hit@10",
-            round(mrr, 6) AS mrr, 'hybrid+reranked' AS ranking_method, round(coalesce(retrieval_scores, 0), 5) AS retrieval_scores,
+            round(mrr, 9) AS mrr, 'hybrid+reranked' AS ranking_method, round(coalesce(retrieval_scores, 0), 5) AS retrieval_scores,
             round(coalesce(reranker_scores, 0), 5) AS reranker_scores, round(coalesce(final_scores, 0), 5) AS final_scores
             FROM expected e JOIN metrics x ON x.query_id = e.query_id AND x.method = 'hybrid_reranked' LEFT JOIN predictions p ON p.query_id = e.query_id""",
         ),

@@ -315,7 +315,7 @@ def sql_bm25(name: str, prefix: str, queries: str, k: int, exclude_self: bool) -
             SELECT id, lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))) AS t FROM {queries}) GROUP BY ALL""",
         f"{name}_weights": f"""SELECT p.id, p.t, i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.n / s.mean_length)) AS w
             FROM {prefix}_tf p JOIN {prefix}_idf i ON i.t = p.t JOIN {prefix}_len l ON l.id = p.id, {prefix}_size s""",
-        f"{name}_scores": f"""SELECT q.id AS query_id, p.id AS bug_id, round(sum(q.qtf * p.w), 9) AS bm25_score
+        f"{name}_scores": f"""SELECT q.id AS query_id, p.id AS bug_id, round(sum(q.qtf * p.w), 6) AS bm25_score
             FROM {name}_qtf q JOIN {name}_weights p ON p.t = q.t {skip} GROUP BY ALL""",
         name: f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, bug_id) AS bm25_rank
             FROM {name}_scores WHERE bm25_score <> 0) WHERE bm25_rank <= {k}""",

@@ -13,7 +13,7 @@ from rankjobs.sources.artifacts import stage
 
 
 def _rounded(df, *names):
-    return df.withColumns({c: F.round(c, 6) for c in names})
+    return df.withColumns({c: F.round(c, 9) for c in names})
 
 
 def _neighbours(spark, sf):
@@ -101,7 +101,7 @@ def similar_bugs(spark, sf):
     corpus = m.corpus(spark, sf, m.metadata(spark, sf))
     queries = _passage_queries(spark, sf)
     found = rec.similar_bugs(queries, m.vectorize_queries(queries), corpus, rec.RecommendConfig())
-    return _rounded(found.withColumn("hybrid_score", F.round("hybrid_score", 9)), "dense_score", "bm25_score")
+    return _rounded(found.withColumn("hybrid_score", F.round("hybrid_score", 9)), "dense_score")
 
 
 def recommend_reranked(spark, sf):
@@ -154,11 +154,11 @@ def rerank_eval_sql(source: str, queries: str, by: str = "query_id") -> dict[str
 
 
 _ENRICHED_QUERIES = f"SELECT bug_id AS id, {m.sql_enriched(*m.BUG_FIELDS_SQL)} AS text FROM bugs"
-_RERANKED = """SELECT query_id, testcase_id, testcase_title, round(aggregated_score, 6) AS aggregated_score, supporting_bug_count,
-    round(retrieval_norm, 6) AS retrieval_norm, round(reranker_score, 6) AS reranker_score, round(reranker_norm, 6) AS reranker_norm,
-    round(final_score, 6) AS final_score, 'reranked' AS ranking_method, rank FROM reranked"""
-_POSITION = """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 6) AS similarity_sum, support_count,
-    round(rank_bonus, 6) AS rank_bonus, round(final_score, 6) AS final_score, rank FROM"""
+_RERANKED = """SELECT query_id, testcase_id, testcase_title, round(aggregated_score, 9) AS aggregated_score, supporting_bug_count,
+    round(retrieval_norm, 9) AS retrieval_norm, round(reranker_score, 9) AS reranker_score, round(reranker_norm, 9) AS reranker_norm,
+    round(final_score, 9) AS final_score, 'reranked' AS ranking_method, rank FROM reranked"""
+_POSITION = """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 9) AS similarity_sum, support_count,
+    round(rank_bonus, 9) AS rank_bonus, round(final_score, 9) AS final_score, rank FROM"""
 _PASSAGES = f"SELECT item_id AS id, {m.sql_enriched('text', chr(39) * 2, chr(39) * 2, chr(39) * 2)} AS text FROM benchmark"
 
 
@@ -183,7 +183,7 @@ QUERIES = {
         m.with_ctes(
             ("vectors", "vote_links"),
             {**_NEAR, **m.sql_vote_score("v", "neighbours", "vote_links")},
-            """SELECT query_id, testcase_id, testcase_title, round(aggregated_score, 6) AS aggregated_score, supporting_bug_count, rank FROM v""",
+            """SELECT query_id, testcase_id, testcase_title, round(aggregated_score, 9) AS aggregated_score, supporting_bug_count, rank FROM v""",
         ),
     ),
     "vote_c": (
@@ -191,8 +191,8 @@ QUERIES = {
         m.with_ctes(
             ("vectors", "vote_links"),
             {**_NEAR, **_VOTE_C},
-            """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 6) AS similarity_sum, support_count,
-            round(rank_bonus, 6) AS rank_bonus, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY query_id
+            """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 9) AS similarity_sum, support_count,
+            round(rank_bonus, 9) AS rank_bonus, round(final_score, 9) AS final_score, row_number() OVER (PARTITION BY query_id
             ORDER BY scored.final_score DESC, scored.similarity_sum DESC, support_count DESC, testcase_id) AS rank FROM scored""",
         ),
     ),
@@ -207,7 +207,7 @@ QUERIES = {
                 FROM neighbours n JOIN weights USING (bug_id) JOIN testcases t USING (testcase_id) GROUP BY ALL""",
                 "ranked": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY candidate_score DESC, testcase_id) AS rank FROM sums""",
             },
-            "SELECT query_id, testcase_id, testcase_title, round(candidate_score, 6) AS candidate_score, rank FROM ranked WHERE rank <= 10",
+            "SELECT query_id, testcase_id, testcase_title, round(candidate_score, 9) AS candidate_score, rank FROM ranked WHERE rank <= 10",
         ),
     ),
     "pair_overlap": (
@@ -219,7 +219,7 @@ QUERIES = {
                 "pairs": "SELECT bug_id AS query_id, testcase_id, testcase_title FROM vote_links",
                 **_overlap_sql("pairs", "queries"),
             },
-            "SELECT query_id, testcase_id, testcase_title, round(raw_score, 6) AS raw_score FROM overlap",
+            "SELECT query_id, testcase_id, testcase_title, round(raw_score, 9) AS raw_score FROM overlap",
         ),
     ),
     "rerank_eval": (
@@ -249,9 +249,9 @@ QUERIES = {
                 AS final_score FROM normed""",
                 "ranked": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, testcase_id) AS rank FROM fused_scores",
             },
-            """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 6) AS similarity_sum, support_count,
-            round(reranker_score, 6) AS reranker_score, round(retrieval_score, 6) AS retrieval_score,
-            round(final_score, 6) AS final_score, 'reranked' AS ranking_method, rank FROM ranked WHERE rank <= 10""",
+            """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 9) AS similarity_sum, support_count,
+            round(reranker_score, 9) AS reranker_score, round(retrieval_score, 9) AS retrieval_score,
+            round(final_score, 9) AS final_score, 'reranked' AS ranking_method, rank FROM ranked WHERE rank <= 10""",
         ),
     ),
     "recommend": (
@@ -277,7 +277,7 @@ QUERIES = {
         m.with_ctes(
             ("metadata",),
             recommend_ctes(_PASSAGES),
-            """SELECT query_id, bug_id, round(dense_score, 6) AS dense_score, dense_rank, round(bm25_score, 6) AS bm25_score, bm25_rank,
+            """SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, dense_rank, bm25_score, bm25_rank,
             round(hybrid_score, 9) AS hybrid_score, hybrid_rank FROM fused""",
         ),
     ),

@@ -11,7 +11,7 @@ from rankjobs.sources.artifacts import stage
 
 
 def _rounded(df, *names):
-    return df.withColumns({c: F.round(c, 6) for c in names})
+    return df.withColumns({c: F.round(c, 9) for c in names})
 
 
 def _vector_sides(spark, sf):
@@ -56,12 +56,12 @@ def bm25_idf(spark, sf):
 
 def bm25_topk(spark, sf):
     queries = m.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return _rounded(bm25.bm25_top_k(queries, _document_index(spark, sf), 10), "bm25_score")
+    return _rounded(bm25.bm25_top_k(queries, _document_index(spark, sf), 10))
 
 
 def bm25_self(spark, sf):
     """Every document against all others."""
-    return _rounded(bm25.bm25_top_k(None, _document_index(spark, sf), 10, exclude_self=True), "bm25_score")
+    return _rounded(bm25.bm25_top_k(None, _document_index(spark, sf), 10, exclude_self=True))
 
 
 def bm25_passage_hits(spark, sf):
@@ -113,7 +113,7 @@ def rrf(spark, sf):
     near = dense.dense_neighbours(queries, corpus.vectors, 10)
     words = bm25.bm25_top_k(None, corpus.index, 10, exclude_self=True)
     fused = fuse.rrf(near, words, 10).withColumn("hybrid_score", F.round("hybrid_score", 9))
-    return _rounded(fused, "dense_score", "bm25_score")
+    return _rounded(fused, "dense_score")
 
 
 _DOCS = {"docs": "SELECT doc_id AS id, text FROM documents", "items": "SELECT item_id AS id, text FROM benchmark"}
@@ -130,14 +130,14 @@ LINKED_SQL = {
 QUERIES = {
     "dense_topk": (
         dense_topk,
-        m.with_ctes(("vectors",), _NEAR, "SELECT query_id, bug_id, round(dense_score, 6) AS dense_score, raw_rank FROM near"),
+        m.with_ctes(("vectors",), _NEAR, "SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, raw_rank FROM near"),
     ),
     "dense_topk_excl": (
         dense_topk_excl,
         m.with_ctes(
             ("vectors",),
             {**_NEAR, "others": m.sql_without_self("near", 10)},
-            "SELECT query_id, bug_id, round(dense_score, 6) AS dense_score, raw_rank, dense_rank FROM others",
+            "SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, raw_rank, dense_rank FROM others",
         ),
     ),
     "dense_topk_others": (
@@ -145,7 +145,7 @@ QUERIES = {
         m.with_ctes(
             ("vectors",),
             {**_NEAR_DEEP, "others": m.sql_without_self("near", 11)},
-            "SELECT query_id, bug_id, round(dense_score, 6) AS dense_score, raw_rank, dense_rank FROM others WHERE dense_rank <= 10",
+            "SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, raw_rank, dense_rank FROM others WHERE dense_rank <= 10",
         ),
     ),
     "embed_tokens": (
@@ -162,17 +162,17 @@ QUERIES = {
         m.with_ctes(
             (),
             _STATS,
-            """SELECT s.n::BIGINT AS n_docs, round(s.mean_length, 6) AS mean_length, round(mean_idf, 6) AS mean_idf,
+            """SELECT s.n::BIGINT AS n_docs, round(s.mean_length, 9) AS mean_length, round(mean_idf, 9) AS mean_idf,
             (SELECT count(*) FROM c_df) AS terms, (SELECT count(*) FROM c_tf) AS postings FROM c_size s, c_mean""",
         ),
     ),
-    "bm25_idf": (bm25_idf, m.with_ctes((), _STATS, "SELECT t AS term, df, round(idf, 6) AS idf FROM c_idf")),
+    "bm25_idf": (bm25_idf, m.with_ctes((), _STATS, "SELECT t AS term, df, round(idf, 9) AS idf FROM c_idf")),
     "bm25_topk": (
         bm25_topk,
         m.with_ctes(
             (),
             {**_STATS, **m.sql_bm25("words", "c", "items", 10, False)},
-            "SELECT query_id, bug_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM words",
+            "SELECT query_id, bug_id, bm25_score, bm25_rank FROM words",
         ),
     ),
     "bm25_self": (
@@ -180,7 +180,7 @@ QUERIES = {
         m.with_ctes(
             (),
             {**_STATS, **m.sql_bm25("words", "c", "docs", 10, True)},
-            "SELECT query_id, bug_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM words",
+            "SELECT query_id, bug_id, bm25_score, bm25_rank FROM words",
         ),
     ),
     "bm25_passage_hits": (
@@ -195,7 +195,7 @@ QUERIES = {
                 LEFT JOIN words w ON w.query_id = t.query_id AND w.bug_id = t.doc_id GROUP BY 1""",
             },
             """SELECT query_id, coalesce((r <= 1)::INT, 0) AS "hit@1", coalesce((r <= 3)::INT, 0) AS "hit@3", coalesce((r <= 5)::INT, 0) AS "hit@5",
-            coalesce((r <= 10)::INT, 0) AS "hit@10", round(coalesce(1.0::DOUBLE / r, 0), 6) AS mrr FROM hits""",
+            coalesce((r <= 10)::INT, 0) AS "hit@10", round(coalesce(1.0::DOUBLE / r, 0), 9) AS mrr FROM hits""",
         ),
     ),
     "rrf": (
@@ -209,7 +209,7 @@ QUERIES = {
                 **m.sql_bm25("words", "c", "corpus", 10, True),
                 **m.sql_rrf("fused", "others", "words", 10),
             },
-            """SELECT query_id, bug_id, round(dense_score, 6) AS dense_score, dense_rank, round(bm25_score, 6) AS bm25_score, bm25_rank,
+            """SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, dense_rank, bm25_score, bm25_rank,
             round(hybrid_score, 9) AS hybrid_score, hybrid_rank FROM fused""",
         ),
     ),

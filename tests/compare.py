@@ -21,9 +21,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _cell(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return None if math.isnan(value) else value + 0.0
     if isinstance(value, int) and not isinstance(value, bool):
-        return round(float(value), 6)
+        return float(value)
     if isinstance(value, (list, tuple)):
         return tuple(_cell(v) for v in value)
     return value
