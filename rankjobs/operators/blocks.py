@@ -1,15 +1,18 @@
 """Queries against a corpus, in blocks.
 
 Exact ranking needs the score of every (query, item) pair, and the pairs must not
-become rows. So both sides are packed into blocks of bounded size, blocks meet by an
-equi-join on a grid, and each task keeps only its best k per query:
-
-- a corpus block lies in one of ``shards`` columns of the grid and is copied once
-  per query group; a query block lies in one of ``groups`` rows of it and is copied
-  once per shard. With few queries there is one group, and the corpus moves once.
-- No key of the data is a partitioning key, so a hot term, tag or copy group cannot
-  make a hot task.
-- What leaves a task is at most k rows per query and shard.
+become rows. So both sides are packed into blocks of bounded size, blocks meet, and
+each task keeps only its best k per query. How they meet depends on the checked size
+of the query side:
+
+- Up to ``BROADCAST_BYTES`` the query blocks are broadcast. The corpus is read once
+  where it lies and is not shuffled at all.
+- Beyond that, blocks meet by an equi-join on a grid. A corpus block lies in one of
+  ``shards`` columns and is copied once per query group; a query block lies in one of
+  ``groups`` rows and is copied once per shard.
+
+No key of the data is a partitioning key, so a hot term, tag or copy group cannot make
+a hot task. What leaves a task is at most k rows per query and grid cell.
 """
 
 from __future__ import annotations
@@ -26,9 +29,14 @@ from pyspark.sql.window import Window
 RESULT = "query_id bigint, item_id bigint, score double"
 RESULT_ARROW = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
+# The largest query side that is sent to every executor.
+BROADCAST_BYTES = 128 << 20
+
 # Scores are compared at this many decimals, so that equal rows tie whatever the
 # order was in which their terms were added up; ties go to the smaller id.
 SCORE_DECIMALS = 9
+# Weighted sums of such scores get more, so that rounding never meets an exact half.
+SUM_DECIMALS = 12
 
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,46 +63,52 @@ def cut_rows(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
     return rows[keep], ids[keep], values[keep]
 
 
-def grid_join(
+def meet(
     queries: DataFrame,
     corpus: DataFrame,
     query_blocks: int,
     corpus_blocks: int,
+    query_bytes: int,
     *,
     blocks_per_group: int = 16,
     blocks_per_shard: int = 64,
 ) -> DataFrame:
     """Every query block next to every corpus block, spread over tasks.
 
-    Both inputs hold one row per block with a ``block_id``; the two counts size the
-    grid. Columns come back with the prefixes ``q_`` and ``c_``. The query side of a
-    grid cell is what a task buffers, the corpus side streams through.
+    Both inputs hold one row per block with a ``block_id``. The counts size the grid,
+    and ``query_bytes`` is the size of the query side. Columns come back with the
+    prefixes ``q_`` and ``c_``.
     """
-    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, math.ceil(query_blocks / blocks_per_group))
-    shards = max(math.ceil(tasks / groups), math.ceil(corpus_blocks / blocks_per_shard))
-    shards = max(1, min(shards, corpus_blocks))
-    cells = shards * groups
-    # few cells would collide in as many hash partitions, many cells even out
-    partitions = cells if cells >= 4 * tasks else 4 * cells
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
-    left = (
-        named(queries, "q_")
-        .withColumn("grid_row", F.pmod(F.xxhash64("q_block_id"), F.lit(groups)).cast("int"))
-        .withColumn("grid_column", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left, right = named(queries, "q_"), named(corpus, "c_")
+    keys = ["grid_column", "grid_row"]
+    if query_bytes <= BROADCAST_BYTES:
+        # few long tasks, since each brings its best k rows per query to the final merge
+        right = right.coalesce(4 * queries.sparkSession.sparkContext.defaultParallelism)
+        one_cell = {key: F.lit(0) for key in keys}
+        return right.withColumns(one_cell).join(F.broadcast(left.withColumns(one_cell)), keys)
+
+    # Cells to even out over the cores, near square in bytes, since each side is copied
+    # along the other one. The query side of a cell is buffered, so it has a limit; the
+    # corpus side streams through.
+    cells = 8 * queries.sparkSession.sparkContext.defaultParallelism
+    groups = round(math.sqrt(cells * query_blocks / corpus_blocks))
+    groups = min(max(groups, math.ceil(query_blocks / blocks_per_group), 1), max(1, query_blocks))
+    shards = max(math.ceil(cells / groups), math.ceil(corpus_blocks / blocks_per_shard))
+    shards = max(1, min(shards, corpus_blocks))
+    left = left.withColumn("grid_row", F.pmod(F.xxhash64("q_block_id"), F.lit(groups)).cast("int")).withColumn(
+        "grid_column", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
-    right = (
-        named(corpus, "c_")
-        .withColumn("grid_column", F.pmod(F.xxhash64("c_block_id"), F.lit(shards)).cast("int"))
-        .withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = right.withColumn("grid_column", F.pmod(F.xxhash64("c_block_id"), F.lit(shards)).cast("int")).withColumn(
+        "grid_row", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
     # the number of partitions is given: the work per byte is high, and adaptive
     # coalescing by bytes would put all of it into one task
-    keys = ("grid_column", "grid_row")
-    return right.repartition(partitions, *keys).join(left.repartition(partitions, *keys).hint("merge"), list(keys))
+    partitions = shards * groups
+    return right.repartition(partitions, *keys).join(left.repartition(partitions, *keys).hint("merge"), keys)
 
 
 def score_blocks(

@@ -36,12 +36,13 @@ BLOCK = (
 )
 # A long query can reach 10^5, where a double keeps ten decimals at best.
 BM25_DECIMALS = 6
-MAX_DENSE_TERMS = 512
+# A term is multiplied as a dense column when it fills 1/256 of the score matrix.
+MAX_DENSE_TERMS = 1024
 MAX_SPARSE_CHUNK = 1 << 22
 
 
 def pack_texts(
-    texts: DataFrame, id_column: str, text: Column | str, block_rows: int = 1024, block_tokens: int = 1 << 20
+    texts: DataFrame, id_column: str, text: Column | str, block_rows: int = 2048, block_tokens: int = 1 << 20
 ) -> DataFrame:
     """Token counts of texts in blocks, made where the rows are read: no shuffle.
 
@@ -141,7 +142,7 @@ def term_frequencies(packed: DataFrame) -> DataFrame:
 
 
 def build_index(
-    corpus: DataFrame, item_id: str = "bug_id", text: Column | str = "bug_text_enriched", block_rows: int = 1024
+    corpus: DataFrame, item_id: str = "bug_id", text: Column | str = "bug_text_enriched", block_rows: int = 2048
 ) -> Bm25Index:
     """Pack and stage the corpus, and count its terms. Three numbers come to the driver."""
     packed = stage(pack_texts(corpus, item_id, text, block_rows), "bm25-blocks")
@@ -167,23 +168,27 @@ def statistics(index: Bm25Index) -> DataFrame:
 
 
 def _weighted_queries(packed: DataFrame, index: Bm25Index) -> DataFrame:
-    """Query blocks with the idf of their terms, 0 for a term the corpus lacks.
+    """Query blocks with ``(place, idf)`` of those of their terms that the corpus has.
 
     Terms are looked up once per block, not once per text, so a common term does
     not gather a row per text in one task.
     """
     wanted = packed.select("block_id", F.posexplode("terms").alias("place", "term"))
     weights = (
-        wanted.join(index.idf().select("term", "idf"), "term", "left")
+        wanted.join(index.idf().select("term", "idf"), "term")
         .groupBy("block_id")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("place", F.coalesce("idf", F.lit(0.0)).alias("idf")))),
-                lambda s: s["idf"],
-            ).alias("idf")
-        )
+        .agg(F.collect_list(F.struct("place", "idf")).alias("idf"))
     )
-    return packed.select("block_id", "ids", "terms", "post_term", "post_doc", "post_tf").join(weights, "block_id")
+    return packed.select("block_id", "ids", "terms", "post_term", "post_doc", "post_tf").join(weights, "block_id", "left")
+
+
+def packed_size(packed: DataFrame) -> tuple[int, int]:
+    """Number of blocks, and an upper estimate of their bytes."""
+    row = packed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.size("post_doc").cast("bigint") * 12 + F.size("ids") * 12 + F.size("terms") * 56).alias("bytes"),
+    ).first()
+    return row.n, row.bytes or 0
 
 
 def _product(q_term, q_doc, q_weight, q_rows, c_term, c_doc, c_weight, c_rows, n_terms) -> np.ndarray:
@@ -192,7 +197,7 @@ def _product(q_term, q_doc, q_weight, q_rows, c_term, c_doc, c_weight, c_rows, n
     c_count = np.bincount(c_term, minlength=n_terms)
     work = q_count * c_count
     heavy = np.argsort(-work)[:MAX_DENSE_TERMS]
-    heavy = heavy[work[heavy] * 64 > q_rows * c_rows]
+    heavy = heavy[work[heavy] * 256 > q_rows * c_rows]
     slot = np.full(n_terms, -1)
     slot[heavy] = np.arange(heavy.size)
     left, right = np.zeros((q_rows, heavy.size)), np.zeros((c_rows, heavy.size))
@@ -205,6 +210,7 @@ def _product(q_term, q_doc, q_weight, q_rows, c_term, c_doc, c_weight, c_rows, n
     first = np.concatenate(([0], np.cumsum(q_count)[:-1]))
     light = np.flatnonzero(~c_heavy & (q_count[c_term] > 0))
     ends = np.cumsum(q_count[c_term[light]])
+    row_start = q_doc * c_rows
     flat = scores.ravel()
     begin = 0
     while begin < light.size:
@@ -212,11 +218,11 @@ def _product(q_term, q_doc, q_weight, q_rows, c_term, c_doc, c_weight, c_rows, n
         stop = max(begin + 1, int(np.searchsorted(ends, done + MAX_SPARSE_CHUNK, side="right")))
         part = light[begin:stop]
         runs = q_count[c_term[part]]
-        repeated = np.repeat(part, runs)
-        within = np.arange(repeated.size) - np.repeat(np.cumsum(runs) - runs, runs)
-        met = first[c_term[repeated]] + within
-        cells = q_doc[met] * c_rows + c_doc[repeated]
-        flat += np.bincount(cells, weights=q_weight[met] * c_weight[repeated], minlength=flat.size)
+        before = ends[begin:stop] - done - runs
+        met = np.arange(int(runs.sum())) + np.repeat(first[c_term[part]] - before, runs)
+        cells = row_start[met] + np.repeat(c_doc[part], runs)
+        values = q_weight[met] * np.repeat(c_weight[part], runs)
+        flat += np.bincount(cells, weights=values, minlength=flat.size)
         begin = stop
     return scores
 
@@ -230,7 +236,7 @@ def bm25_top_k(
     text: Column | str = "query_text",
     exclude_self: bool = False,
     fill_zero: bool = False,
-    block_rows: int = 1024,
+    block_rows: int = 2048,
 ) -> DataFrame:
     """The k best corpus rows of every query, exactly: ``query_id, bug_id, bm25_score, bm25_rank``.
 
@@ -258,7 +264,10 @@ def bm25_top_k(
         dampen = K1 * (1 - B + B * values("c_lengths", np.float64) / mean_length)
         weight = tf * (K1 + 1) / (tf + dampen[c_doc])
         q_term, q_doc = values("q_post_term", np.int64), values("q_post_doc", np.int64)
-        idf = values("q_idf", np.float64)
+        known = batch.column("q_idf")[i].values
+        idf = np.zeros(len(batch.column("q_terms")[i].values))
+        if known is not None and len(known):
+            idf[known.field("place").to_numpy(zero_copy_only=False)] = known.field("idf").to_numpy(zero_copy_only=False)
         q_weight = values("q_post_tf", np.float64) * idf[q_term]
         matrix = _product(
             q_term, q_doc, q_weight, query_ids.size, c_term[shared], c_doc, weight, item_ids.size, idf.size
@@ -269,7 +278,8 @@ def bm25_top_k(
             matrix[matrix == 0] = -np.inf
         return query_ids, item_ids, matrix
 
-    pairs = blocks.grid_join(weighted, corpus, packed.count(), index.blocks.count())
+    query_blocks, query_bytes = packed_size(packed)
+    pairs = blocks.meet(weighted, corpus, query_blocks, max(1, index.blocks.count()), query_bytes)
     return blocks.merge_top_k(blocks.score_blocks(pairs, score, k, BM25_DECIMALS), k, "bm25_rank").select(
         "query_id", F.col("item_id").alias("bug_id"), F.col("score").alias("bm25_score"), "bm25_rank"
     )

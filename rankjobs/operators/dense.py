@@ -75,11 +75,13 @@ def dense_top_k(
         return query_ids, item_ids, q @ c.T
 
     k = top_k(k)
-    pairs = blocks.grid_join(
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    pairs = blocks.meet(
         pack_vectors(queries, query_id, block_rows),
         pack_vectors(corpus, item_id, block_rows),
-        math.ceil(queries.count() / block_rows),
-        math.ceil(corpus.count() / block_rows),
+        math.ceil(size.n / block_rows),
+        max(1, math.ceil(corpus.count() / block_rows)),
+        size.n * (8 + 4 * (size.dim or 0)),
     )
     return blocks.merge_top_k(blocks.score_blocks(pairs, score, k), k, "raw_rank").select(
         "query_id", F.col("item_id").alias("bug_id"), F.col("score").alias("dense_score"), "raw_rank"

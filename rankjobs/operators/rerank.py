@@ -22,9 +22,10 @@ Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    """Shared over all distinct tokens; two empty sides give 0."""
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    """Shared over all tokens of two sets; two empty sets give 0."""
+    shared = F.size(F.array_intersect(left, right))
+    union = F.size(left) + F.size(right) - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
 def token_overlap_scorer(pairs: DataFrame, queries: DataFrame) -> DataFrame:

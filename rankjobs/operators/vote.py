@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankjobs.functions.numeric import top_k
-from rankjobs.operators.blocks import SCORE_DECIMALS
+from rankjobs.operators.blocks import SCORE_DECIMALS, SUM_DECIMALS
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def weighted(tallied: DataFrame, weights: VoteWeights = VoteWeights()) -> DataFr
         + F.lit(weights.support) * F.col("support_count")
         + F.lit(weights.rank) * F.col("rank_bonus")
     )
-    return tallied.withColumn("final_score", _rounded(final))
+    return tallied.withColumn("final_score", F.round(final, SUM_DECIMALS))
 
 
 def ranked(scored: DataFrame, order_by: tuple[str, ...], k: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

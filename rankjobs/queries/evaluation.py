@@ -269,7 +269,7 @@ def _grid_sql() -> dict[str, str]:
             f"{p}_pairs": f"""SELECT query_id, testcase_id, len(list_intersect(qw, tw))::DOUBLE / len(list_distinct(list_concat(qw, tw))) AS raw
                 FROM (SELECT DISTINCT query_id, testcase_id, {words.format('testcase_title')} AS tw FROM {p}_sums) JOIN {p}_qw ON id = query_id""",
             f"{p}_scored": f"SELECT s.*, {scaled('raw', by)} AS rn FROM {p}_sums s JOIN {p}_pairs USING (query_id, testcase_id)",
-            f"{p}_w": f"SELECT s.*, w, round(ws * ss + wn * sn + wr * sr, 9) AS fs FROM {p}_scored s, weights",
+            f"{p}_w": f"SELECT s.*, w, round(ws * ss + wn * sn + wr * sr, 12) AS fs FROM {p}_scored s, weights",
             f"{p}_n": f"SELECT *, {scaled('fs', by + ', w')} AS rs FROM {p}_w",
             f"{p}_f": f"""SELECT n.*, rw, CASE WHEN rw > 0 THEN round((1 - rw) * rs + rw * rn, 9) ELSE fs END AS score,
                 CASE WHEN rw > 0 THEN 0 ELSE ss END AS s2, CASE WHEN rw > 0 THEN 0 ELSE sn END AS s3 FROM {p}_n n JOIN {p}_variants v ON v.b = n.b""",

@@ -339,7 +339,7 @@ def sql_vote_position(name: str, neighbours: str, link_rel: str, k: int = 10) ->
         f"{name}_sums": f"""SELECT n.query_id, l.testcase_id, l.testcase_title, round(sum(n.hybrid_score), 9) AS similarity_sum,
             count(DISTINCT n.bug_id) AS support_count, round(sum(1.0::DOUBLE / n.hybrid_rank), 9) AS rank_bonus
             FROM {neighbours} n JOIN {link_rel} l ON l.bug_id = n.bug_id WHERE l.testcase_title IS NOT NULL GROUP BY ALL""",
-        f"{name}_final": f"""SELECT *, round(0.7::DOUBLE * similarity_sum + 0.2::DOUBLE * support_count + 0.1::DOUBLE * rank_bonus, 9) AS final_score
+        f"{name}_final": f"""SELECT *, round(0.7::DOUBLE * similarity_sum + 0.2::DOUBLE * support_count + 0.1::DOUBLE * rank_bonus, 12) AS final_score
             FROM {name}_sums""",
         name: f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, similarity_sum DESC,
             support_count DESC, testcase_id) AS rank FROM {name}_final) WHERE rank <= {k}""",

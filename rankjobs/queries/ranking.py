@@ -27,7 +27,7 @@ def _neighbours(spark, sf):
 
 def vote_a(spark, sf):
     return _rounded(
-        vote.vote_by_position(_neighbours(spark, sf), m.vote_links(spark, sf)), "similarity_sum", "rank_bonus", "final_score"
+        vote.vote_by_position(_neighbours(spark, sf), m.vote_links(spark, sf)), "similarity_sum", "rank_bonus"
     )
 
 
@@ -37,7 +37,7 @@ def vote_b(spark, sf):
 
 def vote_c(spark, sf):
     return _rounded(
-        vote.vote_by_ballot(_neighbours(spark, sf), m.vote_links(spark, sf)), "similarity_sum", "rank_bonus", "final_score"
+        vote.vote_by_ballot(_neighbours(spark, sf), m.vote_links(spark, sf)), "similarity_sum", "rank_bonus"
     )
 
 
@@ -84,7 +84,7 @@ def recommend(spark, sf):
     corpus = m.corpus(spark, sf, m.metadata(spark, sf))
     queries = _passage_queries(spark, sf)
     return _rounded(
-        rec.recommend(queries, m.vectorize_queries(queries), corpus), "similarity_sum", "rank_bonus", "final_score"
+        rec.recommend(queries, m.vectorize_queries(queries), corpus), "similarity_sum", "rank_bonus"
     )
 
 
@@ -93,7 +93,7 @@ def recommend_dense(spark, sf):
     queries = _passage_queries(spark, sf)
     config = rec.RecommendConfig(mode="dense")
     return _rounded(
-        rec.recommend(queries, m.vectorize_queries(queries), corpus, config), "similarity_sum", "rank_bonus", "final_score"
+        rec.recommend(queries, m.vectorize_queries(queries), corpus, config), "similarity_sum", "rank_bonus"
     )
 
 
@@ -122,7 +122,7 @@ _VOTE_C = {
         FROM neighbours n JOIN vote_links l ON l.bug_id = n.bug_id""",
     "sums": """SELECT query_id, testcase_id, testcase_title, round(sum(hybrid_score), 9) AS similarity_sum,
         count(DISTINCT bug_id) AS support_count, round(sum(1.0::DOUBLE / hybrid_rank), 9) AS rank_bonus FROM ballots GROUP BY ALL""",
-    "scored": """SELECT *, round(0.7::DOUBLE * similarity_sum + 0.2::DOUBLE * support_count + 0.1::DOUBLE * rank_bonus, 9) AS final_score FROM sums""",
+    "scored": """SELECT *, round(0.7::DOUBLE * similarity_sum + 0.2::DOUBLE * support_count + 0.1::DOUBLE * rank_bonus, 12) AS final_score FROM sums""",
 }
 _WORDS = r"list_distinct(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda t: lower(t)))"
 
@@ -158,7 +158,7 @@ _RERANKED = """SELECT query_id, testcase_id, testcase_title, round(aggregated_sc
     round(retrieval_norm, 9) AS retrieval_norm, round(reranker_score, 9) AS reranker_score, round(reranker_norm, 9) AS reranker_norm,
     round(final_score, 9) AS final_score, 'reranked' AS ranking_method, rank FROM reranked"""
 _POSITION = """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 9) AS similarity_sum, support_count,
-    round(rank_bonus, 9) AS rank_bonus, round(final_score, 9) AS final_score, rank FROM"""
+    round(rank_bonus, 9) AS rank_bonus, final_score, rank FROM"""
 _PASSAGES = f"SELECT item_id AS id, {m.sql_enriched('text', chr(39) * 2, chr(39) * 2, chr(39) * 2)} AS text FROM benchmark"
 
 
@@ -192,7 +192,7 @@ QUERIES = {
             ("vectors", "vote_links"),
             {**_NEAR, **_VOTE_C},
             """SELECT query_id, testcase_id, testcase_title, round(similarity_sum, 9) AS similarity_sum, support_count,
-            round(rank_bonus, 9) AS rank_bonus, round(final_score, 9) AS final_score, row_number() OVER (PARTITION BY query_id
+            round(rank_bonus, 9) AS rank_bonus, final_score, row_number() OVER (PARTITION BY query_id
             ORDER BY scored.final_score DESC, scored.similarity_sum DESC, support_count DESC, testcase_id) AS rank FROM scored""",
         ),
     ),

@@ -104,7 +104,7 @@ def stream_recommend(spark, sf):
     sink = _folder(spark, "stream")
     recommend_stream(queries, corpus, m.vectorize_queries, f"{sink}/out", f"{sink}/checkpoint").awaitTermination()
     found = spark.read.parquet(f"{sink}/out").drop("batch")
-    return found.withColumns({c: F.round(c, 9) for c in ("similarity_sum", "rank_bonus", "final_score")})
+    return found.withColumns({c: F.round(c, 9) for c in ("similarity_sum", "rank_bonus")})
 
 
 _TURNS = f"""SELECT conv_id * 100000 + turn AS id, {m.sql_enriched('text', chr(39) * 2, chr(39) * 2, chr(39) * 2)} AS text FROM conversations"""
