@@ -152,8 +152,11 @@ def build_index(
     ).first()
     n = size.n or 0
     stats = stage(term_frequencies(packed), "bm25-terms")
-    mean = stats.agg(F.avg(raw_idf(n, F.col("df")))).first()[0] if n else None
-    return Bm25Index(packed, stats, n, (size.tokens or 0) / n if n else 0.0, mean or 0.0)
+    # over the few distinct frequencies, and rounded: summing a value per term would
+    # put noise into every score that depends on the order of the sum
+    counted = stats.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
+    mean = counted.agg(F.sum(raw_idf(n, F.col("df")) * F.col("n")) / F.sum("n")).first()[0] if n else None
+    return Bm25Index(packed, stats, n, (size.tokens or 0) / n if n else 0.0, round(mean or 0.0, 12))
 
 
 def statistics(index: Bm25Index) -> DataFrame:

@@ -302,7 +302,7 @@ def sql_bm25_stats(prefix: str, source: str) -> dict[str, str]:
         f"{prefix}_size": f"SELECT count(*)::DOUBLE AS n, sum(n) / count(*) AS mean_length FROM {prefix}_len",
         f"{prefix}_df": f"SELECT t, count(*) AS df FROM {prefix}_tf GROUP BY t",
         f"{prefix}_raw": f"SELECT t, df, ln(s.n - df + 0.5) - ln(df + 0.5) AS raw FROM {prefix}_df, {prefix}_size s",
-        f"{prefix}_mean": f"SELECT avg(raw) AS mean_idf FROM {prefix}_raw",
+        f"{prefix}_mean": f"SELECT round(sum(raw * n) / sum(n), 12) AS mean_idf FROM (SELECT raw, count(*) AS n FROM {prefix}_raw GROUP BY raw)",
         f"{prefix}_idf": f"SELECT t, df, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM {prefix}_raw, {prefix}_mean",
     }
 
