@@ -72,7 +72,7 @@ def leave_one_out_lists(
         ),
         "neighbours",
     )
-    retrieved = vote.vote_by_score(neighbours, corpus.links, config.testcases, by=by)
+    retrieved = stage(vote.vote_by_score(neighbours, corpus.links, config.testcases, by=by), "retrieved")
     plain = rerank.rerank_after_cut(retrieved, queries, None, by=by)
     again = rerank.rerank_after_cut(retrieved, queries, scorer, by=by)
     second = F.when(F.col("method") == "baseline", "reranked").otherwise("hybrid_reranked")

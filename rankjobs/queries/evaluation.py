@@ -27,8 +27,7 @@ def label_eval(spark, sf):
 
 
 def _leave_one_out(spark, sf):
-    meta = m.metadata(spark, sf)
-    corpus = m.corpus(spark, sf, meta)
+    meta, corpus = m.history(spark, sf)
     queries = meta.select(F.col("bug_id").alias("query_id"), F.col("bug_text_enriched").alias("query_text"))
     lists = stage(
         evaluate.leave_one_out_lists(meta, stage(m.vectorize_queries(queries), "query-vectors"), corpus, rerank.token_overlap_scorer),
@@ -124,8 +123,8 @@ GRID = tune.Grid(top_ks=(10, 20), weights=tune.WEIGHTS[::2], rerank_weights=(0.2
 
 
 def _grid(spark, sf):
-    bugs = stage(m.linked_bugs(spark, sf), "bugs")
     links = stage(m.vote_links(spark, sf), "links")
+    bugs = stage(m.linked_bugs(spark, sf, links), "bugs")
     return tune.improvements(stage(tune.evaluate_grid(bugs, links, _vectorize, grid=GRID), "grid"))
 
 
@@ -146,13 +145,6 @@ def grid_best(spark, sf):
     return _grid_columns(tune.best_config(_grid(spark, sf)))
 
 
-def experiment_grid(spark, sf):
-    """The full grid joined to the number of linked bugs each configuration would be run on."""
-    asked = m.vote_links(spark, sf).select("bug_id").distinct().agg(F.count(F.lit(1)).alias("queries"))
-    grid = tune.experiment_grid(spark).select("n", "experiment_name", "variant", F.lit(1).alias("one"))
-    return grid.join(asked.withColumn("one", F.lit(1)), "one").drop("one")
-
-
 _BOTH = {
     **LINKED_SQL,
     "prefixed": f"SELECT id, 'query: ' || {m.sql_strip('text')} AS text FROM corpus",
@@ -410,7 +402,6 @@ QUERIES = {
         ),
     ),
     "failure_report": (failure_report, None),
-    "experiment_grid": (experiment_grid, None),
     "grid_results": (grid_results, m.with_ctes(("bugs", "vote_links"), _GRID_SQL, f"SELECT {_GRID_OUT} FROM done")),
     "grid_leaderboard": (
         grid_leaderboard,

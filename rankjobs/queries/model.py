@@ -92,9 +92,9 @@ def vote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bug_id", "testcase_id").distinct().join(titles, "testcase_id").select("bug_id", "testcase_id", "testcase_title")
 
 
-def linked_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def linked_bugs(spark: SparkSession, sf_dir: str, links_table: DataFrame) -> DataFrame:
     """Bugs with a link, which are the ones that history can say something about."""
-    return bugs(spark, sf_dir).join(vote_links(spark, sf_dir).select("bug_id").distinct(), "bug_id", "left_semi")
+    return bugs(spark, sf_dir).join(links_table.select("bug_id").distinct(), "bug_id", "left_semi")
 
 
 def label_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,17 +110,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.unit_vectors(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linked bugs with their enriched text, staged: every later step reads it."""
-    return stage(rec.bug_metadata(linked_bugs(spark, sf_dir)), "metadata")
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, rec.Corpus]:
+    """Linked bugs with their enriched text, and the corpus made of them.
 
-
-def corpus(spark: SparkSession, sf_dir: str, meta: DataFrame) -> rec.Corpus:
-    return rec.Corpus(
+    Everything here is read several times later on, so it is staged.
+    """
+    links_table = stage(vote_links(spark, sf_dir), "links")
+    meta = stage(rec.bug_metadata(linked_bugs(spark, sf_dir, links_table)), "metadata")
+    found = rec.Corpus(
         vectors=stage(embed.token_hash_vectors(meta, "bug_id", "bug_text_enriched", dim=VECTOR_DIM), "vectors"),
         index=bm25.build_index(meta),
-        links=stage(vote_links(spark, sf_dir), "links"),
+        links=links_table,
     )
+    return meta, found
 
 
 def vectorize_queries(queries: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def _passage_queries(spark, sf):
 
 def recommend(spark, sf):
     """Passages in, test cases out: vectors, BM25, fusion, vote."""
-    corpus = m.corpus(spark, sf, m.metadata(spark, sf))
+    _, corpus = m.history(spark, sf)
     queries = _passage_queries(spark, sf)
     return _rounded(
         rec.recommend(queries, m.vectorize_queries(queries), corpus), "similarity_sum", "rank_bonus"
@@ -89,7 +89,7 @@ def recommend(spark, sf):
 
 
 def recommend_dense(spark, sf):
-    corpus = m.corpus(spark, sf, m.metadata(spark, sf))
+    _, corpus = m.history(spark, sf)
     queries = _passage_queries(spark, sf)
     config = rec.RecommendConfig(mode="dense")
     return _rounded(
@@ -98,14 +98,14 @@ def recommend_dense(spark, sf):
 
 
 def similar_bugs(spark, sf):
-    corpus = m.corpus(spark, sf, m.metadata(spark, sf))
+    _, corpus = m.history(spark, sf)
     queries = _passage_queries(spark, sf)
     found = rec.similar_bugs(queries, m.vectorize_queries(queries), corpus, rec.RecommendConfig())
     return _rounded(found.withColumn("hybrid_score", F.round("hybrid_score", 9)), "dense_score")
 
 
 def recommend_reranked(spark, sf):
-    corpus = m.corpus(spark, sf, m.metadata(spark, sf))
+    _, corpus = m.history(spark, sf)
     queries = _passage_queries(spark, sf)
     _, final = rec.recommend_reranked(queries, m.vectorize_queries(queries), corpus, rerank.token_overlap_scorer)
     return _rounded(final, "aggregated_score", "retrieval_norm", "reranker_score", "reranker_norm", "final_score")

@@ -107,8 +107,7 @@ def passage_pairs(docs, items):
 
 def rrf(spark, sf):
     """Every linked bug, by vectors and by words."""
-    meta = m.metadata(spark, sf)
-    corpus = m.corpus(spark, sf, meta)
+    _, corpus = m.history(spark, sf)
     queries = corpus.vectors.withColumnRenamed("bug_id", "query_id")
     near = dense.dense_neighbours(queries, corpus.vectors, 10)
     words = bm25.bm25_top_k(None, corpus.index, 10, exclude_self=True)

@@ -95,7 +95,7 @@ def vector_artifact(spark, sf):
 
 def stream_recommend(spark, sf):
     """Conversation turns arrive as new items; the sink equals the batch result."""
-    corpus = m.corpus(spark, sf, m.metadata(spark, sf))
+    _, corpus = m.history(spark, sf)
     schema = m.table(spark, sf, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
     queries = rec.query_rows(
