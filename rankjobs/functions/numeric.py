@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rankjobs.functions.text import as_col
@@ -16,6 +17,13 @@ def to_id(value: Column | str) -> Column:
     return as_col(value).try_cast("double").try_cast("bigint")
 
 
+def id_of(df: DataFrame, name: str) -> Column:
+    """The id column of a table: as it is when it is integral already, which keeps
+    filters on it pushable and large ids exact; else by ``to_id``."""
+    integral = isinstance(df.schema[name].dataType, T.IntegralType)
+    return F.col(name).cast("bigint") if integral else to_id(name)
+
+
 def sigmoid(value: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_col(value)))
 

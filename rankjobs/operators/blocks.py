@@ -32,6 +32,9 @@ RESULT_ARROW = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("s
 # The largest query side that is sent to every executor.
 BROADCAST_BYTES = 128 << 20
 
+# More grid cells than this share partitions.
+MAX_PARTITIONS = 20_000
+
 # Scores are compared at this many decimals, so that equal rows tie whatever the
 # order was in which their terms were added up; ties go to the smaller id.
 SCORE_DECIMALS = 9
@@ -83,31 +86,37 @@ def meet(
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
+    def in_group(df: DataFrame, column: str, by: str, n: int) -> DataFrame:
+        return df.withColumn(column, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+
+    def in_all(df: DataFrame, column: str, n: int) -> DataFrame:
+        return df.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
     left, right = named(queries, "q_"), named(corpus, "c_")
-    keys = ["grid_column", "grid_row"]
+    parallelism = queries.sparkSession.sparkContext.defaultParallelism
     if query_bytes <= BROADCAST_BYTES:
         # few long tasks, since each brings its best k rows per query to the final merge
-        right = right.coalesce(4 * queries.sparkSession.sparkContext.defaultParallelism)
-        one_cell = {key: F.lit(0) for key in keys}
-        return right.withColumns(one_cell).join(F.broadcast(left.withColumns(one_cell)), keys)
+        groups = max(1, min(query_blocks, blocks_per_group))
+        met = in_all(right.coalesce(4 * parallelism), "grid_row", groups).join(
+            F.broadcast(in_group(left, "grid_row", "q_block_id", groups)), "grid_row"
+        )
+        # a task keeps one list per query over all that it reads
+        return met.withColumns({"grid_column": F.lit(0), "grid_row": F.lit(0)})
 
     # Cells to even out over the cores, near square in bytes, since each side is copied
     # along the other one. The query side of a cell is buffered, so it has a limit; the
     # corpus side streams through.
-    cells = 8 * queries.sparkSession.sparkContext.defaultParallelism
+    cells = 8 * parallelism
     groups = round(math.sqrt(cells * query_blocks / corpus_blocks))
     groups = min(max(groups, math.ceil(query_blocks / blocks_per_group), 1), max(1, query_blocks))
     shards = max(math.ceil(cells / groups), math.ceil(corpus_blocks / blocks_per_shard))
     shards = max(1, min(shards, corpus_blocks))
-    left = left.withColumn("grid_row", F.pmod(F.xxhash64("q_block_id"), F.lit(groups)).cast("int")).withColumn(
-        "grid_column", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    right = right.withColumn("grid_column", F.pmod(F.xxhash64("c_block_id"), F.lit(shards)).cast("int")).withColumn(
-        "grid_row", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    )
+    left = in_all(in_group(left, "grid_row", "q_block_id", groups), "grid_column", shards)
+    right = in_all(in_group(right, "grid_column", "c_block_id", shards), "grid_row", groups)
     # the number of partitions is given: the work per byte is high, and adaptive
     # coalescing by bytes would put all of it into one task
-    partitions = shards * groups
+    partitions = min(shards * groups, max(cells, MAX_PARTITIONS))
+    keys = ["grid_column", "grid_row"]
     return right.repartition(partitions, *keys).join(left.repartition(partitions, *keys).hint("merge"), keys)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankjobs.functions import text as tx
-from rankjobs.functions.numeric import to_id
+from rankjobs.functions.numeric import id_of
 from rankjobs.sources import schemas
 from rankjobs.sources.tables import require_columns
 
@@ -23,8 +23,8 @@ def numeric_links(raw: DataFrame) -> DataFrame:
     """Raw links with both ends as ids; rows with an end that is no number are dropped."""
     require_columns(raw, schemas.RAW_LINKS.fieldNames(), "links")
     return raw.select(
-        to_id("WorkItemId").alias("from_id"),
-        to_id("LinkedWorkItemId").alias("to_id"),
+        id_of(raw, "WorkItemId").alias("from_id"),
+        id_of(raw, "LinkedWorkItemId").alias("to_id"),
         F.col("LinkedType").alias("link_type"),
     ).dropna(subset=["from_id", "to_id"])
 
@@ -47,8 +47,8 @@ def resolve_links(raw: DataFrame, bugs: DataFrame, testcases: DataFrame, validat
 
     ``validate`` spends an action on raising ``ValueError`` when nothing is left.
     """
-    bug_ids = bugs.select(to_id("bug_id").alias("bug_id"))
-    testcase_ids = testcases.select(to_id("testcase_id").alias("testcase_id"))
+    bug_ids = bugs.select(id_of(bugs, "bug_id").alias("bug_id"))
+    testcase_ids = testcases.select(id_of(testcases, "testcase_id").alias("testcase_id"))
     links = (
         both_directions(raw)
         .join(bug_ids, "bug_id", "left_semi")
@@ -78,9 +78,9 @@ def build_master(
     """
     require_columns(bugs, [c for c in schemas.MASTER.fieldNames() if c.startswith("bug_")], "bugs")
     require_columns(testcases, [c for c in schemas.MASTER.fieldNames() if c.startswith("testcase_")], "test cases")
-    bug_side = bugs.select(to_id("bug_id").alias("bug_id"), *BUG_TEXT)
+    bug_side = bugs.select(id_of(bugs, "bug_id").alias("bug_id"), *BUG_TEXT)
     testcase_side = testcases.select(
-        to_id("testcase_id").alias("testcase_id"), "testcase_title", "testcase_description", "test_steps"
+        id_of(testcases, "testcase_id").alias("testcase_id"), "testcase_title", "testcase_description", "test_steps"
     )
     if not unique_ids:
         bug_side, testcase_side = bug_side.distinct(), testcase_side.distinct()
@@ -106,7 +106,7 @@ def unique_bugs(master: DataFrame) -> DataFrame:
     """One row per linked bug; the copies of a bug in the link table agree."""
     return (
         master.select("bug_id", *BUG_TEXT)
-        .withColumn("bug_id", to_id("bug_id"))
+        .withColumn("bug_id", id_of(master, "bug_id"))
         .dropna(subset=["bug_id"])
         .dropDuplicates(["bug_id"])
     )
@@ -125,10 +125,10 @@ def dangling_links(raw: DataFrame, bugs: DataFrame, testcases: DataFrame) -> Dat
         .agg(F.count(F.lit(1)).alias("n"))
     )
     known = (
-        bugs.select(to_id("bug_id").alias("id"), F.lit(True).alias("is_bug"), F.lit(False).alias("is_testcase"))
+        bugs.select(id_of(bugs, "bug_id").alias("id"), F.lit(True).alias("is_bug"), F.lit(False).alias("is_testcase"))
         .unionByName(
             testcases.select(
-                to_id("testcase_id").alias("id"), F.lit(False).alias("is_bug"), F.lit(True).alias("is_testcase")
+                id_of(testcases, "testcase_id").alias("id"), F.lit(False).alias("is_bug"), F.lit(True).alias("is_testcase")
             )
         )
         .groupBy("id")
