@@ -138,6 +138,15 @@ def null_patterns(df: DataFrame) -> DataFrame:
     return df.select(F.array_join(flags, ",").alias("missing")).groupBy("missing").agg(F.count(F.lit(1)).alias("n"))
 
 
+def area_overlap(bugs: DataFrame, testcases: DataFrame, bug_area: Column | str, testcase_area: Column | str) -> DataFrame:
+    """Bugs and test cases per area (planned in the specification, not in its code)."""
+    one, none = F.lit(1), F.lit(0)
+    rows = bugs.select(tx.strip(bug_area).alias("area"), one.alias("b"), none.alias("t")).unionByName(
+        testcases.select(tx.strip(testcase_area).alias("area"), none.alias("b"), one.alias("t"))
+    )
+    return rows.groupBy("area").agg(F.sum("b").alias("bugs"), F.sum("t").alias("testcases"))
+
+
 def profile_summary(master: DataFrame) -> DataFrame:
     """The headline numbers of the profile as ``(metric, value)``."""
     counts = table_counts(master, ["bug_id", "testcase_id"]).select("metric", F.col("value").cast("double").alias("value"))

@@ -17,6 +17,10 @@ from rankjobs.functions.numeric import top_k
 from rankjobs.operators.blocks import SCORE_DECIMALS, SUM_DECIMALS
 
 
+# Test-case ids per range when the links of a bug are numbered.
+IDS_PER_RANGE = 1 << 16
+
+
 @dataclass(frozen=True)
 class VoteWeights:
     similarity: float = 0.70
@@ -108,10 +112,59 @@ def vote_by_score(
     return ranked(counted, ("aggregated_score", "supporting_bug_count"), k, by)
 
 
-def link_ordinals(votes: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Position of each ballot in its query: by bug position, then test-case id."""
-    order = Window.partitionBy(*by).orderBy("position", "testcase_id", "testcase_title")
-    return votes.withColumn("position", F.row_number().over(order).cast("double"))
+def ranked_links(links: DataFrame) -> DataFrame:
+    """Distinct links with ``link_rank``, their place among the links of their bug by
+    test-case id, and ``link_count``, how many the bug has.
+
+    A bug may hold a large part of all links, so its links are not numbered in one
+    window. They fall into ranges of ids; a window numbers the at most
+    ``IDS_PER_RANGE`` ids of a range, and another one adds up the few ranges of a bug.
+    """
+    distinct = (
+        links.select("bug_id", "testcase_id", "testcase_title")
+        .distinct()
+        .withColumn("_range", F.floor(F.col("testcase_id") / IDS_PER_RANGE))
+    )
+    sizes = distinct.groupBy("bug_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("bug_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "bug_id",
+        "_range",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy("bug_id")).alias("link_count"),
+    )
+    within = Window.partitionBy("bug_id", "_range").orderBy("testcase_id", "testcase_title")
+    return (
+        distinct.withColumn("_place", F.row_number().over(within))
+        .join(sizes, ["bug_id", "_range"])
+        .select("bug_id", "testcase_id", "testcase_title", (F.col("_before") + F.col("_place")).alias("link_rank"), "link_count")
+    )
+
+
+def numbered_ballots(
+    neighbours: DataFrame, links: DataFrame, score: str, position: str, by: tuple[str, ...] = ("query_id",)
+) -> DataFrame:
+    """Ballots whose position is their place in the list of all ballots of the query:
+    by neighbour, then by link. ``links`` come from ``ranked_links``.
+
+    The place is the number of links of the neighbours before plus the link's own
+    rank, so that only the short neighbour lists are sorted per query.
+    """
+    counts = links.select("bug_id", "link_count").distinct()
+    before = Window.partitionBy(*by).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        neighbours.select(*by, "bug_id", F.col(score).alias("score"), F.col(position).alias("position"))
+        .join(counts, "bug_id")
+        .withColumn("_start", F.coalesce(F.sum("link_count").over(before), F.lit(0)))
+        .select(*by, "bug_id", "score", "_start")
+    )
+    # a link without a title takes a place, but is no candidate
+    return (
+        placed.join(links.filter("testcase_title is not null").drop("link_count"), "bug_id")
+        .withColumn("position", (F.col("_start") + F.col("link_rank")).cast("double"))
+        .withColumn("copies", F.lit(1))
+        .drop("_start", "link_rank")
+    )
 
 
 def vote_by_ballot(
@@ -124,7 +177,7 @@ def vote_by_ballot(
     k: int | None = None,
 ) -> DataFrame:
     """The variant for tuning: the rank bonus runs over ballots, and nothing is cut by default."""
-    votes = link_ordinals(ballots(neighbours, counted_links(links), score, position))
+    votes = numbered_ballots(neighbours, ranked_links(links), score, position)
     return ranked(weighted(tally(votes), weights), ("final_score", "similarity_sum", "support_count"), k)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankjobs.functions import text as tx
 from rankjobs.operators import profile, quality
 from rankjobs.plans import evaluate
 from rankjobs.queries import model as m
@@ -116,16 +115,9 @@ def time_split(spark, sf):
 
 
 def area_overlap(spark, sf):
-    """Share of each first path step among bugs and among test cases (planned in the specification)."""
-    bug_paths = m.bugs(spark, sf).select(F.split("bug_tags", ";")[0].alias("area"), F.lit(1).alias("b"), F.lit(0).alias("t"))
-    case_paths = m.testcases(spark, sf).select(
-        F.lower(F.split("testcase_description", " ")[0]).alias("area"), F.lit(0).alias("b"), F.lit(1).alias("t")
-    )
-    return (
-        bug_paths.unionByName(case_paths)
-        .groupBy(tx.strip("area").alias("area"))
-        .agg(F.sum("b").alias("bugs"), F.sum("t").alias("testcases"))
-    )
+    """Languages of bugs against kinds of test cases, which do not overlap here."""
+    first = F.split("bug_tags", ";")[0]
+    return profile.area_overlap(m.bugs(spark, sf), m.testcases(spark, sf), first, F.lower(F.split("testcase_description", " ")[0]))
 
 
 def _null_pct_sql(rel: str, columns) -> str:

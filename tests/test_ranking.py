@@ -49,8 +49,17 @@ def test_repeated_links_vote_again_only_by_position(neighbours, links):
 
 def test_vote_by_ballot_ranks_joined_rows(neighbours, links):
     out = {r.testcase_id: r for r in vote.vote_by_ballot(neighbours, links).filter("query_id = 1").collect()}
-    # ballots in order: (10,100) (10,101) (11,100) (11,103)
-    assert out[100].rank_bonus == pytest.approx(1 + 1 / 3) and out[101].rank_bonus == 0.5 and out[103].rank_bonus == 0.25
+    # ballots in order: (10,100) (10,101) (11,100) (11,102 without title) (11,103)
+    assert out[100].rank_bonus == pytest.approx(1 + 1 / 3) and out[101].rank_bonus == 0.5 and out[103].rank_bonus == 0.2
+    assert 102 not in out
+
+
+def test_ranked_links_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(vote, "IDS_PER_RANGE", 3)
+    ids = [1, 2, 5, 6, 7, 20, 21]
+    links = spark.createDataFrame([(b, t, "t") for b in (1, 2) for t in ids[b - 1 :]] * 2, LINKS)
+    rows = sorted(tuple(r) for r in vote.ranked_links(links).select("bug_id", "testcase_id", "link_rank", "link_count").collect())
+    assert rows == [(b, t, i, len(ids) - b + 1) for b in (1, 2) for i, t in enumerate(ids[b - 1 :], 1)]
 
 
 def test_votes_tie_by_id(spark):
