@@ -34,7 +34,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     grouping is fixed, and each later pass reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rankjobs/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rankjobs/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
