@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local session with the settings used in tests and in the bench."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rankjobs")
         .config("spark.ui.enabled", "false")
@@ -17,5 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +11,35 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return folder.rstrip("/")
+
+
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rankjobs/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    Where it is unset a local session takes a temporary folder of its own; on a
-    cluster that would not be shared, so there it is an error.
+
+def release_staged(spark: SparkSession, since: set[str] | None = None) -> None:
+    """Remove the tables this application has staged (but those named in ``since``).
+
+    Call it when the frames that read them are no longer used.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="rankjobs-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    for path in staged_tables(spark) - (since or set()):
+        remove(spark, path)
+
+
+def staged_tables(spark: SparkSession) -> set[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(x.getPath()) for x in system.listStatus(folder)} if system.exists(folder) else set()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +49,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     grouping is fixed, and each later pass reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rankjobs/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,7 +59,7 @@ def content_key(df: DataFrame, settings: dict) -> str:
     digest = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h")).agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor("h").alias("x"),
-        F.sum(F.shiftright("h", 16)).alias("s"),
+        F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("s"),
     )
     row = digest.first()
     text = json.dumps([settings, df.columns, row.n, row.x, row.s], sort_keys=True)
