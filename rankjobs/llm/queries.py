@@ -56,6 +56,33 @@ FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
 LEFT JOIN taken t ON t.source IS NOT DISTINCT FROM s.source AND t.mix_key = s.mix_key
 """
 
+def op3_exact_dedup(spark, sf_dir):
+    from rankjobs.llm import exact_dedup
+
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM normal WINDOW w AS (PARTITION BY t)
+"""
+
+
+def op7_sharding(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import sharding
+
+    shards = sharding.kd_shards(table(spark, sf_dir, "documents"), 24)
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op7_sharding": (op7_sharding, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
