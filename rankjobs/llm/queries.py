@@ -56,6 +56,25 @@ FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
 LEFT JOIN taken t ON t.source IS NOT DISTINCT FROM s.source AND t.mix_key = s.mix_key
 """
 
+def op1_pii(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import pii
+
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(count(k) for k in pii.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
 def op3_exact_dedup(spark, sf_dir):
     from rankjobs.llm import exact_dedup
 
@@ -70,6 +89,22 @@ FROM normal WINDOW w AS (PARTITION BY t)
 """
 
 
+def op5_quality(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import quality
+    from rankjobs.llm.labels import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_sharding(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -82,7 +117,9 @@ def op7_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_pii": (op1_pii, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op5_quality": (op5_quality, None),
     "op7_sharding": (op7_sharding, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
