@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankjobs.llm.decisions import kept_rows
 from rankjobs.sources.artifacts import stage
 
 CHUNK_BITS = 20
@@ -211,24 +212,5 @@ def distinct_documents(docs: DataFrame, *, id_column: str = "doc_id", text_colum
     Dropped rows are found by id and digest. Of rows with equal id and equal text one stays.
     """
     result = exact_duplicates(docs, id_column=id_column, text_column=text_column)
-    dropped = result.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    repeated = result.filter("kept AND group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    gone = stage(dropped.join(repeated, (dropped._id.eqNullSafe(repeated._id)) & (dropped._sha == repeated._sha), "left_anti"), "dropped")
-    twice = stage(dropped.join(repeated, (dropped._id.eqNullSafe(repeated._id)) & (dropped._sha == repeated._sha), "left_semi"), "twice")
-    sha = F.sha2(normalised(F.col(f"_docs.`{text_column}`")), 256)
-    key = F.col(f"_docs.`{id_column}`")
-    marked = docs.alias("_docs").join(
-        gone.alias("_gone"), key.eqNullSafe(F.col("_gone._id")) & (sha == F.col("_gone._sha")), "left_anti"
-    )
-    if twice.isEmpty():
-        return marked
-    # the same id and text more than once: one of them
-    same = key.eqNullSafe(F.col("_twice._id")) & (sha == F.col("_twice._sha"))
-    row = F.struct(*(F.col(f"_docs.`{c}`") for c in docs.columns))
-    again = (
-        marked.join(twice.alias("_twice"), same, "left_semi")
-        .select(key.alias("_id"), sha.alias("_sha"), row.alias("_row"))
-        .dropDuplicates(["_id", "_sha"])
-        .select(*(F.col(f"_row.`{c}`") for c in docs.columns))
-    )
-    return marked.join(twice.alias("_twice"), same, "left_anti").unionByName(again)
+    sha = F.sha2(normalised(F.col(f"`{text_column}`")), 256)
+    return kept_rows(docs, result.select("doc_id", F.col("text_sha256").alias("key"), "kept"), sha, id_column)

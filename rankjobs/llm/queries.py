@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_jaccard(spark, sf_dir):
+    from rankjobs.llm import jaccard
+
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 def op10_mixing(spark, sf_dir):
     from rankjobs.llm import mixing
 
@@ -121,5 +128,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_quality": (op5_quality, None),
     "op7_sharding": (op7_sharding, None),
+    "op9_jaccard": (op9_jaccard, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
