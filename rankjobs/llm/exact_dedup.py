@@ -45,10 +45,14 @@ MIN_OWNERS = 64
 BROADCAST_ROWS = 4 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 
-SENT = "chunk bigint, owner int, n int, width int, gaps binary, repeated binary"
+SENT = "chunk bigint, low bigint, high bigint, owner int, n int, width int, gaps binary, repeated binary"
 SENT_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("gaps", pa.binary()), ("repeated", pa.binary())]
+    [
+        ("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()),
+        ("width", pa.int32()), ("gaps", pa.binary()), ("repeated", pa.binary()),
+    ]
 )
+BITMAPS = "chunk bigint, low bigint, high bigint, owner int, n int, bitmap binary"
 
 
 def normalised(text: Column) -> Column:
@@ -93,32 +97,37 @@ def _owner_starts(owners: int) -> np.ndarray:
 def _send(owners: int):
     starts = _owner_starts(owners)
 
-    def messages(chunk: int, fingerprints: np.ndarray) -> Iterator[dict]:
+    def messages(chunk: int, rows: np.ndarray, fingerprints: np.ndarray) -> Iterator[dict]:
         values, counts = np.unique(fingerprints.view(np.uint64), return_counts=True)
         edges = np.append(np.searchsorted(values, starts), len(values))
         for owner in np.flatnonzero(np.diff(edges)):
             part = slice(edges[owner], edges[owner + 1])
             width, gaps = golomb_encode(values[part] - starts[owner])
             yield {
-                "chunk": chunk, "owner": int(owner), "n": int(edges[owner + 1] - edges[owner]), "width": width, "gaps": gaps,
+                "chunk": chunk, "low": int(rows[0]), "high": int(rows[-1]), "owner": int(owner),
+                "n": int(edges[owner + 1] - edges[owner]), "width": width, "gaps": gaps,
                 "repeated": np.packbits(counts[part] > 1).tobytes(),
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        # a task reads a chunk's rows in order; where the reader cuts a chunk, each part is a list of its own
+        chunk, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, parts in held.items():
-                yield pa.RecordBatch.from_pylist(list(messages(chunk, np.concatenate(parts))), schema=SENT_ARROW)
-            held.clear()
+            if held:
+                rows, prints = (np.concatenate(x) for x in zip(*held))
+                yield pa.RecordBatch.from_pylist(list(messages(chunk, rows, prints)), schema=SENT_ARROW)
+                held.clear()
 
         for batch in batches:
-            chunks = batch.column("chunk").to_numpy()
-            prints = batch.column("fingerprint").to_numpy()
-            for chunk in np.unique(chunks):
-                if chunk not in held and held:
-                    yield from flush()
-                held.setdefault(int(chunk), []).append(prints[chunks == chunk])
+            chunks, rows, prints = (batch.column(c).to_numpy() for c in ("chunk", "row", "fingerprint"))
+            edges = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(rows) != 1)) + 1), len(chunks)]
+            for start, end in zip(edges, edges[1:]):
+                if end > start:
+                    if held and (chunks[start] != chunk or rows[start] != held[-1][0][-1] + 1):
+                        yield from flush()
+                    chunk = int(chunks[start])
+                    held.append((rows[start:end], prints[start:end]))
         yield from flush()
 
     return run
@@ -132,25 +141,28 @@ def _answer(owners: int):
         more = counts > 1
         np.logical_or.at(more, places, np.concatenate(repeated).astype(bool))
         bits = np.split(more[places], np.cumsum([len(x) for x in lists])[:-1])
-        return pd.DataFrame(
-            {"chunk": group["chunk"], "owner": group["owner"], "n": group["n"], "bitmap": [np.packbits(b).tobytes() for b in bits]}
-        )
+        return group[["chunk", "low", "high", "owner", "n"]].assign(bitmap=[np.packbits(b).tobytes() for b in bits])
 
     return run
 
 
 def _read_bitmaps(rows: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
-    bitmaps = bitmaps.sort_values("owner")
-    bits = [np.unpackbits(np.frombuffer(b, dtype=np.uint8))[:n] for b, n in zip(bitmaps["bitmap"], bitmaps["n"])]
-    _, places = np.unique(rows["fingerprint"].to_numpy().view(np.uint64), return_inverse=True)
-    return rows.loc[np.concatenate(bits)[places].astype(bool), ["row", "fingerprint"]]
+    rows = rows.sort_values("row")
+    row, prints = rows["row"].to_numpy(), rows["fingerprint"].to_numpy()
+    found = np.zeros(len(rows), dtype=bool)
+    for (low, high), part in bitmaps.sort_values("owner").groupby(["low", "high"]):
+        bits = [np.unpackbits(np.frombuffer(b, dtype=np.uint8))[:n] for b, n in zip(part["bitmap"], part["n"])]
+        own = slice(*np.searchsorted(row, [low, high + 1]))
+        _, places = np.unique(prints[own].view(np.uint64), return_inverse=True)
+        found[own] = np.concatenate(bits)[places].astype(bool)
+    return rows[found][["row", "fingerprint"]]
 
 
 def suspects(prints: DataFrame, owners: int) -> DataFrame:
     """(row, chunk, fingerprint) -> (row, fingerprint) of the rows whose fingerprint is not unique."""
     narrow = prints.select("row", "chunk", "fingerprint")
-    sent = narrow.select("chunk", "fingerprint").mapInArrow(_send(owners), SENT)
-    bitmaps = sent.groupBy("owner").applyInPandas(_answer(owners), "chunk bigint, owner int, n int, bitmap binary")
+    sent = narrow.mapInArrow(_send(owners), SENT)
+    bitmaps = sent.groupBy("owner").applyInPandas(_answer(owners), BITMAPS)
     return (
         narrow.groupBy("chunk").cogroup(bitmaps.groupBy("chunk")).applyInPandas(_read_bitmaps, "row bigint, fingerprint bigint")
     )

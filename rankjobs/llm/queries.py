@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_ann(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import ann
+
+    coded, dimension = ann.index(table(spark, sf_dir, "embeddings"))
+    return ann.search(coded, dimension, F.pmod("vec_id", F.lit(50)) == 0, k=5)
+
+
 def op9_jaccard(spark, sf_dir):
     from rankjobs.llm import jaccard
 
@@ -82,6 +91,20 @@ def op1_pii(spark, sf_dir):
     )
 
 
+def op2_secrets(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, secrets.fit(docs))
+    spans = F.transform("secrets", lambda x: F.concat_ws(":", x["start"], x["end"]))
+    top = F.array_max(F.transform("secrets", lambda x: x["score"]))
+    return found.select(
+        "doc_id", F.size("secrets").cast("bigint").alias("n_secrets"), F.array_join(spans, ",").alias("spans"), top.alias("top_score")
+    )
+
+
 def op3_exact_dedup(spark, sf_dir):
     from rankjobs.llm import exact_dedup
 
@@ -125,9 +148,11 @@ def op7_sharding(spark, sf_dir):
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_pii": (op1_pii, None),
+    "op2_secrets": (op2_secrets, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_quality": (op5_quality, None),
     "op7_sharding": (op7_sharding, None),
+    "op8_ann": (op8_ann, None),
     "op9_jaccard": (op9_jaccard, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
