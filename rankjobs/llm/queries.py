@@ -119,6 +119,22 @@ FROM normal WINDOW w AS (PARTITION BY t)
 """
 
 
+def op4_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import toxicity
+    from rankjobs.llm.labels import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    detector = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, detector).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_quality(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -150,6 +166,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_pii": (op1_pii, None),
     "op2_secrets": (op2_secrets, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_quality": (op5_quality, None),
     "op7_sharding": (op7_sharding, None),
     "op8_ann": (op8_ann, None),
