@@ -220,6 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
     return model
 
 
+def accepted_documents(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their columns as they are."""
+    stats = statistics(F.col(f"`{text_column}`"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    kept = docs.select(row, *(c.alias(n) for n, c in zip(model.names, stats.values()))).filter(model.score() >= threshold)
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def score_documents(docs: DataFrame, model: RuleEnsemble, text_column: str = "text", output: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1."""
     scored, names = with_statistics(docs, text_column)

@@ -151,6 +151,18 @@ def op5_quality(spark, sf_dir):
     )
 
 
+def op6_sentencepiece(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm import sentencepiece_fst
+
+    model = sentencepiece_fst.read_model()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, model), model, output="decoded")
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_fst.MARK), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", (F.col("decoded") == plain).alias("round_trip"))
+
+
 def op7_sharding(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -168,6 +180,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_toxicity": (op4_toxicity, None),
     "op5_quality": (op5_quality, None),
+    "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_sharding": (op7_sharding, None),
     "op8_ann": (op8_ann, None),
     "op9_jaccard": (op9_jaccard, None),

@@ -17,7 +17,8 @@ shortest path is the encoding. Each state keeps its distance and its last arc.
 
 No piece has a mark after another character (this is checked), so paths never cross the
 start of a word. The composition runs over the distinct words of a slice, all words of
-one length at once, in numpy. Words found before are kept, up to ``CACHED_WORDS``.
+one length at once, in numpy; words beyond ``LONG_WORD`` characters go one by one, in
+memory linear in their length.
 
 Decoding is the inverse transducer: ids to bytes to text; marks become spaces, the first
 one goes. Where the text has no U+2581 of its own, decoding returns it exactly.
@@ -40,9 +41,12 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED_WORDS = 200_000
 SLICE_CHARS = 4 << 20
-ROWS_AT_ONCE = 1 << 14
+ROWS_AT_ONCE = 1 << 13
+PAIR_SLOTS = 1 << 21
+KNOWN_PAIRS = 1 << 19
+TRIE_SLOTS = 1 << 19
+HASH_FACTOR = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 LONG_WORD = 64
 UNREACHED = np.float32(np.inf)
 
@@ -132,10 +136,11 @@ class Transducer:
         self.bytes = {int(model.pieces[i][3:5], 16): i for i, t in enumerate(model.types) if t == BYTE}
         self.unknown_id = next((i for i, t in enumerate(model.types) if t == UNKNOWN), 0)
         self._compile_trie()
-        # pairs of arcs seen so far: sorted keys and whether the second can follow the first
-        self.pair_keys = np.empty(0, np.int64)
-        self.pair_fits = np.empty(0, bool)
-        self.words: dict[str, np.ndarray] = {}
+        # whether a piece can follow another: a table with one slot per hash, and what has been worked out
+        self.pair_keys = np.full(PAIR_SLOTS, -1, np.int64)
+        self.pair_fits = np.zeros(PAIR_SLOTS, bool)
+        self.pairs: dict[int, bool] = {}
+        self.steps: dict[int, int] | None = None
 
     def _compile_trie(self) -> None:
         """Sorted keys (state, character) with the next state, and the piece that ends in each state."""
@@ -148,11 +153,30 @@ class Transducer:
             ends[state] = i
         keys = np.array([(s << 21) | c for s, c in states], np.int64)
         order = np.argsort(keys)
-        self.trie_keys = keys[order]
-        self.trie_next = np.array(list(states.values()), np.int32)[order]
+        keys, following = keys[order], np.array(list(states.values()), np.int32)[order]
+        # one slot per hash; keys that find theirs taken are searched for in a short sorted list
+        slots, first = np.unique(self._trie_slots(keys), return_index=True)
+        self.slot_keys, self.slot_next = np.full(TRIE_SLOTS, -1, np.int64), np.zeros(TRIE_SLOTS, np.int32)
+        self.slot_keys[slots], self.slot_next[slots] = keys[first], following[first]
+        self.more_keys, self.more_next = np.delete(keys, first), np.delete(following, first)
         self.piece_at = np.full(len(states) + 1, -1, np.int32)
         self.piece_at[list(ends)] = list(ends.values())
 
+    @staticmethod
+    def _trie_slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys * HASH_FACTOR) >> 40) & (TRIE_SLOTS - 1)
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """The state after each (state, character) key; -1 where there is none."""
+        slots = self._trie_slots(keys)
+        there = self.slot_keys[slots]
+        out = np.where(there == keys, self.slot_next[slots], np.int32(-1))
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        if len(other) and len(self.more_keys):
+            at = np.minimum(np.searchsorted(self.more_keys, keys[other]), len(self.more_keys) - 1)
+            out[other] = np.where(self.more_keys[at] == keys[other], self.more_next[at], np.int32(-1))
+        return out
+
     def merge(self, text: str) -> list[str]:
         """BPE by the order of scores, the leftmost first on a tie: the definition that pair weights rest on."""
         parts = list(text)
@@ -175,19 +199,28 @@ class Transducer:
             return self.merge(p) == [p]
         return self.merge(self.model.pieces[before] + p) == [self.model.pieces[before], p]
 
+    def pair_fits_key(self, key: int) -> bool:
+        if key not in self.pairs:
+            if len(self.pairs) >= KNOWN_PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = self._fits(key >> 32, key & 0xFFFFFFFF)
+        return self.pairs[key]
+
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether each piece can follow the one before it; new pairs are worked out once and kept."""
+        """Whether each piece can follow the one before it."""
         keys = before.astype(np.int64) << 32 | piece
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
-        missing = self.pair_keys[at] != keys if len(self.pair_keys) else np.ones(len(keys), bool)
-        if missing.any():
-            new = np.unique(keys[missing])
-            found = np.array([self._fits(int(k >> 32), int(k & 0xFFFFFFFF)) for k in new])
-            order = np.argsort(np.concatenate([self.pair_keys, new]), kind="stable")
-            self.pair_keys = np.concatenate([self.pair_keys, new])[order]
-            self.pair_fits = np.concatenate([self.pair_fits, found])[order]
-            at = np.searchsorted(self.pair_keys, keys)
-        return self.pair_fits[at]
+        slots = ((keys * HASH_FACTOR) >> 40) & (PAIR_SLOTS - 1)
+        out = self.pair_fits[slots]
+        missing = np.flatnonzero(self.pair_keys[slots] != keys)
+        if len(missing):
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            found = np.array([self.pair_fits_key(k) for k in new.tolist()])
+            out[missing] = found[back]
+            at = slots[missing[first]]
+            # of pairs that share a slot one is written, key and value alike
+            _, one = np.unique(at, return_index=True)
+            self.pair_keys[at[one]], self.pair_fits[at[one]] = new[one], found[one]
+        return out
 
     def compose(self, points: np.ndarray) -> np.ndarray:
         """(words, characters) -> (start, words, characters) piece ids of the arcs by length - 1 and start; -1 for none."""
@@ -197,55 +230,53 @@ class Transducer:
             state = np.zeros(n, np.int64)
             live = np.arange(n)
             for size in range(min(self.longest, length - start)):
-                keys = (state[live] << 21) | points[live, start + size]
-                at = np.minimum(np.searchsorted(self.trie_keys, keys), len(self.trie_keys) - 1)
-                known = self.trie_keys[at] == keys
-                live = live[known]
+                after = self.follow((state << 21) | points[live, start + size])
+                known = after >= 0
+                live, state = live[known], after[known].astype(np.int64)
                 if not len(live):
                     break
-                state[live] = self.trie_next[at[known]]
-                arcs[size, live, start] = self.piece_at[state[live]]
+                arcs[size, live, start] = self.piece_at[state]
         arcs[0][arcs[0] < 0] = self.unknown
         return arcs
 
-    def shortest_paths(self, points: np.ndarray) -> list[np.ndarray]:
-        """The arcs of the shortest path of each word; all words have as many characters."""
+    def shortest_paths(self, points: np.ndarray) -> np.ndarray:
+        """(words, characters): the arcs of each word's shortest path, after as many -1 as there are arcs too few."""
         n, length = points.shape
         arcs = self.compose(points)
-        distance = np.full((n, length + 1), UNREACHED, np.float32)
-        last = np.full((n, length + 1), self.start, np.int32)
-        size_of = np.zeros((n, length + 1), np.int32)
-        distance[:, 0] = 0
+        distance = np.full((length + 1, n), UNREACHED, np.float32)
+        last = np.full((length + 1, n), self.start, np.int32)
+        size_of = np.zeros((length + 1, n), np.int32)
+        distance[0] = 0
+        single = self.model.algorithm == BPE  # one path of finite weight: a state that is reached is done
         for end in range(1, length + 1):
-            for size in range(min(len(arcs), end)):
-                piece = arcs[size, :, end - size - 1]
-                rows = np.flatnonzero((piece >= 0) & (distance[:, end - size - 1] < UNREACHED))
+            for size in range(min(len(arcs), end) - 1, -1, -1):
+                start = end - size - 1
+                possible = (arcs[size, :, start] >= 0) & (distance[start] < UNREACHED)
+                if single:
+                    possible &= distance[end] == UNREACHED
+                rows = np.flatnonzero(possible)
                 if not len(rows):
                     continue
-                piece = piece[rows]
-                rows_fit = self.fits(last[rows, end - size - 1], piece)
-                rows, piece = rows[rows_fit], piece[rows_fit]
-                through = distance[rows, end - size - 1] + self.weights[piece]
-                shorter = through < distance[rows, end]
-                rows = rows[shorter]
-                distance[rows, end] = through[shorter]
-                last[rows, end] = piece[shorter]
-                size_of[rows, end] = size + 1
+                piece = arcs[size, rows, start]
+                fit = self.fits(last[start, rows], piece)
+                rows, piece = rows[fit], piece[fit]
+                through = distance[start, rows] + self.weights[piece]
+                shorter = through < distance[end, rows]
+                rows, piece = rows[shorter], piece[shorter]
+                distance[end, rows], last[end, rows], size_of[end, rows] = through[shorter], piece, size + 1
         # back along the last arcs, all words at once
         path = np.full((n, length), -1, np.int32)
         at, rows = np.full(n, length), np.arange(n)
         for place in range(length - 1, -1, -1):
-            path[rows, place] = last[rows, at[rows]]
-            at[rows] -= size_of[rows, at[rows]]
+            path[rows, place] = last[at[rows], rows]
+            at[rows] -= size_of[at[rows], rows]
             rows = rows[at[rows] > 0]
             if not len(rows):
                 break
-        return [p[p >= 0] for p in path]
+        return path
 
     def _ids(self, word: str, arcs: np.ndarray) -> np.ndarray:
         """Output side: piece ids, and bytes for characters without a piece."""
-        if not (arcs == self.unknown).any():
-            return arcs
         out, at = [], 0
         for a in arcs.tolist():
             if a == self.unknown:
@@ -259,8 +290,11 @@ class Transducer:
 
     def _long(self, word: str) -> np.ndarray:
         """The same shortest path for one long word, position by position, so that memory is linear in its length."""
-        steps = {int(k): int(s) for k, s in zip(self.trie_keys, self.trie_next)} if not hasattr(self, "_steps") else self._steps
-        self._steps = steps
+        if self.steps is None:
+            used = np.flatnonzero(self.slot_keys >= 0)
+            self.steps = dict(zip(self.slot_keys[used].tolist(), self.slot_next[used].tolist()))
+            self.steps |= dict(zip(self.more_keys.tolist(), self.more_next.tolist()))
+        steps = self.steps
         n = len(word)
         distance, last, sizes = [0.0] + [float("inf")] * n, [self.start] * (n + 1), [0] * (n + 1)
         for start in range(n):
@@ -277,7 +311,7 @@ class Transducer:
                 arcs.append((1, self.unknown))
             for size, piece in arcs:
                 through = distance[start] + float(self.weights[piece])
-                if through < distance[start + size] and self._fits_cached(last[start], piece):
+                if through < distance[start + size] and self.pair_fits_key(last[start] << 32 | piece):
                     distance[start + size], last[start + size], sizes[start + size] = through, piece, size
         path, at = [], n
         while at > 0:
@@ -285,51 +319,53 @@ class Transducer:
             at -= sizes[at]
         return np.array(path[::-1], np.int32)
 
-    def _fits_cached(self, before: int, piece: int) -> bool:
-        cache = self.__dict__.setdefault("_pairs", {})
-        key = (before, piece)
-        if key not in cache:
-            cache[key] = self._fits(before, piece)
-        return cache[key]
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; words are parts of a normalised text."""
-        new = [w for w in words if w not in self.words]
-        found: dict[str, np.ndarray] = {}
-        by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for length, group in by_length.items():
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words one after another in some order, where each word's begin, and how many they are.
+
+        Words are parts of a normalised text.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        flat, sizes, total = [], np.zeros(len(words), np.int64), 0
+        begins = np.zeros(len(words), np.int64)
+
+        def add(which: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            nonlocal total
+            sizes[which], begins[which] = n, total + np.cumsum(n) - n
+            flat.append(ids)
+            total += len(ids)
+
+        single: list[tuple[int, np.ndarray]] = []  # words that are long or have characters without a piece
+        edges = np.flatnonzero(np.diff(lengths[order])) + 1
+        for group in np.split(order, edges) if len(words) else ():
+            length = int(lengths[group[0]])
             if length > LONG_WORD:
-                found |= {w: self._ids(w, self._long(w)) for w in group}
+                single += [(k, self._ids(words[k], self._long(words[k]))) for k in group.tolist()]
                 continue
-            for start in range(0, len(group), ROWS_AT_ONCE):
-                some = group[start : start + ROWS_AT_ONCE]
-                points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+            for some in np.split(group, range(ROWS_AT_ONCE, len(group), ROWS_AT_ONCE)):
+                text = "".join([words[k] for k in some.tolist()])
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                 paths = self.shortest_paths(points.astype(np.int64).reshape(len(some), length))
-                found |= {w: self._ids(w, p) for w, p in zip(some, paths)}
-        out = [self.words[w] if w in self.words else found[w] for w in words]
-        if len(self.words) + len(found) > CACHED_WORDS:
-            self.words = {}
-        if len(found) <= CACHED_WORDS:
-            self.words |= {w: ids for w, ids in found.items() if len(w) <= LONG_WORD}
-        return out
+                odd = (paths == self.unknown).any(axis=1)
+                single += [(k, self._ids(words[k], p[p >= 0])) for k, p in zip(some[odd].tolist(), paths[odd])]
+                paths = paths[~odd]
+                add(some[~odd], paths[paths >= 0], (paths >= 0).sum(axis=1))
+        if single:
+            which, ids = zip(*single)
+            add(np.array(which), np.concatenate(ids), np.array([len(x) for x in ids]))
+        return np.concatenate(flat) if flat else np.empty(0, np.int32), begins, sizes
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """Ids of each text."""
         lead = MARK if self.model.dummy_prefix else ""
         parts = [WORDS.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
         coded = pa.array([w for p in parts for w in p], pa.string()).dictionary_encode()
-        encoded = self.encode_words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(encoded) if encoded else np.empty(0, np.int32)
+        flat, begins, sizes = self.encode_words(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
-        n = sizes[codes] if len(codes) else np.empty(0, np.int64)
+        n = sizes[codes]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(total[-1]) + np.repeat(begins[codes] - total[:-1], n)] if len(codes) else flat
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.arange(total[-1]) + np.repeat(begins[codes] - total[:-1], n)]
         return pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
 
     def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
