@@ -61,8 +61,19 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rotated, np.packbits(bits, axis=1), scalars
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would overflow or vanish, scaled by a power of two; all others as they are."""
+    largest = np.abs(x).max(axis=1, initial=0.0)
+    odd = (largest > 1e150) | (largest < 1e-150)
+    if odd.any():
+        x = x.copy()
+        x[odd] = np.ldexp(x[odd], -np.frexp(largest[odd])[1][:, None])
+    return x
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row in double precision."""
+    a, b = _in_range(a), _in_range(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 

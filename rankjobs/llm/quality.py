@@ -200,6 +200,8 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
     if not len(y) or share in (0.0, 1.0):
         return RuleEnsemble(names, [], [], math.log((share + 1e-3) / (1 - share + 1e-3)))
     rules = tree_rules(x, y)
+    if not rules:
+        return RuleEnsemble(names, [], [], math.log((share + 1e-3) / (1 - share + 1e-3)))
     r = np.stack([rule.holds(x) for rule in rules], axis=1).astype(np.float64)
     weights, intercept = lasso_logistic(r, y)
     kept = np.flatnonzero(np.abs(weights) > 1e-3)
