@@ -8,12 +8,12 @@
 3. In each band, values are compared in steps of 16. With a uniform prior and m matches
    in n values the similarity's posterior is Beta(m + 1, n - m + 1); when the probability
    that it is at least the threshold is below ``TOLERANCE``, the pair is dropped. What
-   is left is written as a spanning forest of each band, never as pairs.
-4. The components of these forests are clusters. Their texts are read once more, and
+   is left is written as stars (a class and the smallest one of its component), never as pairs.
+4. The components of these stars are clusters. Their texts are read once more, and
    within a cluster all pairs meet in blocks: pruned again in the same way, then the
    sizes of intersections are counted exactly. Tasks return, for each class, the number
-   of its partners, and a spanning forest of the links.
-5. Components of the forests are the near-duplicate groups.
+   of its partners, and the links' components as stars.
+5. Components of the links are the near-duplicate groups.
 
 Blocks hold about ``BLOCK`` classes of a band, ``TEXT_BLOCK`` texts of a cluster, so a large group is many
 tasks of pairs of blocks and no task holds it whole. Exact copies cost one class.
@@ -183,26 +183,31 @@ ROWS_AT_ONCE = 1 << 12
 
 
 class Forest:
-    """Spanning forest of the pairs seen so far, over nodes 0 to n - 1."""
+    """Components of the pairs seen so far, over nodes 0 to n - 1."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
-        self.edges: list[np.ndarray] = []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
             high, low = np.maximum(self.root[i], self.root[j]), np.minimum(self.root[i], self.root[j])
             apart = high != low
-            i, j, high, low = i[apart], j[apart], high[apart], low[apart]
-            # every root hooks once, onto a smaller one, so no circle can close
-            hooked, at = np.unique(high, return_index=True)
-            self.edges.append(np.stack([i[at], j[at]]))
-            self.root[hooked] = low[at]
+            i, j = i[apart], j[apart]
+            # every root hooks onto a smaller one, so no circle can close
+            np.minimum.at(self.root, high[apart], low[apart])
             while (self.root[self.root] != self.root).any():
                 self.root = self.root[self.root]
 
-    def pairs(self) -> np.ndarray:
-        return np.concatenate(self.edges, axis=1) if self.edges else np.empty((2, 0), np.int64)
+    def stars(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row number with the smallest one of its component, where that is another.
+
+        Tasks that see the same component name the same edges, so these can be made distinct.
+        """
+        smallest = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, self.root, rows)
+        smallest = smallest[self.root]
+        apart = smallest != rows
+        return rows[apart], smallest[apart]
 
 
 def units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -268,8 +273,8 @@ def _forest_of_bands(steps):
             forest = Forest(len(row))
             for i, j in pairs_of_units(unit, block, first != second):
                 forest.add(*prune(values, values, i, j, steps))
-            a, b = forest.pairs()
-            yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], schema=EDGES_ARROW)
+            a, b = forest.stars(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGES_ARROW)
 
     return run
 
@@ -333,12 +338,12 @@ def _links_of_clusters(steps, words: int, threshold: float):
             np.add.at(partners, i, copies[j])
             np.add.at(partners, j, copies[i])
             forest.add(i, j)
-        a, b = forest.pairs()
+        a, b = forest.stars(row)
         some = np.flatnonzero(partners)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([row[some], row[a]])),
-                pa.array(np.concatenate([row[some], row[b]])),
+                pa.array(np.concatenate([row[some], a])),
+                pa.array(np.concatenate([row[some], b])),
                 pa.array(np.concatenate([partners[some], np.zeros(len(a), np.int64)])),
             ],
             schema=LINKS_ARROW,
