@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
+SLICE_IDS = 1 << 19
 ROWS_AT_ONCE = 1 << 13
 PAIR_SLOTS = 1 << 21
 KNOWN_PAIRS = 1 << 19
@@ -427,6 +428,12 @@ def _slices(texts: pa.Array) -> list[pa.Array]:
     return [texts.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
 
 
+def _id_slices(lists: pa.ListArray) -> list[pa.ListArray]:
+    part = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)) // SLICE_IDS
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+    return [lists.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def encode(docs: DataFrame, model: bytes, text_column: str = "text", output: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text as an array of ints."""
 
@@ -444,6 +451,7 @@ def decode(docs: DataFrame, model: bytes, ids_column: str = "ids", output: str =
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        return pa.array(compiled(model).decode(lists), pa.string())
+        parts = [pa.array(compiled(model).decode(x), pa.string()) for x in _id_slices(lists)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return docs.withColumn(output, text(F.col(f"`{ids_column}`")))
