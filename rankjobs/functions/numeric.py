@@ -13,8 +13,12 @@ from rankjobs.functions.text import as_col
 
 
 def to_id(value: Column | str) -> Column:
-    """Numbers and numeric text to an id, fractions cut off; anything else to NULL."""
-    return as_col(value).try_cast("double").try_cast("bigint")
+    """Numbers and numeric text to an id, fractions cut off; anything else to NULL.
+
+    Whole numbers never pass through a double, so ids beyond 2^53 stay exact.
+    """
+    value = as_col(value)
+    return F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"))
 
 
 def id_of(df: DataFrame, name: str) -> Column:

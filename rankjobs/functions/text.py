@@ -44,11 +44,13 @@ def is_blank(value: Column | str) -> Column:
 
 @pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: html.unescape(v) if v is not None and "&" in v else v)
+    return values.map(html.unescape, na_action="ignore")
 
 
 def unescape_entities(value: Column | str) -> Column:
-    return _unescape(as_col(value))
+    """Only texts with an ampersand cross to Python; the others are sent as NULL and taken as they are."""
+    value = as_col(value)
+    return F.coalesce(_unescape(F.when(F.contains(value, F.lit("&")), value)), value)
 
 
 def collapse_markup(value: Column | str) -> Column:
@@ -167,7 +169,10 @@ def tokenize(text: Column | str, longer_than: int = 0) -> Column:
 def parse_id_list(value: Column | str) -> Column:
     """``[1,2]``, ``(1,2)``, ``1, 2`` and ``7`` to ids; blank to an empty list."""
     inner = F.regexp_replace(strip(value), r"^[\[(]|[\])]$", "")
-    ids = F.transform(F.split(inner, ","), lambda t: strip(t).try_cast("double").cast("bigint"))
+    ids = F.transform(
+        F.split(inner, ","),
+        lambda t: F.coalesce(strip(t).try_cast("bigint"), strip(t).try_cast("double").try_cast("bigint")),
+    )
     found = F.filter(ids, lambda i: i.isNotNull())
     return F.when(is_blank(value), F.array().cast("array<bigint>")).otherwise(found)
 

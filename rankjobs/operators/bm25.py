@@ -278,7 +278,8 @@ def bm25_top_k(
         if exclude_self:
             matrix[query_ids[:, None] == item_ids[None, :]] = -np.inf
         if not fill_zero:
-            matrix[matrix == 0] = -np.inf
+            # rounded first, as the ranking sees it
+            matrix[np.round(matrix, BM25_DECIMALS) == 0] = -np.inf
         return query_ids, item_ids, matrix
 
     query_blocks, query_bytes = packed_size(packed)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,23 @@ from rankjobs.operators import blocks
 
 
 def pack_vectors(vectors: DataFrame, id_column: str, block_rows: int = 2048) -> DataFrame:
-    """Blocks of at most ``block_rows`` vectors, made where the rows are read: no shuffle."""
+    """Blocks of at most ``block_rows`` vectors, made where the rows are read: no shuffle.
+
+    A vector that is NULL, has a NULL element or another length than the one before it
+    is an error that names its id.
+    """
+
+    def whole(part: pa.RecordBatch, length: int | None) -> int:
+        column = part.column(1)
+        lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        length = int(lengths[0]) if length is None else length
+        bad = (lengths != length) | (lengths < 0)
+        if column.flatten().null_count:
+            bad |= np.array([v is not None and None in v for v in column.to_pylist()])
+        if bad.any():
+            at = int(np.flatnonzero(bad)[0])
+            raise ValueError(f"vector of {id_column} {part.column(0)[at].as_py()} is incomplete or not of length {length}")
+        return length
 
     def emit(ids: list[np.ndarray], flat: list[np.ndarray], number: int) -> pa.RecordBatch:
         id_array, values = np.concatenate(ids), np.concatenate(flat)
@@ -34,9 +51,11 @@ def pack_vectors(vectors: DataFrame, id_column: str, block_rows: int = 2048) ->
         ids: list[np.ndarray] = []
         flat: list[np.ndarray] = []
         held = number = 0
+        length = None
         for batch in batches:
             for start in range(0, len(batch), block_rows):
                 part = batch.slice(start, block_rows)
+                length = whole(part, length)
                 if held and held + len(part) > block_rows:
                     yield emit(ids, flat, number)
                     ids, flat, held, number = [], [], 0, number + 1

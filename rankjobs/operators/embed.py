@@ -119,3 +119,10 @@ def unit_vectors(df: DataFrame, id_column: str, vector_column: str = "embedding"
 def rows_per_block(dim: int, block_bytes: int = 4 << 20) -> int:
     """Rows of float32 vectors that fit a block."""
     return max(1, min(4096, math.floor(block_bytes / (4 * max(1, dim)))))
+
+
+def weights(vectors: DataFrame, id_column: str) -> DataFrame:
+    """The positive elements of vectors in long form, to six decimals."""
+    return vectors.select(id_column, F.posexplode("embedding").alias("bucket", "weight")).filter("weight > 0").select(
+        id_column, F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("weight").cast("double"), 6).alias("weight")
+    )

@@ -10,8 +10,10 @@ from rankjobs.functions.numeric import id_of
 from rankjobs.sources import schemas
 from rankjobs.sources.tables import require_columns
 
-BUG_TEXT = ("bug_title", "bug_description", "bug_tags", "priority", "severity")
-TESTCASE_TEXT = ("testcase_title", "testcase_description", "test_steps", "expected_results", "preconditions")
+_MASTER = schemas.MASTER.fieldNames()
+BUG_TEXT = tuple(_MASTER[1 : _MASTER.index("testcase_id")])
+TESTCASE_TEXT = tuple(schemas.TESTCASES.fieldNames()[1:])
+MASTER_TESTCASE_TEXT = tuple(_MASTER[_MASTER.index("testcase_id") + 1 :])
 
 
 def clean_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -76,17 +78,20 @@ def build_master(
     attached. With ``unique_ids=False`` the two item tables may repeat rows; they
     are then made distinct first, which gives the same rows as doing it at the end.
     """
-    require_columns(bugs, [c for c in schemas.MASTER.fieldNames() if c.startswith("bug_")], "bugs")
-    require_columns(testcases, [c for c in schemas.MASTER.fieldNames() if c.startswith("testcase_")], "test cases")
+    require_columns(bugs, ("bug_id", *BUG_TEXT), "bugs")
+    require_columns(testcases, ("testcase_id", *MASTER_TESTCASE_TEXT), "test cases")
     bug_side = bugs.select(id_of(bugs, "bug_id").alias("bug_id"), *BUG_TEXT)
     testcase_side = testcases.select(
-        id_of(testcases, "testcase_id").alias("testcase_id"), "testcase_title", "testcase_description", "test_steps"
+        id_of(testcases, "testcase_id").alias("testcase_id"), *MASTER_TESTCASE_TEXT
     )
     if not unique_ids:
         bug_side, testcase_side = bug_side.distinct(), testcase_side.distinct()
+    # narrow ids decide first, so that only pairs with both ends are made distinct
     master = (
         both_directions(raw)
         .select("bug_id", "testcase_id")
+        .join(bug_side.select("bug_id"), "bug_id", "left_semi")
+        .join(testcase_side.select("testcase_id"), "testcase_id", "left_semi")
         .distinct()
         .join(bug_side, "bug_id")
         .join(testcase_side, "testcase_id")

@@ -34,19 +34,21 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     counted = df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v is not null")
     n, s = F.sum("n"), F.sum(F.col("v") * F.col("n"))
     quartiles = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    # the mean comes first, as a scalar subquery: sums of squares of large values lose their difference
+    mean = counted.agg((s / n).alias("mean")).scalar()
+    away = F.col("v") - mean
     first = counted.agg(
         n.alias("count"),
         (s / n).alias("mean"),
-        F.sum(F.col("v") * F.col("v") * F.col("n")).alias("_squares"),
+        F.sum(away * away * F.col("n")).alias("_squares"),
         F.min("v").alias("min"),
         quartiles.alias("q"),
         F.max("v").alias("max"),
     )
-    spread = (F.col("_squares") - F.col("count") * F.col("mean") * F.col("mean")) / (F.col("count") - 1)
     return first.select(
         "count",
         "mean",
-        F.when(F.col("count") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("std"),
+        F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))).alias("std"),
         "min",
         F.col("q")[0].alias("p25"),
         F.col("q")[1].alias("p50"),

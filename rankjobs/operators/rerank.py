@@ -2,7 +2,8 @@
 
 A scorer takes pairs ``query_id, testcase_id, testcase_title`` and the queries, and
 returns the pairs with a ``raw_score``. A failing scorer fails the job; ``None`` as
-scorer means "keep the retrieval order".
+scorer means "keep the retrieval order". Reranking never drops a member of a list: a
+query without a text has an empty one, a pair without a stored score has 0.
 """
 
 from __future__ import annotations
@@ -37,14 +38,15 @@ def token_overlap_scorer(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     tokens = queries.select("query_id", F.array_distinct(tx.tokenize("query_text")).alias("_tokens"))
     title = F.array_distinct(tx.tokenize("testcase_title"))
-    return pairs.join(tokens, "query_id").withColumn("raw_score", jaccard(title, F.col("_tokens"))).drop("_tokens")
+    own = F.coalesce("_tokens", F.array().cast("array<string>"))
+    return pairs.join(tokens, "query_id", "left").withColumn("raw_score", jaccard(title, own)).drop("_tokens")
 
 
 def python_scorer(make_model: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch_size: int = 32) -> Scorer:
     """A scorer around a Python model, which each task loads once."""
 
     def score(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        joined = pairs.join(queries.select("query_id", "query_text"), "query_id")
+        joined = pairs.join(queries.select("query_id", "query_text"), "query_id", "left")
         kept = pairs.columns
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +68,8 @@ def stored_scorer(scores: DataFrame) -> Scorer:
     """Scores computed elsewhere, as ``query_id, testcase_id, raw_score``."""
 
     def score(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        return pairs.join(scores.select("query_id", "testcase_id", "raw_score"), ["query_id", "testcase_id"])
+        known = scores.select("query_id", "testcase_id", "raw_score")
+        return pairs.join(known, ["query_id", "testcase_id"], "left").withColumn("raw_score", F.coalesce("raw_score", F.lit(0.0)))
 
     return score
 

@@ -135,14 +135,20 @@ def per_bug_table(lists: DataFrame, truth: DataFrame, evaluated: DataFrame, use_
     )
 
 
-def time_split(rows: DataFrame, time_column: str, at=None, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def time_split(
+    rows: DataFrame, time_column: str, at=None, share: float = 0.8, undated: str = "before"
+) -> tuple[DataFrame, DataFrame]:
     """Rows before a moment and rows from it on (planned in the specification, not in its code).
 
-    Without ``at`` the moment is the ``share`` quantile of the times.
+    Without ``at`` the moment is the ``share`` quantile of the times. Rows without a time
+    go to the part that ``undated`` names, ``"before"`` or ``"after"``.
     """
+    if undated not in ("before", "after"):
+        raise ValueError(f"unknown part: {undated!r}")
     if at is None:
         at = rows.agg(F.percentile_approx(F.unix_micros(F.col(time_column).cast("timestamp")), share)).first()[0]
         moment = F.timestamp_micros(F.lit(at))
     else:
         moment = F.lit(at).cast("timestamp")
-    return rows.filter(F.col(time_column) < moment), rows.filter(F.col(time_column) >= moment)
+    early = F.coalesce(F.col(time_column) < moment, F.lit(undated == "before"))
+    return rows.filter(early), rows.filter(~early)

@@ -119,7 +119,7 @@ def _vectorize(df, id_column, text_column, as_query):
     return embed.token_hash_vectors(df, id_column, text_column, dim=m.VECTOR_DIM, as_query=as_query)
 
 
-GRID = tune.Grid(top_ks=(10, 20), weights=tune.WEIGHTS[::2], rerank_weights=(0.25, 0.75))
+GRID = tune.Grid()
 
 
 def _grid(spark, sf):

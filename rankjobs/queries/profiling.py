@@ -7,17 +7,11 @@ from pyspark.sql import functions as F
 from rankjobs.operators import profile, quality
 from rankjobs.plans import evaluate
 from rankjobs.queries import model as m
+from rankjobs.sources import schemas
 
-BUG_COLUMNS = (
-    "bug_id", "bug_title", "bug_description", "bug_tags", "priority", "severity", "area_path", "iteration_path", "state", "created",
-)
-TESTCASE_COLUMNS = (
-    "testcase_id", "testcase_title", "testcase_description", "test_steps", "expected_results", "preconditions",
-)
-MASTER_COLUMNS = (
-    "bug_id", "bug_title", "bug_description", "bug_tags", "priority", "severity",
-    "testcase_id", "testcase_title", "testcase_description", "test_steps",
-)
+BUG_COLUMNS = (*schemas.BUGS.fieldNames(), "created")
+TESTCASE_COLUMNS = tuple(schemas.TESTCASES.fieldNames())
+MASTER_COLUMNS = tuple(schemas.MASTER.fieldNames())
 TEXT_COLUMNS = ("bug_title", "bug_description", "testcase_title", "testcase_description", "test_steps")
 
 

@@ -132,8 +132,8 @@ def _overlap_sql(pairs: str, queries: str) -> dict[str, str]:
     return {
         "query_words": f"SELECT id, {_WORDS.format('text')} AS qw FROM {queries}",
         "overlap": f"""SELECT *, CASE WHEN u > 0 THEN i::DOUBLE / u ELSE 0 END AS raw_score FROM (
-            SELECT p.*, len(list_intersect(qw, tw)) AS i, len(list_distinct(list_concat(qw, tw))) AS u
-            FROM (SELECT *, {_WORDS.format('testcase_title')} AS tw FROM {pairs}) p JOIN query_words ON id = p.query_id)""",
+            SELECT p.*, len(list_intersect(coalesce(qw, []), tw)) AS i, len(list_distinct(list_concat(coalesce(qw, []), tw))) AS u
+            FROM (SELECT *, {_WORDS.format('testcase_title')} AS tw FROM {pairs}) p LEFT JOIN query_words ON id = p.query_id)""",
     }
 
 

@@ -33,9 +33,7 @@ def dense_topk_others(spark, sf):
 
 def embed_tokens(spark, sf):
     vectors = embed.token_hash_vectors(m.documents(spark, sf), "doc_id", "text", dim=m.VECTOR_DIM)
-    return vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight > 0").select(
-        "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("weight").cast("double"), 6).alias("weight")
-    )
+    return embed.weights(vectors, "doc_id")
 
 
 def embed_ml(spark, sf):
@@ -84,6 +82,8 @@ def passage_pairs(docs, items):
 
     Instead of testing all pairs, a pair must share the passage's rarest inner word. A
     passage may begin or end inside a word of the document, so those two are not used.
+    A passage without an inner word is looked up by its longest run of word characters, or
+    of others, among the pieces of that length of the documents' runs.
     """
     words = F.regexp_extract_all(F.col("query_text"), F.lit(r"(?<=[^\p{L}\p{N}_])[\p{L}\p{N}_]+(?=[^\p{L}\p{N}_])"), F.lit(0))
     doc_words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
@@ -97,6 +97,7 @@ def passage_pairs(docs, items):
         .agg(F.min_by("word", F.struct(F.coalesce("docs", F.lit(0)), F.col("word"))).alias("word"))
     )
     candidates = doc_words.join(key, "word").select("query_id", "doc_id")
+    candidates = candidates.unionByName(_short_candidates(docs, items.join(key, "query_id", "left_anti")))
     return (
         candidates.join(items, "query_id")
         .join(docs.select("doc_id", "text"), "doc_id")
@@ -105,6 +106,22 @@ def passage_pairs(docs, items):
     )
 
 
+def _short_candidates(docs, items):
+    """``(query_id, doc_id)`` where a run of the document has the longest run of the passage as a piece."""
+    runs = F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+")
+    own = items.select("query_id", F.explode(F.regexp_extract_all("query_text", runs, F.lit(0))).alias("run"))
+    longest = stage(own.groupBy("query_id").agg(F.max_by("run", F.struct(F.length("run"), F.col("run"))).alias("piece")), "pieces")
+    sizes = longest.select(F.length("piece").alias("size")).distinct()
+    doc_runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", runs, F.lit(0)))).alias("run"))
+    # the lengths that occur are few, and only runs that are long enough are cut
+    pieces = (
+        doc_runs.join(sizes, F.length("run") >= F.col("size"))
+        .select("doc_id", "run", "size", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)).alias("at"))
+        .select("doc_id", F.substring("run", F.col("at"), F.col("size")).alias("piece"))
+    )
+    return pieces.join(longest, "piece").select("query_id", "doc_id").distinct()
+
+
 def rrf(spark, sf):
     """Every linked bug, by vectors and by words."""
     _, corpus = m.history(spark, sf)

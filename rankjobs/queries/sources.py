@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rankjobs.operators import embed
 from rankjobs.plans import recommend as rec
 from rankjobs.queries import model as m
+from rankjobs.queries import retrieval
 from rankjobs.queries.ranking import _POSITION, recommend_ctes
 from rankjobs.sources import artifacts, items, schemas, tables
 from rankjobs.streaming.new_items import recommend_stream
@@ -29,6 +30,10 @@ def _work_items(spark, sf):
             *field("System.Title", F.col("url")),
             *field("System.Description", F.col("html")),
             *field("System.Tags", F.concat(F.lit("page;; "), F.split("url", "/")[3], F.lit(" ;"))),
+            *field("Microsoft.VSTS.Common.Priority", (F.col("page_id") % 4).cast("string")),
+            *field("Microsoft.VSTS.Common.Severity", F.concat(F.lit("<p>"), (F.col("page_id") % 3).cast("string"), F.lit("</p>"))),
+            *field("System.AreaPath", F.concat(F.lit("web/"), F.split("url", "/")[2])),
+            *field("System.State", F.when(F.col("page_id") % 5 == 0, "Closed").otherwise("Active")),
         ).alias("fields"),
     )
     step = lambda a, b: F.concat(F.lit("<step><p>"), a, F.lit("</p><p>"), b, F.lit("</p></step>"))
@@ -37,6 +42,8 @@ def _work_items(spark, sf):
         F.create_map(
             *field(items.TYPE_FIELD, F.lit(items.TESTCASE_TYPE)),
             *field("System.Title", F.concat("p_name", F.lit(" "), "p_brand")),
+            *field("System.Description", F.concat(F.lit("<div>"), "p_type", F.lit("</div>"))),
+            *field("Microsoft.VSTS.TCM.Preconditions", F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))),
             *field(
                 items.STEPS_FIELD,
                 F.concat(
@@ -55,24 +62,61 @@ def _work_items(spark, sf):
 
 
 def items_bugs(spark, sf):
-    return items.flatten_bugs(items.of_type(_work_items(spark, sf), items.BUG_TYPE)).select(
-        "bug_id", "bug_title", "bug_description", "bug_tags", "severity"
-    )
+    return items.flatten_bugs(items.of_type(_work_items(spark, sf), items.BUG_TYPE)).select(*schemas.BUGS.fieldNames())
 
 
 def items_testcases(spark, sf):
-    return items.flatten_testcases(items.of_type(_work_items(spark, sf), items.TESTCASE_TYPE)).select(
-        "testcase_id", "testcase_title", "test_steps", "expected_results"
-    )
+    return items.flatten_testcases(items.of_type(_work_items(spark, sf), items.TESTCASE_TYPE)).select(*schemas.TESTCASES.fieldNames())
 
 
 def csv_round_trip(spark, sf):
     """Bugs written as CSV and read back, line ends and quotes in the cells included."""
     path = _folder(spark, "csv")
-    columns = ("bug_id", "bug_title", "bug_description", "bug_tags", "severity")
+    columns = schemas.BUGS.fieldNames()
     tables.write_csv(m.bugs(spark, sf).select(*columns), path)
-    schema = type(schemas.BUGS)([f for f in schemas.BUGS.fields if f.name in columns])
-    return tables.read_csv(spark, path, schema).select(*columns)
+    return tables.read_csv(spark, path, schemas.BUGS).select(*columns)
+
+
+def csv_encodings(spark, sf):
+    """Texts written as CSV in Windows-1252, and read back with the encoding detected; Latin words keep their letters."""
+    path = _folder(spark, "csv-cp1252")
+    words = F.regexp_replace("text", rf"[^\x20-\x7E\xA0-\xFF{tables.CP1252_LETTERS}]", "?")
+    docs = m.documents(spark, sf).select("doc_id", F.concat(F.lit("€ "), words).alias("text"))
+    written = docs.withColumn("text", tables.encode_cp1252(F.col("text")))
+    written.write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    return tables.read_csv(spark, path, docs.schema, encoding=tables.detect_encoding(spark, path))
+
+
+def missing_columns(spark, sf):
+    """Which required columns each given table lacks, as the error of the check names them."""
+    rows = None
+    for name, wanted in (("part", ("p_partkey", "p_colour")), ("orders", ("o_orderkey",)), ("documents", ("title", "doc_id", "state"))):
+        df = m.table(spark, sf, name)
+        try:
+            tables.require_columns(df, wanted, name)
+            said = None
+        except ValueError as error:
+            said = str(error)
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(said).cast("string").alias("error"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def derived_if_missing(spark, sf):
+    """A text column that is stored is kept, one that is not is derived."""
+    stored = m.documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("bug_text"), "lang")
+    bare = m.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("lang"))
+    frames = [tables.with_column_if_missing(df, "bug_text", F.concat(F.lit("text: "), "lang")) for df in (stored, bare)]
+    return frames[0].select("id", "bug_text").unionByName(frames[1].select("id", "bug_text"))
+
+
+def json_rows(spark, sf):
+    """One row per order status, written as JSON lines and read back, with its sorted JSON text."""
+    path = _folder(spark, "json")
+    totals = m.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
+    tables.write_json_rows(totals, path)
+    back = spark.read.schema(totals.schema).json(path)
+    return back.select("*", tables.sorted_json(back, back.columns).alias("text"))
 
 
 def optional_columns(spark, sf):
@@ -85,12 +129,12 @@ def vector_artifact(spark, sf):
     """Vectors stored under a content key; the second request reads what the first one wrote."""
     folder = _folder(spark, "artifact")
     texts = m.documents(spark, sf).select("doc_id", "text")
-    settings = {"encoder": "token_hash", "dim": 64}
-    build = lambda df: embed.token_hash_vectors(df, "doc_id", "text", dim=64)
+    settings = {"encoder": "token_hash", "dim": m.VECTOR_DIM}
+    build = lambda df: embed.token_hash_vectors(df, "doc_id", "text", dim=m.VECTOR_DIM)
     artifacts.cached_artifact(texts, settings, folder, build)
     stored = artifacts.cached_artifact(texts, settings, folder, build)
     artifacts.check_vectors(stored)
-    return stored.select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
+    return embed.weights(stored, "doc_id")
 
 
 def stream_recommend(spark, sf):
@@ -113,18 +157,40 @@ QUERIES = {
     "items_bugs": (
         items_bugs,
         f"""SELECT page_id AS bug_id, {m.sql_clean('url')} AS bug_title, {m.sql_clean('html')} AS bug_description,
-        'page; ' || split_part(url, '/', 4) AS bug_tags, NULL::VARCHAR AS severity FROM pages""",
+        'page; ' || split_part(url, '/', 4) AS bug_tags, (page_id % 4)::VARCHAR AS priority, (page_id % 3)::VARCHAR AS severity,
+        'web/' || split_part(url, '/', 3) AS area_path, NULL::VARCHAR AS iteration_path,
+        CASE WHEN page_id % 5 = 0 THEN 'Closed' ELSE 'Active' END AS state FROM pages""",
     ),
     "items_testcases": (
         items_testcases,
         f"""SELECT p_partkey + {m.TESTCASE_BASE} AS testcase_id, concat(p_name, ' ', p_brand) AS testcase_title,
+        p_type AS testcase_description, CASE WHEN p_size % 2 = 0 THEN p_brand END AS preconditions,
         CASE WHEN p_size % 5 = 0 THEN {m.sql_collapse("concat('<s> take <b>', p_name, ' check ', p_brand, ' is ', p_type)")}
         ELSE concat('1. take ', p_name, chr(10), '3. check ', p_brand) END AS test_steps,
         CASE WHEN p_size % 5 <> 0 THEN concat('3. is ', p_type) END AS expected_results FROM part""",
     ),
-    "csv_round_trip": (csv_round_trip, m.with_ctes(("bugs",), {}, "SELECT bug_id, bug_title, bug_description, bug_tags, severity FROM bugs")),
+    "csv_round_trip": (csv_round_trip, m.with_ctes(("bugs",), {}, f"SELECT {', '.join(schemas.BUGS.fieldNames())} FROM bugs")),
+    "csv_encodings": (
+        csv_encodings,
+        rf"""SELECT doc_id, '€ ' || regexp_replace(text, '[^\x20-\x7E\x{{A0}}-\x{{FF}}{tables.CP1252_LETTERS}]', '?', 'g') AS text FROM documents""",
+    ),
+    "missing_columns": (
+        missing_columns,
+        """SELECT 'part' AS name, count(*) AS rows, 'part is missing required columns: [''p_colour'']' AS error FROM part
+        UNION ALL SELECT 'orders', count(*), NULL FROM orders
+        UNION ALL SELECT 'documents', count(*), 'documents is missing required columns: [''title'', ''state'']' FROM documents""",
+    ),
+    "derived_if_missing": (
+        derived_if_missing,
+        "SELECT doc_id AS id, source AS bug_text FROM documents UNION ALL SELECT page_id, 'text: ' || url FROM pages",
+    ),
+    "json_rows": (
+        json_rows,
+        """SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first,
+        '{"first":' || min(o_orderkey) || ',"n":' || count(*) || ',"o_orderstatus":"' || o_orderstatus || '"}' AS text FROM orders GROUP BY 1""",
+    ),
     "optional_columns": (optional_columns, "SELECT p_partkey, p_name, p_type, NULL::VARCHAR AS preconditions FROM part"),
-    "vector_artifact": (vector_artifact, "SELECT doc_id, 64::BIGINT AS dim FROM documents"),
+    "vector_artifact": (vector_artifact, retrieval.QUERIES["embed_tokens"][1]),
     "stream_recommend": (
         stream_recommend,
         m.with_ctes(

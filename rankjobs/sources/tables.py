@@ -72,12 +72,19 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if flags.has_unmapped else "windows-1252"
 
 
-def _decode_cp1252(value: Column) -> Column:
-    """Windows-1252 text out of Latin-1 text: 27 bytes of 0x80-0x9F have other letters."""
-    # The Windows-1252 letters of 0x80-0x9F that exist.
-    codes = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
-    letters = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-    return F.translate(value, codes, letters)
+# The Windows-1252 letters of 0x80-0x9F that exist, and their bytes as Latin-1 characters.
+CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+CP1252_LETTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
+def decode_cp1252(value: Column) -> Column:
+    """Windows-1252 text out of Latin-1 text."""
+    return F.translate(value, CP1252_BYTES, CP1252_LETTERS)
+
+
+def encode_cp1252(value: Column) -> Column:
+    """Latin-1 text whose bytes are the text in Windows-1252, for sinks that know Latin-1 only."""
+    return F.translate(value, CP1252_LETTERS, CP1252_BYTES)
 
 
 def read_csv(
@@ -112,12 +119,13 @@ def read_csv(
 
     def cell(name: str, kind: T.DataType) -> Column:
         text = F.col(f"`{name}`")
-        text = _decode_cp1252(text) if from_latin1 else text
+        text = decode_cp1252(text) if from_latin1 else text
         value = F.when(~text.isin(*null_words), text)
         if isinstance(kind, T.StringType):
             return value.alias(name)
         if isinstance(kind, (T.LongType, T.IntegerType)):
-            return value.try_cast("double").try_cast(kind).alias(name)
+            # whole numbers do not pass through a double, which would change ids beyond 2^53
+            return F.coalesce(value.try_cast(kind), value.try_cast("double").try_cast(kind)).alias(name)
         return value.try_cast(kind).alias(name)
 
     kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
