@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -34,7 +35,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or list(HEADLINE)
-    spark = local_session(cpus)
+    spark = local_session(cpus, checkpoint_dir=tempfile.mkdtemp(prefix="bench-checkpoints-"))
     spark.sparkContext.setLogLevel("ERROR")
     entries = registry()
     # start the JVM's and the Python workers' code paths outside the timings

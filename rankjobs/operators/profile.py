@@ -149,6 +149,15 @@ def area_overlap(bugs: DataFrame, testcases: DataFrame, bug_area: Column | str,
     return rows.groupBy("area").agg(F.sum("b").alias("bugs"), F.sum("t").alias("testcases"))
 
 
+def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct values and missing cells of each column, in one pass: cells are counted before they meet."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
+    counted = df.select(F.explode(cells).alias("c")).groupBy("c.column", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column").agg(
+        F.count("value").alias("distinct_values"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing")
+    )
+
+
 def profile_summary(master: DataFrame) -> DataFrame:
     """The headline numbers of the profile as ``(metric, value)``."""
     counts = table_counts(master, ["bug_id", "testcase_id"]).select("metric", F.col("value").cast("double").alias("value"))

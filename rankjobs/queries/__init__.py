@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> dict[str, tuple[Query, str | None]]:
-    from rankjobs.queries import evaluation, profiling, ranking, retrieval, sources, tables, texts
+    from rankjobs.queries import evaluation, profiling, ranking, retrieval, sources, tables, texts, training
 
     entries: dict[str, tuple[Query, str | None]] = {}
-    for module in (texts, tables, profiling, retrieval, ranking, evaluation, sources):
+    for module in (texts, tables, profiling, retrieval, ranking, evaluation, sources, training):
         entries.update(module.QUERIES)
     return entries

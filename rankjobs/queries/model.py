@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table of fewer files than cores to all cores; a table of many files stays as it is."""
+    """Give a table of fewer splits than cores to all cores; a larger table stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,16 +110,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.unit_vectors(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, rec.Corpus]:
+def history(spark: SparkSession, sf_dir: str, words: bool = True) -> tuple[DataFrame, rec.Corpus]:
     """Linked bugs with their enriched text, and the corpus made of them.
 
-    Everything here is read several times later on, so it is staged.
+    Everything here is read several times later on, so it is staged. Without ``words``
+    there is no BM25 index, which dense retrieval does not need.
     """
     links_table = stage(vote_links(spark, sf_dir), "links")
     meta = stage(rec.bug_metadata(linked_bugs(spark, sf_dir, links_table)), "metadata")
     found = rec.Corpus(
         vectors=stage(embed.token_hash_vectors(meta, "bug_id", "bug_text_enriched", dim=VECTOR_DIM), "vectors"),
-        index=bm25.build_index(meta),
+        index=bm25.build_index(meta) if words else None,
         links=links_table,
     )
     return meta, found

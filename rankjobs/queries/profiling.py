@@ -109,9 +109,15 @@ def time_split(spark, sf):
 
 
 def area_overlap(spark, sf):
-    """Languages of bugs against kinds of test cases, which do not overlap here."""
-    first = F.split("bug_tags", ";")[0]
-    return profile.area_overlap(m.bugs(spark, sf), m.testcases(spark, sf), first, F.lower(F.split("testcase_description", " ")[0]))
+    """Sources of bugs against groups of test cases; some have both, some one."""
+    own = F.split("bug_tags", ";")[1]
+    return profile.area_overlap(
+        m.bugs(spark, sf), m.testcases(spark, sf), own, F.concat(F.lit("src"), (F.col("testcase_id") % 30).cast("string"))
+    )
+
+
+def cardinalities(spark, sf):
+    return profile.cardinality(m.bugs(spark, sf), BUG_COLUMNS)
 
 
 def _null_pct_sql(rel: str, columns) -> str:
@@ -329,8 +335,19 @@ QUERIES = {
             ("bugs", "testcases"),
             {},
             """SELECT area, sum(b)::BIGINT AS bugs, sum(t)::BIGINT AS testcases FROM (
-            SELECT trim(split_part(bug_tags, ';', 1)) AS area, 1 AS b, 0 AS t FROM bugs
-            UNION ALL SELECT lower(split_part(testcase_description, ' ', 1)), 0, 1 FROM testcases) GROUP BY area""",
+            SELECT trim(split_part(bug_tags, ';', 2)) AS area, 1 AS b, 0 AS t FROM bugs
+            UNION ALL SELECT 'src' || (testcase_id % 30), 0, 1 FROM testcases) GROUP BY area""",
+        ),
+    ),
+    "cardinalities": (
+        cardinalities,
+        m.with_ctes(
+            ("bugs",),
+            {},
+            " UNION ALL ".join(
+                f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_values, count(*) FILTER ({c} IS NULL) AS missing FROM bugs"
+                for c in BUG_COLUMNS
+            ),
         ),
     ),
 }

@@ -89,7 +89,7 @@ def recommend(spark, sf):
 
 
 def recommend_dense(spark, sf):
-    _, corpus = m.history(spark, sf)
+    _, corpus = m.history(spark, sf, words=False)
     queries = _passage_queries(spark, sf)
     config = rec.RecommendConfig(mode="dense")
     return _rounded(

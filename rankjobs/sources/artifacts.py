@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +29,25 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_staged(spark: SparkSession, since: set[str] | None = None) -> None:
-    """Remove the tables this application has staged (but those named in ``since``).
+_scope: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
 
-    Call it when the frames that read them are no longer used.
-    """
-    for path in staged_tables(spark) - (since or set()):
-        remove(spark, path)
+
+@contextmanager
+def staged_scope(spark: SparkSession):
+    """Tables staged inside are removed on the way out; frames that read them are to be used up by then."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            remove(spark, path)
 
 
-def staged_tables(spark: SparkSession) -> set[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return {str(x.getPath()) for x in system.listStatus(folder)} if system.exists(folder) else set()
+def release_staged(spark: SparkSession) -> None:
+    """Remove all tables this application has staged, when it no longer reads any."""
+    remove(spark, application_folder(spark))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +58,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
