@@ -40,6 +40,27 @@ def min_max(value: Column | str, partition: Sequence[str]) -> Column:
     return F.when(value.isNull(), F.lit(None)).when(high > low, (value - low) / (high - low)).otherwise(F.lit(1.0))
 
 
+def with_min_max(rows: DataFrame, scaled: dict[str, str], by: Sequence[str]) -> DataFrame:
+    """``min_max`` for lists of any length: new column -> column that is scaled within each list.
+
+    Bounds come from an aggregation, which starts in each task, and are joined back; no
+    window holds a list. ``rows`` is read twice, so it should be staged.
+    """
+    bounds = rows.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(
+        *(f(v).alias(f"_{n}_{v}") for v in dict.fromkeys(scaled.values()) for n, f in (("low", F.min), ("high", F.max)))
+    )
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = rows.join(bounds, same)
+
+    def scale(v: str) -> Column:
+        low, high = F.col(f"_low_{v}"), F.col(f"_high_{v}")
+        return F.when(F.col(v).isNull(), F.lit(None)).when(high > low, (F.col(v) - low) / (high - low)).otherwise(F.lit(1.0))
+
+    return joined.withColumns({name: scale(v) for name, v in scaled.items()}).drop(*bounds.columns)
+
+
 def l2_normalize(vector: Column | str) -> Column:
     """Unit-length array of floats; a zero vector stays zero."""
     vector = as_col(vector)

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankjobs.functions import text as tx
-from rankjobs.functions.numeric import min_max, sigmoid
+from rankjobs.functions.numeric import min_max, sigmoid, with_min_max
 from rankjobs.operators.blocks import SCORE_DECIMALS
 from rankjobs.operators.vote import ranked
+from rankjobs.sources.artifacts import stage
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -124,10 +125,10 @@ def rerank_before_cut(
             {"reranker_score": F.lit(None).cast("double"), "ranking_method": F.lit("retrieval")}
         )
         return ranked(unscored, ("final_score", "similarity_sum", "support_count"), k, by)
+    # the lists are not cut yet, so their bounds come from an aggregation
+    scored = stage(scorer(base, queries), "rerank-scores")
     scored = (
-        scorer(base, queries)
-        .withColumn("reranker_score", min_max("raw_score", by))
-        .withColumn("retrieval_score", min_max("final_score", by))
+        with_min_max(scored, {"reranker_score": "raw_score", "retrieval_score": "final_score"}, by)
         .withColumn(
             "final_score", _rounded((1 - F.lit(weight)) * F.col("retrieval_score") + F.lit(weight) * F.col("reranker_score"))
         )
