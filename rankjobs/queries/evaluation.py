@@ -401,7 +401,39 @@ QUERIES = {
             sum((bug_id IN (SELECT query_id FROM failed))::INT)::BIGINT AS failed FROM best GROUP BY 1""",
         ),
     ),
-    "failure_report": (failure_report, None),
+    "failure_report": (
+        failure_report,
+        m.with_ctes(
+            ("metadata",),
+            {
+                **_TABLE,
+                "predicted_counts": """SELECT testcase_id, count(*) AS n FROM lists JOIN failed USING (query_id) WHERE method = 'hybrid_reranked'
+                GROUP BY 1 ORDER BY n DESC, testcase_id LIMIT 10""",
+                "top_tokens": _TABLE["title_tokens"].replace("LIMIT 10", "LIMIT 20"),
+                "shown": "SELECT query_id FROM failed ORDER BY query_id LIMIT 20",
+            },
+            f"""SELECT 'overview' AS section, 'evaluated' AS key, count(*)::VARCHAR AS value FROM expected
+            UNION ALL SELECT 'overview', 'failed', count(*)::VARCHAR FROM failed
+            UNION ALL SELECT 'overview', 'failed_pct', printf('%.2f', round((SELECT count(*) FROM failed) / count(*)::DOUBLE * 100, 2)) FROM expected
+            UNION ALL SELECT 'overview', 'several_truths', coalesce(sum((n > 1)::INT), 0)::VARCHAR FROM truths
+            UNION ALL SELECT 'overview', 'several_truths_pct', printf('%.2f', round(coalesce(avg((n > 1)::INT::DOUBLE), 0) * 100, 2)) FROM truths
+            UNION ALL SELECT 'overview', 'blank_description_pct',
+                printf('%.2f', round(coalesce(avg(({m.sql_text('bug_description')} = '')::INT::DOUBLE), 0) * 100, 2)) FROM described
+            UNION ALL SELECT 'failed_truth', testcase_id::VARCHAR, n::VARCHAR FROM truth_counts
+            UNION ALL SELECT 'failed_prediction', testcase_id::VARCHAR, n::VARCHAR FROM predicted_counts
+            UNION ALL SELECT 'severity', coalesce(severity, '<missing>'), count(*)::VARCHAR FROM described GROUP BY severity
+            UNION ALL SELECT 'title_token', token, n::VARCHAR FROM top_tokens
+            UNION ALL SELECT 'cause', '{diagnose.CAUSE_SPARSE}', '1' FROM (
+                SELECT avg(({m.sql_text('bug_description')} = '')::INT) * 100 AS p FROM described) WHERE p > 20
+            UNION ALL SELECT 'cause', '{diagnose.CAUSE_AMBIGUOUS}', '1' FROM (SELECT max(n) AS x FROM truth_counts) WHERE x > 10
+            UNION ALL SELECT 'cause', '{diagnose.CAUSE_GENERIC}', '1' WHERE EXISTS (SELECT 1 FROM title_tokens WHERE token IN {diagnose.GENERIC_TOKENS})
+            UNION ALL SELECT 'cause', '{diagnose.CAUSE_MISS}', '1'
+            UNION ALL SELECT 'example', s.query_id::VARCHAR, concat_ws(' | ', bug_title, 'severity=' || coalesce(severity, '<missing>'),
+                'truth=[' || array_to_string(t.ids, ', ') || ']',
+                'predicted=[' || replace(coalesce(p.hybrid_reranked_predicted_testcases, ''), ',', ', ') || ']')
+                FROM shown s JOIN truths t USING (query_id) LEFT JOIN metadata b ON b.bug_id = s.query_id LEFT JOIN predictions p ON p.query_id = s.query_id""",
+        ),
+    ),
     "grid_results": (grid_results, m.with_ctes(("bugs", "vote_links"), _GRID_SQL, f"SELECT {_GRID_OUT} FROM done")),
     "grid_leaderboard": (
         grid_leaderboard,

@@ -8,6 +8,7 @@ from rankjobs.operators import profile, quality
 from rankjobs.plans import evaluate
 from rankjobs.queries import model as m
 from rankjobs.sources import schemas
+from rankjobs.sources.artifacts import stage
 
 BUG_COLUMNS = (*schemas.BUGS.fieldNames(), "created")
 TESTCASE_COLUMNS = tuple(schemas.TESTCASES.fieldNames())
@@ -24,7 +25,7 @@ def missing_counts(spark, sf):
 
 
 def dup_counts(spark, sf):
-    master = m.master(spark, sf)
+    master = stage(m.master(spark, sf), "master")
     out = quality.duplicate_count(master, "bug_id")
     for column in ("testcase_id", "bug_title", "testcase_title", "no_such_column"):
         out = out.unionByName(quality.duplicate_count(master, column))
@@ -36,7 +37,9 @@ def blank_counts(spark, sf):
 
 
 def validation_report(spark, sf):
-    return quality.validation_report(m.bugs(spark, sf), m.testcases(spark, sf), m.master(spark, sf))
+    # each table is read by several parts of the report
+    tables = (m.bugs(spark, sf), m.testcases(spark, sf), m.master(spark, sf))
+    return quality.validation_report(*(stage(t, "report") for t in tables))
 
 
 def table_counts(spark, sf):
@@ -80,7 +83,7 @@ def dup_bug_titles(spark, sf):
 
 
 def value_counts(spark, sf):
-    bugs = m.bugs(spark, sf)
+    bugs = stage(m.bugs(spark, sf), "bugs")
     parts = [
         profile.value_counts(bugs, c, "value", missing="Missing").select(F.lit(c).alias("column"), "value", "n")
         for c in ("priority", "severity", "bug_tags", "state")
@@ -100,7 +103,7 @@ def null_patterns(spark, sf):
 
 
 def profile_summary(spark, sf):
-    return profile.profile_summary(m.master(spark, sf))
+    return profile.profile_summary(stage(m.master(spark, sf), "master"))
 
 
 def time_split(spark, sf):
