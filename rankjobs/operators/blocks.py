@@ -95,9 +95,11 @@ def meet(
     left, right = named(queries, "q_"), named(corpus, "c_")
     parallelism = queries.sparkSession.sparkContext.defaultParallelism
     if query_bytes <= BROADCAST_BYTES:
-        # few long tasks, since each brings its best k rows per query to the final merge
+        # few long tasks, since each brings its best k rows per query to the final merge, but
+        # none of more than ``blocks_per_shard`` blocks, so that tasks grow in number and not in size
         groups = max(1, min(query_blocks, blocks_per_group))
-        met = in_all(right.coalesce(4 * parallelism), "grid_row", groups).join(
+        tasks = max(4 * parallelism, math.ceil(corpus_blocks / blocks_per_shard))
+        met = in_all(right.coalesce(tasks), "grid_row", groups).join(
             F.broadcast(in_group(left, "grid_row", "q_block_id", groups)), "grid_row"
         )
         # a task keeps one list per query over all that it reads

@@ -67,7 +67,10 @@ _ID_LISTS = (
 
 def eval_per_bug(spark, sf):
     _, _, table = _per_bug(spark, sf)
-    score = [F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5).alias(c) for c in ("retrieval_scores", "reranker_scores", "final_scores")]
+    score = [
+        F.array_join(F.transform(c, lambda x: F.round(x * 1e5).cast("bigint").cast("string")), ",").alias(c)
+        for c in ("retrieval_scores", "reranker_scores", "final_scores")
+    ]
     return table.select(
         "bug_id", *map(_listed, _ID_LISTS), *(f"hit@{k}" for k in evaluate.CUTOFFS), F.round("mrr", 9).alias("mrr"), "ranking_method", *score
     )
@@ -171,6 +174,11 @@ _BOTH = {
 }
 
 
+def _score_sql(value: str, name: str) -> str:
+    units = f"round({value} * 1e5)::BIGINT::VARCHAR"
+    return f"coalesce(string_agg({units}, ',' ORDER BY rank) FILTER (method = 'hybrid_reranked'), '') AS {name}"
+
+
 def _list_sql(method: str, name: str) -> str:
     return f"coalesce(string_agg(testcase_id::VARCHAR, ',' ORDER BY rank) FILTER (method = '{method}'), '') AS {name}"
 
@@ -180,8 +188,7 @@ _TABLE = {
     "expected": "SELECT bug_id AS query_id, list_sort(list(DISTINCT testcase_id)) AS ids FROM vote_links GROUP BY bug_id",
     "predictions": f"""SELECT query_id, {_list_sql('baseline', 'baseline_predicted_testcases')}, {_list_sql('reranked', 'dense_reranked_predicted_testcases')},
         {_list_sql('hybrid', 'hybrid_predicted_testcases')}, {_list_sql('hybrid_reranked', 'hybrid_reranked_predicted_testcases')},
-        sum(aggregated_score) FILTER (method = 'hybrid_reranked') AS retrieval_scores, sum(reranker_score) AS reranker_scores_all,
-        sum(reranker_score) FILTER (method = 'hybrid_reranked') AS reranker_scores, sum(final_score) FILTER (method = 'hybrid_reranked') AS final_scores
+        {_score_sql('aggregated_score', 'retrieval_scores')}, {_score_sql('reranker_score', 'reranker_scores')}, {_score_sql('final_score', 'final_scores')}
         FROM lists GROUP BY query_id""",
     "failed": "SELECT query_id FROM metrics WHERE method = 'hybrid_reranked' AND \"hit@10\" = 0",
     "described": "SELECT b.* FROM metadata b JOIN failed f ON f.query_id = b.bug_id",
@@ -344,8 +351,8 @@ QUERIES = {
             """
             + ", ".join(f"coalesce({c}, '') AS {c}" for c in _ID_LISTS[1:5])
             + """, coalesce(hybrid_reranked_predicted_testcases, '') AS predicted_testcases, "hit@1", "hit@3", "hit@5", "hit@10",
-            round(mrr, 9) AS mrr, 'hybrid+reranked' AS ranking_method, round(coalesce(retrieval_scores, 0), 5) AS retrieval_scores,
-            round(coalesce(reranker_scores, 0), 5) AS reranker_scores, round(coalesce(final_scores, 0), 5) AS final_scores
+            round(mrr, 9) AS mrr, 'hybrid+reranked' AS ranking_method, coalesce(retrieval_scores, '') AS retrieval_scores,
+            coalesce(reranker_scores, '') AS reranker_scores, coalesce(final_scores, '') AS final_scores
             FROM expected e JOIN metrics x ON x.query_id = e.query_id AND x.method = 'hybrid_reranked' LEFT JOIN predictions p ON p.query_id = e.query_id""",
         ),
     ),

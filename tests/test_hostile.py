@@ -78,3 +78,26 @@ def test_one_row_per_id_does_not_depend_on_order(spark):
 def test_unescape_leaves_plain_texts_and_nulls(spark):
     df = spark.createDataFrame([("a &amp; b",), ("plain",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.unescape_entities("t")).collect()] == ["a & b", "plain", None]
+
+
+def test_short_passages_are_found(spark):
+    from rankjobs.queries.retrieval import passage_pairs
+
+    docs = [(1, "one two three"), (2, "someone twofold"), (3, "...!?"), (4, "three"), (5, "a b c d e")]
+    items = [(10, "one two"), (11, "two"), (12, "!?"), (13, "hre"), (14, "a b c d"), (15, "zzz"), (16, "one tw")]
+    got = passage_pairs(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "query_id bigint, query_text string")
+    )
+    assert {tuple(r) for r in got.collect()} == {(q, d) for q, t in items for d, u in docs if t in u}
+
+
+def test_bounds_of_a_hot_list_come_from_an_aggregation(spark, capsys):
+    from rankjobs.functions.numeric import with_min_max
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 2000, F.lit(None)).otherwise(F.col("id") % 5).alias("q"), (F.col("id") % 100).cast("double").alias("v")
+    )
+    out = with_min_max(rows, {"s": "v"}, ["q"])
+    out.explain()
+    assert "Window" not in capsys.readouterr().out
+    assert out.count() == 3000 and out.filter("q IS NULL").agg(F.min("s"), F.max("s")).first()[:] == (0.0, 1.0)
