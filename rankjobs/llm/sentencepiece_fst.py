@@ -17,7 +17,7 @@ shortest path is the encoding. Each state keeps its distance and its last arc.
 
 No piece has a mark after another character (this is checked), so paths never cross the
 start of a word. The composition runs over the distinct words of a slice, all words of
-one length at once, in numpy; words beyond ``LONG_WORD`` characters go one by one, in
+one length at once, in numpy, and what it found for up to ``KNOWN_WORDS`` words is kept; words beyond ``LONG_WORD`` characters go one by one, in
 memory linear in their length.
 
 Decoding is the inverse transducer: ids to bytes to text; marks become spaces, the first
@@ -44,8 +44,9 @@ MARK = "▁"
 SLICE_CHARS = 2 << 20
 SLICE_IDS = 1 << 19
 ROWS_AT_ONCE = 1 << 13
-PAIR_SLOTS = 1 << 21
+PAIR_SLOTS = 1 << 20
 KNOWN_PAIRS = 1 << 19
+KNOWN_WORDS = 400_000
 TRIE_SLOTS = 1 << 19
 HASH_FACTOR = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 LONG_WORD = 64
@@ -138,10 +139,12 @@ class Transducer:
         self.unknown_id = next((i for i, t in enumerate(model.types) if t == UNKNOWN), 0)
         self._compile_trie()
         # whether a piece can follow another: a table with one slot per hash, and what has been worked out
-        self.pair_keys = np.full(PAIR_SLOTS, -1, np.int64)
+        self.base = self.start + 1
+        self.pair_keys = np.full(PAIR_SLOTS, -1, np.int32 if self.base**2 < 1 << 31 else np.int64)
         self.pair_fits = np.zeros(PAIR_SLOTS, bool)
         self.pairs: dict[int, bool] = {}
         self.steps: dict[int, int] | None = None
+        self._forget()
 
     def _compile_trie(self) -> None:
         """Sorted keys (state, character) with the next state, and the piece that ends in each state."""
@@ -204,12 +207,12 @@ class Transducer:
         if key not in self.pairs:
             if len(self.pairs) >= KNOWN_PAIRS:
                 self.pairs.clear()
-            self.pairs[key] = self._fits(key >> 32, key & 0xFFFFFFFF)
+            self.pairs[key] = self._fits(*divmod(key, self.base))
         return self.pairs[key]
 
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece can follow the one before it."""
-        keys = before.astype(np.int64) << 32 | piece
+        keys = before.astype(np.int64) * self.base + piece
         slots = ((keys * HASH_FACTOR) >> 40) & (PAIR_SLOTS - 1)
         out = self.pair_fits[slots]
         missing = np.flatnonzero(self.pair_keys[slots] != keys)
@@ -312,7 +315,7 @@ class Transducer:
                 arcs.append((1, self.unknown))
             for size, piece in arcs:
                 through = distance[start] + float(self.weights[piece])
-                if through < distance[start + size] and self.pair_fits_key(last[start] << 32 | piece):
+                if through < distance[start + size] and self.pair_fits_key(last[start] * self.base + piece):
                     distance[start + size], last[start + size], sizes[start + size] = through, piece, size
         path, at = [], n
         while at > 0:
@@ -321,10 +324,34 @@ class Transducer:
         return np.array(path[::-1], np.int32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of all words one after another in some order, where each word's begin, and how many they are.
+        """Ids of words one after another in some order, where those of each word begin, and how many they are.
 
-        Words are parts of a normalised text.
+        Words are parts of a normalised text. Only words that are not known yet are composed
+        with the transducer; they are then known, until there are ``KNOWN_WORDS``.
         """
+        if len(self.known) >= KNOWN_WORDS:
+            self._forget()
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            names = [words[k] for k in new.tolist()]
+            flat, begins, sizes = self._encode_new(names)
+            at[new] = len(self.known_sizes) + np.arange(len(new))
+            self.known.update(zip(names, at[new].tolist()))
+            self.known_begins = np.concatenate([self.known_begins, len(self.known_flat) + begins])
+            self.known_flat = np.concatenate([self.known_flat, flat])
+            self.known_sizes = np.concatenate([self.known_sizes, sizes])
+        out = self.known_flat, self.known_begins[at], self.known_sizes[at]
+        if len(self.known_flat) > 16 * KNOWN_WORDS:  # a few very long words
+            self._forget()
+        return out
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.known_flat, self.known_begins, self.known_sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``encode_words`` returns, for distinct words."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         flat, sizes, total = [], np.zeros(len(words), np.int64), 0
