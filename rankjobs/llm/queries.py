@@ -158,7 +158,7 @@ def op6_sentencepiece(spark, sf_dir):
 
     model = sentencepiece_fst.read_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, model), model, output="decoded")
+    coded = sentencepiece_fst.encode_and_decode(docs, model)
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_fst.MARK), F.lit(" "))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", (F.col("decoded") == plain).alias("round_trip"))
 

@@ -138,7 +138,9 @@ def test_encoding_hostile_rows(hostile, nothing, library):
     for row in coded:
         assert row["pieces"] == library.encode(row["text"] or "")
         assert row["back"] == (row["text"] or "").replace("▁", " ")
-    assert fst.encode(nothing, model).count() == 0
+    once = fst.encode_and_decode(hostile, model, ids_output="pieces", text_output="back").collect()
+    assert [(r["pieces"], r["back"]) for r in once] == [(r["pieces"], r["back"]) for r in coded]
+    assert fst.encode(nothing, model).count() == 0 and fst.encode_and_decode(nothing, model).count() == 0
     assert fst.compiled(model).decode(pa.array([None, [], [0], [1, 2]], pa.list_(pa.int32()))) == [None, "", "�", ""]
 
 
