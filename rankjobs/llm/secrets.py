@@ -15,8 +15,10 @@ A random forest, trained here on labelled findings, turns them into a score. Whe
 labelled findings are given, findings of a bounded sample of documents are labelled by a
 rule on assignment and randomness (``weak_label``).
 
-The bigram model, the dictionary and the findings come from at most ``SAMPLE_DOCUMENTS``
-documents. Defined results: a null text is empty and has no finding; without findings of
+The bigram model and the dictionary come from the words of all documents: all character
+pairs, and the words that make up at least ``DICTIONARY_SHARE`` of all words (and occur
+twice), which are 1 / ``DICTIONARY_SHARE`` at most at any size. The findings that the forest
+is fit on come from at most ``SAMPLE_DOCUMENTS`` documents. Defined results: a null text is empty and has no finding; without findings of
 both classes all scores are the share of positive ones (0 without findings); positions are
 code points, the end excluded; an empty table gives an empty result.
 """
@@ -35,10 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankjobs.llm.labels import held_out
+from rankjobs.sources.artifacts import stage, staged_scope
 
 SAMPLE_DOCUMENTS = 6000
 SAMPLE_FINDINGS = 20_000
-DICTIONARY_WORDS = 3000
+DICTIONARY_SHARE = 2e-6
 TREES, DEPTH, LEAF = 30, 8, 3
 THRESHOLD = 0.5
 CONTEXT = 48
@@ -70,14 +73,12 @@ class Language:
     words: frozenset[str]
 
     @classmethod
-    def of(cls, counts: list[tuple[str, int]]) -> Language:
-        pairs, singles = Counter(), Counter()
-        for word, n in counts:
-            for a, b in zip(word, word[1:]):
-                pairs[a + b] += n
-                singles[a] += n
+    def of(cls, pairs: dict[str, int], words: list[str]) -> Language:
+        singles = Counter()
+        for pair, n in pairs.items():
+            singles[pair[0]] += n
         logs = {p: math.log((n + 1) / (singles[p[0]] + 64)) for p, n in pairs.items()}
-        return cls(logs, math.log(1 / (max(singles.values(), default=1) + 64)), frozenset(w for w, _ in counts if len(w) >= 4))
+        return cls(logs, math.log(1 / (max(singles.values(), default=1) + 64)), frozenset(words))
 
     def transitions(self, text: str) -> float:
         text = text.lower()
@@ -208,6 +209,27 @@ def _path(docs: DataFrame, path_column: str | None) -> Column:
     return F.col(f"`{path_column}`").cast("string") if path_column and path_column in docs.columns else F.lit(None).cast("string")
 
 
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, count) -> pair, n: a row for each distinct pair of a task."""
+    pairs = Counter()
+    for batch in batches:
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist()):
+            for a, b in zip(word, word[1:]):
+                pairs[a + b] += n
+    yield pa.RecordBatch.from_pydict({"pair": pa.array(list(pairs), pa.string()), "n": pa.array(list(pairs.values()), pa.int64())})
+
+
+def corpus_language(docs: DataFrame, text_column: str = "text") -> Language:
+    """The language model of all documents; words are runs of letters of any alphabet."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text_column}`")), F.lit(r"(\p{L}{2,})"))).alias("word"))
+    with staged_scope(docs.sparkSession):
+        counts = stage(words.groupBy("word").count(), "secret-words")
+        pairs = counts.mapInArrow(_pair_counts, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+        total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+        frequent = counts.filter((F.col("count") >= max(2, math.ceil(DICTIONARY_SHARE * total))) & (F.length("word") >= 4))
+        return Language.of({r["pair"]: r["n"] for r in pairs}, [r["word"] for r in frequent.select("word").collect()])
+
+
 @dataclass
 class Scanner:
     language: Language
@@ -218,15 +240,13 @@ def fit(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = "source",
     sample_documents: int = SAMPLE_DOCUMENTS, findings: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> Scanner:
-    """Language model and forest from at most ``sample_documents`` documents outside the held-out fold."""
+    """Language model of all documents, and a forest from at most ``sample_documents`` documents outside the held-out fold."""
+    language = corpus_language(docs, text_column)
     doc_id = F.col(f"`{id_column}`")
     order = [F.xxhash64("_id"), F.col("_id")]
     ids = docs.filter(~held_out(doc_id)).select(doc_id.alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(*order).limit(sample_documents)
     texts = docs.select(doc_id.alias("_id"), F.col(f"`{text_column}`").alias("text"), _path(docs, path_column).alias("path"))
     sample = texts.join(F.broadcast(ids), "_id")
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\W\d_]{2,})"))).alias("word"))
-    counts = words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(DICTIONARY_WORDS).collect()
-    language = Language.of([(r["word"], r["count"]) for r in counts])
     if findings is None:
         found = (
             _described(sample, language)

@@ -164,6 +164,16 @@ def test_secrets(spark, docs_of, hostile, nothing):
     assert secrets.scan(nothing, secrets.fit(nothing)).count() == 0
 
 
+def test_language_of_secrets_knows_all_documents(spark, docs_of):
+    """Words count wherever they stand: beyond the sample of the findings, in the held-out fold, in any alphabet."""
+    rows = [(i, f"{sentence(5, i)} zeitgeist привет" if held(i) else sentence(5, i), "a") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{c}rare" for c in "abcde"), "b") for i in range(676)]
+    rows += [(3000 + i, t, s) for i, t, s in rows[300:]]
+    language = secrets.fit(docs_of(rows), sample_documents=10).language
+    assert {"zeitgeist", "привет", "waaarare"} <= language.words and len(language.words) > 3000
+    assert language.coverage("zeitgeist") == 1 and "ри" in language.pairs
+
+
 def test_forest_learns_what_a_line_cannot():
     r = np.random.default_rng(0)
     x = r.random((1500, len(secrets.FEATURES)))
