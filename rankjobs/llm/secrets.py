@@ -1,25 +1,29 @@
 """Secret scan: proposals by pattern, false positives removed by a random forest.
 
-Proposals are long runs of the characters that keys and tokens are made of which hold a
-digit or mixed case, and values assigned to a name such as ``password``. Each has features:
+Proposals are PEM blocks of private keys, bearer values, keys in the format of a known
+provider, values assigned to a name such as ``password``, and long runs of the characters
+that keys and tokens are made of which hold a digit or mixed case. Each has features:
 
 - length, share of digits and capitals, entropy, whether it is hexadecimal or base64;
 - character transitions: mean log probability under a bigram model of ordinary words, and
   how often the character class changes;
 - dictionary coverage: the share of it covered by frequent words of the corpus;
 - path: whether the path or source names tests, examples, documents or settings;
-- neighbouring words: a credential's name before it, an assignment, quotes, and words
-  that speak for another meaning (a digest, a commit, a placeholder).
+- neighbouring words: a credential's name before it, an assignment or ``bearer``, quotes,
+  and words that speak for another meaning (a digest, a commit, a placeholder);
+- whether it is a PEM block or has a known format.
 
 A random forest, trained here on labelled findings, turns them into a score. Where no
-labelled findings are given, findings of a bounded sample of documents are labelled by a
-rule on assignment and randomness (``weak_label``).
+labelled findings are given, a rule (``weak_kinds``) labels the findings of all documents
+outside the held-out fold: 0, or the kind of evidence in ``KINDS`` that speaks for a secret.
+The forest is fit on at most ``FINDINGS_PER_KIND`` of each, picked by a hash. A kind without
+a finding to learn from, and all kinds where one class is missing, are scored by the rule:
+1 for a finding of such a kind, so that no result depends on whether there was one.
 
 The bigram model and the dictionary come from the words of all documents: all character
 pairs, and the words that make up at least ``DICTIONARY_SHARE`` of all words (and occur
-twice), which are 1 / ``DICTIONARY_SHARE`` at most at any size. The findings that the forest
-is fit on come from at most ``SAMPLE_DOCUMENTS`` documents. Defined results: a null text is empty and has no finding; without findings of
-both classes all scores are the share of positive ones (0 without findings); positions are
+twice), which are 1 / ``DICTIONARY_SHARE`` at most at any size. Defined results: a null text is empty and has no finding; where given
+findings are of one class all scores are the share of positive ones (0 without findings); positions are
 code points, the end excluded; an empty table gives an empty result.
 """
 
@@ -39,8 +43,7 @@ from pyspark.sql import functions as F
 from rankjobs.llm.labels import held_out
 from rankjobs.sources.artifacts import stage, staged_scope
 
-SAMPLE_DOCUMENTS = 6000
-SAMPLE_FINDINGS = 20_000
+FINDINGS_PER_KIND = 8000
 DICTIONARY_SHARE = 2e-6
 TREES, DEPTH, LEAF = 30, 8, 3
 THRESHOLD = 0.5
@@ -50,6 +53,18 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
 ASSIGNED = re.compile(
     r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?([^\s\"']{8,512})"
 )
+PEM = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{16,}+)++)"
+)
+BEARER = re.compile(r"(?i)(?<![a-z])bearer\s{1,4}([A-Za-z0-9._~+/=-]{16,}+)")
+BEARER_BEFORE = re.compile(r"(?i)(?<![a-z])bearer\s{1,4}\Z")
+KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_\w{22,}+|glpat-[\w-]{20,}+"
+    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[\w-]{20,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|AIza[\w-]{35}(?![\w-])|npm_[A-Za-z0-9]{36}(?!\w)"
+    r"|hf_[A-Za-z0-9]{30,}+|SG\.[\w-]{16,}+\.[\w-]{16,}+|eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+)"
+)
+FILLED = re.compile(r"(?i)example|dummy|placeholder|your[_-]|x{6}")
 NAMES = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)")
 OTHERS = re.compile(r"(?i)(?<![a-z])(?:example|dummy|sample|placeholder|checksum|sha\d*|md5|commit|digest|hash|uuid|version|license|http|www)")
 TESTS = re.compile(r"(?i)test|example|sample|doc|fixture")
@@ -60,8 +75,10 @@ BASE64 = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 
 FEATURES = (
     "length", "digits", "capitals", "entropy", "hex", "base64", "transitions", "class_changes", "coverage",
-    "test_path", "settings_path", "name_before", "assigned", "quoted", "other_near",
+    "test_path", "settings_path", "name_before", "assigned", "quoted", "other_near", "format",
 )
+# evidence for a secret that the rule knows; 0 is none
+KINDS = ("none", "assigned", "known", "bearer", "pem")
 
 
 @dataclass(frozen=True)
@@ -94,12 +111,26 @@ class Language:
         return covered / max(1, len(text))
 
 
+def _apart(first: list[tuple[int, int]], then: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Both lists (each sorted and without overlaps) but for what of the second overlaps the first."""
+    out, k = list(first), 0
+    for start, end in then:
+        while k < len(first) and first[k][1] <= start:
+            k += 1
+        if k == len(first) or first[k][0] >= end:
+            out.append((start, end))
+    return sorted(out)
+
+
 def proposals(text: str) -> list[tuple[int, int]]:
-    spans = []
+    spans = _apart([m.span() for m in PEM.finditer(text)], [m.span(1) for m in BEARER.finditer(text)])
+    spans = _apart(spans, [m.span() for m in KNOWN.finditer(text)])
+    runs = []
     for m in RUN.finditer(text):
         run = m.group()
         if any(c.isdigit() for c in run) or (run != run.lower() and run != run.upper() and run[1:] != run[1:].lower()):
-            spans.append(m.span())
+            runs.append(m.span())
+    spans = _apart(spans, runs)
     for m in ASSIGNED.finditer(text):
         start, end = m.span(1)
         if not any(s < end and start < e for s, e in spans):
@@ -126,17 +157,28 @@ def describe(text: str, start: int, end: int, path: str | None, language: Langua
         float(bool(path and TESTS.search(path))),
         float(bool(path and SETTINGS.search(path))),
         float(NAMES.search(before) is not None),
-        float(before.rstrip(" \t\"'").endswith(("=", ":", "=>"))),
+        float(before.rstrip(" \t\"'").endswith(("=", ":", "=>")) or BEARER_BEFORE.search(before) is not None),
         float(before.endswith(('"', "'")) and after[:1] in ('"', "'")),
         float(OTHERS.search(before) is not None),
+        float(PEM.fullmatch(value) is not None or KNOWN.fullmatch(value) is not None),
     ]
 
 
-def weak_label(features: np.ndarray) -> np.ndarray:
-    """1 for a random looking value that is assigned to a credential's name."""
-    column = {n: features[:, i] for i, n in enumerate(FEATURES)}
-    random = (column["entropy"] >= 2.5) & (column["coverage"] < 0.5) & (column["digits"] > 0)
-    return ((column["name_before"] > 0) & (column["assigned"] > 0) & random & (column["other_near"] == 0)).astype(np.int64)
+def weak_kind(text: str, start: int, end: int, features: list[float]) -> int:
+    """The evidence in ``KINDS`` for a secret; a value that is filled in for one has none."""
+    x = dict(zip(FEATURES, features))
+    value = text[start:end]
+    if value.startswith("-----BEGIN") and x["format"]:
+        return KINDS.index("pem") if x["entropy"] >= 3.5 else 0
+    if x["entropy"] < 2.5 or FILLED.search(value):
+        return 0
+    if x["format"]:
+        return KINDS.index("known")
+    if x["coverage"] >= 0.5 or not x["digits"]:
+        return 0
+    if BEARER_BEFORE.search(text[max(0, start - CONTEXT) : start]):
+        return KINDS.index("bearer")
+    return KINDS.index("assigned") if x["name_before"] and x["assigned"] and not x["other_near"] else 0
 
 
 @dataclass
@@ -232,45 +274,62 @@ def corpus_language(docs: DataFrame, text_column: str = "text") -> Language:
 
 @dataclass
 class Scanner:
+    """``by_rule``: the kinds that the forest could not learn."""
+
     language: Language
     forest: Forest
+    by_rule: frozenset[int] = frozenset()
+
+    def score(self, features: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        return np.where(np.isin(kinds, list(self.by_rule)), 1.0, self.forest.predict(features))
 
 
 def fit(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = "source",
-    sample_documents: int = SAMPLE_DOCUMENTS, findings: tuple[np.ndarray, np.ndarray] | None = None,
+    findings_per_kind: int = FINDINGS_PER_KIND, findings: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> Scanner:
-    """Language model of all documents, and a forest from at most ``sample_documents`` documents outside the held-out fold."""
+    """Language model of all documents, and a forest from findings of all documents outside the held-out fold."""
     language = corpus_language(docs, text_column)
+    if findings is not None:
+        return Scanner(language, fit_forest(*findings))
     doc_id = F.col(f"`{id_column}`")
-    order = [F.xxhash64("_id"), F.col("_id")]
-    ids = docs.filter(~held_out(doc_id)).select(doc_id.alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(*order).limit(sample_documents)
-    texts = docs.select(doc_id.alias("_id"), F.col(f"`{text_column}`").alias("text"), _path(docs, path_column).alias("path"))
-    sample = texts.join(F.broadcast(ids), "_id")
-    if findings is None:
-        found = (
-            _described(sample, language)
-            .orderBy(F.xxhash64("_id", "start"), "_id", "start", "end").limit(SAMPLE_FINDINGS).select("features").collect()
-        )
-        x = np.array([r["features"] for r in found]).reshape(len(found), len(FEATURES))
-        findings = x, weak_label(x)
-    return Scanner(language, fit_forest(*findings))
-
-
-def _described(sample: DataFrame, language: Language) -> DataFrame:
-    """(_id, text, path) -> _id, start, end, features of every proposal."""
+    learning = docs.filter(~held_out(doc_id)).select(
+        doc_id.alias("_id"), F.col(f"`{text_column}`").alias("text"), _path(docs, path_column).alias("path")
+    )
+    with staged_scope(docs.sparkSession):
+        found = stage(_described(learning, language).withColumn("h", F.xxhash64("_id", "start")), "secret-findings")
+        rows = []
+        for kind, n in found.groupBy("kind").count().collect():
+            # the smallest hashes; a threshold on them leaves few rows to sort at any size
+            share = (findings_per_kind + 8 * math.sqrt(findings_per_kind) + 64) / n
+            low = found.filter((F.col("kind") == kind) & (F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
+            rows += low.orderBy("h", "_id", "start", "end").limit(findings_per_kind).select("features", "kind").collect()
+    x = np.array([r["features"] for r in rows]).reshape(len(rows), len(FEATURES))
+    kinds = np.array([r["kind"] for r in rows], np.int64)
+    secret = frozenset(range(1, len(KINDS)))
+    if not (kinds == 0).any() or not (kinds > 0).any():
+        return Scanner(language, Forest([]), secret)
+    return Scanner(language, fit_forest(x, (kinds > 0).astype(np.int64)), secret - frozenset(kinds.tolist()))
+
+
+def _described(docs: DataFrame, language: Language) -> DataFrame:
+    """(_id, text, path) -> _id, start, end, kind, features of every proposal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text, path in zip(*(batch.column(c).to_pylist() for c in ("_id", "text", "path"))):
                 for start, end in proposals(text or ""):
-                    out.append({"_id": key, "start": start, "end": end, "features": describe(text, start, end, path, language)})
+                    x = describe(text, start, end, path, language)
+                    out.append({"_id": key, "start": start, "end": end, "kind": weak_kind(text, start, end, x), "features": x})
             yield pa.RecordBatch.from_pylist(
-                out, pa.schema([("_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("features", pa.list_(pa.float64()))])
+                out,
+                pa.schema([("_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("features", pa.list_(pa.float64()))]),
             )
 
-    return sample.select(F.col("_id").cast("bigint"), "text", "path").mapInArrow(run, "_id bigint, start int, end int, features array<double>")
+    return docs.select(F.col("_id").cast("bigint"), "text", "path").mapInArrow(
+        run, "_id bigint, start int, end int, kind int, features array<double>"
+    )
 
 
 FOUND = "array<struct<start:int,end:int,score:double>>"
@@ -285,15 +344,16 @@ def scan(
 
     @F.arrow_udf(FOUND)
     def secrets(texts: pa.Array, paths: pa.Array) -> pa.Array:
-        spans, features, out = [], [], []
+        spans, features, kinds, out = [], [], [], []
         texts = texts.to_pylist()
         for k, (text, path) in enumerate(zip(texts, paths.to_pylist())):
             out.append([])
             for start, end in proposals(text or ""):
                 spans.append((k, start, end))
                 features.append(describe(text, start, end, path, scanner.language))
+                kinds.append(weak_kind(text, start, end, features[-1]))
         if spans:
-            for (k, start, end), p in zip(spans, scanner.forest.predict(np.array(features)).tolist()):
+            for (k, start, end), p in zip(spans, scanner.score(np.array(features), np.array(kinds)).tolist()):
                 if p >= threshold:
                     out[k].append({"start": start, "end": end, "score": round(p, 6)})
         return pa.array(out, type=FOUND_ARROW)
