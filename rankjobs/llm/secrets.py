@@ -49,10 +49,13 @@ TREES, DEPTH, LEAF = 30, 8, 3
 THRESHOLD = 0.5
 CONTEXT = 48
 
+RUN_CHARS = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
 ASSIGNED = re.compile(
-    r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?([^\s\"']{8,512})"
+    r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,4}(?:=>|:=|={1,3}|:)\s{0,4}"
+    r"(?:[\"']([^\s\"']{0,512}+)|([^\s\"'&]{0,512}+(?:&(?![\w.-]+=)[^\s\"'&]{0,512}+)*+))"
 )
+ASSIGNED_CHARS = 8
 PEM = re.compile(
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
     r"(?:(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{16,}+)++)"
@@ -123,19 +126,35 @@ def _apart(first: list[tuple[int, int]], then: list[tuple[int, int]]) -> list[tu
 
 
 def proposals(text: str) -> list[tuple[int, int]]:
+    """Spans without overlaps. Whole values come before the runs inside them; runs are cut where an assigned value begins."""
+    cuts, assigned = [], []
+    for m in ASSIGNED.finditer(text):
+        start, end = m.span(m.lastindex)
+        cuts.append((start, start))
+        if m.lastindex == 2:
+            end = start + len(m.group(2).rstrip(",;:.!?)]}>"))
+        if end - start >= ASSIGNED_CHARS:
+            assigned.append((start, end))
     spans = _apart([m.span() for m in PEM.finditer(text)], [m.span(1) for m in BEARER.finditer(text)])
-    spans = _apart(spans, [m.span() for m in KNOWN.finditer(text)])
+    spans = _apart(_apart(spans, assigned), [m.span() for m in KNOWN.finditer(text)])
+    walls, k = sorted(spans + cuts), 0
     runs = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if any(c.isdigit() for c in run) or (run != run.lower() and run != run.upper() and run[1:] != run[1:].lower()):
-            runs.append(m.span())
-    spans = _apart(spans, runs)
-    for m in ASSIGNED.finditer(text):
-        start, end = m.span(1)
-        if not any(s < end and start < e for s, e in spans):
-            spans.append((start, end))
-    return sorted(spans)
+        at, end = m.span()
+        while k < len(walls) and walls[k][1] < at:
+            k += 1
+        parts, i = [], k
+        while i < len(walls) and walls[i][0] < end:
+            parts.append((at, walls[i][0]))
+            at = max(at, walls[i][1])
+            i += 1
+        for a, b in (*parts, (at, end)):
+            run = text[a:b]
+            if b - a >= RUN_CHARS and (
+                any(c.isdigit() for c in run) or (run != run.lower() and run != run.upper() and run[1:] != run[1:].lower())
+            ):
+                runs.append((a, b))
+    return sorted(spans + runs)
 
 
 def describe(text: str, start: int, end: int, path: str | None, language: Language) -> list[float]:

@@ -206,6 +206,41 @@ def test_unassigned_secrets_are_found(spark, docs_of, where):
     assert found == {i: [want[i]] if i in want else [] for i in rows}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("API_KEY=9f8e7d6c5b4a39281706", ["9f8e7d6c5b4a39281706"]),
+        ("https://h.example/a?api_key=9f8e7d6c5b4a39281706&page=2", ["9f8e7d6c5b4a39281706"]),
+        ("token = a1b2c3d4e5f6a7b8c9.d1e2f3a4b5c6d7e8f9.a0b1c2d3e4f5a6b7c8", ["a1b2c3d4e5f6a7b8c9.d1e2f3a4b5c6d7e8f9.a0b1c2d3e4f5a6b7c8"]),
+        ("f(token: 9f8e7d6c5b4a39281706, x)", ["9f8e7d6c5b4a39281706"]),
+        ("pwd := 'a&b=c%d)' see 0123456789abcdef0", ["a&b=c%d)", "0123456789abcdef0"]),
+        ("password => p%ssw0rd&1", ["p%ssw0rd&1"]),
+        ("0123456789abcdef0=token=short", ["0123456789abcdef0=token="]),
+        ("x" * 20 + " nothing", []),
+    ],
+)
+def test_assigned_values_are_proposed_whole(text, want):
+    assert [text[a:b] for a, b in secrets.proposals(text)] == want
+
+
+def test_assignments_without_spaces_are_found(spark, docs_of):
+    r = random.Random(7)
+    rows, want = [], {}
+    for i in range(400):
+        text = sentence(20, i)
+        if i % 4 == 0:
+            value = secret_value(r, 30) if i % 8 else ".".join(secret_value(r, 20) for _ in range(3))
+            text += (" API_KEY=", " token = ")[i % 8 == 0]
+            want[i] = [(len(text), len(text) + len(value))]
+            text += value
+        elif i % 4 == 1:
+            text += " see commit " + "".join(r.choice("0123456789abcdef") for _ in range(40))
+        rows.append((i, text, "src"))
+    docs = docs_of(rows)
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"]] for r in secrets.scan(docs, secrets.fit(docs)).collect()}
+    assert found == {i: want.get(i, []) for i, _, _ in rows}
+
+
 def test_forest_learns_what_a_line_cannot():
     r = np.random.default_rng(0)
     x = r.random((1500, len(secrets.FEATURES)))
