@@ -53,7 +53,7 @@ RUN_CHARS = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
 ASSIGNED = re.compile(
     r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,4}(?:=>|:=|={1,3}|:)\s{0,4}"
-    r"(?:[\"']([^\s\"']{0,512}+)|([^\s\"'&]{0,512}+(?:&(?![\w.-]+=)[^\s\"'&]{0,512}+)*+))"
+    r"(?:[\"']([^\s\"']*+)|([^\s\"'&]*+(?:&(?![\w.-]+=)[^\s\"'&]*+)*+))"
 )
 ASSIGNED_CHARS = 8
 PEM = re.compile(
@@ -91,6 +91,7 @@ class Language:
     pairs: dict[str, float]
     rare: float
     words: frozenset[str]
+    heads: frozenset[str]  # the first four letters of the words
 
     @classmethod
     def of(cls, pairs: dict[str, int], words: list[str]) -> Language:
@@ -98,7 +99,7 @@ class Language:
         for pair, n in pairs.items():
             singles[pair[0]] += n
         logs = {p: math.log((n + 1) / (singles[p[0]] + 64)) for p, n in pairs.items()}
-        return cls(logs, math.log(1 / (max(singles.values(), default=1) + 64)), frozenset(words))
+        return cls(logs, math.log(1 / (max(singles.values(), default=1) + 64)), frozenset(words), frozenset(w[:4] for w in words))
 
     def transitions(self, text: str) -> float:
         text = text.lower()
@@ -108,7 +109,9 @@ class Language:
         """The share covered by dictionary words, taken greedily from the left, longest first."""
         text, covered, at = text.lower(), 0, 0
         while at < len(text) - 3:
-            n = next((n for n in range(min(16, len(text) - at), 3, -1) if text[at : at + n] in self.words), 0)
+            n = 0
+            if text[at : at + 4] in self.heads:
+                n = next((n for n in range(min(16, len(text) - at), 3, -1) if text[at : at + n] in self.words), 0)
             covered += n
             at += n or 1
         return covered / max(1, len(text))
@@ -170,9 +173,9 @@ def describe(text: str, start: int, end: int, path: str | None, language: Langua
         -sum(x / n * math.log2(x / n) for x in counts.values()),
         float(HEX.fullmatch(value) is not None),
         float(BASE64.fullmatch(value) is not None),
-        language.transitions(value[:256]),
+        language.transitions(value),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
-        language.coverage(value[:256]),
+        language.coverage(value),
         float(bool(path and TESTS.search(path))),
         float(bool(path and SETTINGS.search(path))),
         float(NAMES.search(before) is not None),

@@ -223,6 +223,15 @@ def test_assigned_values_are_proposed_whole(text, want):
     assert [text[a:b] for a, b in secrets.proposals(text)] == want
 
 
+def test_long_values_are_read_to_their_end():
+    value = "%7Q" * 300 + "ordinary" * 100
+    text = f'token = "{value}" end'
+    (start, end), language = secrets.proposals(text)[0], secrets.Language.of({"or": 5}, ["ordinary"])
+    assert text[start:end] == value and len(secrets.proposals(text)) == 1
+    x = dict(zip(secrets.FEATURES, secrets.describe(text, start, end, None, language)))
+    assert x["coverage"] == 800 / len(value) and x["transitions"] == language.transitions(value)
+
+
 def test_assignments_without_spaces_are_found(spark, docs_of):
     r = random.Random(7)
     rows, want = [], {}
