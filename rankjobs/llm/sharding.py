@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankjobs.llm.thresholds import cuts, hashed_key
+from rankjobs.llm.thresholds import cuts, hashed_key, numbered
 from rankjobs.sources.artifacts import stage
 
 ROW_BYTES = 8
@@ -31,15 +31,9 @@ ROW_BYTES = 8
 BLOCK_BITS = 16
 
 
-def text_place(column: Column) -> Column:
-    """A text as a number that keeps the order of its first six bytes."""
-    digits = F.rpad(F.substring(F.hex(F.coalesce(column, F.lit(""))), 1, 12), 12, "0")
-    return F.conv(digits, 16, 10).cast("double")
-
-
 def document_dimensions(docs: DataFrame) -> dict[str, Column]:
-    """The metadata of documents as far as the table has it: source, language, size, id."""
-    dimensions = {n: text_place(F.col(f"`{n}`").cast("string")) for n in ("source", "lang") if n in docs.columns}
+    """The metadata of documents as far as the table has it: source and language (texts), size."""
+    dimensions = {n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in ("source", "lang") if n in docs.columns}
     return dimensions | {"size": F.log1p(F.coalesce(F.octet_length("text"), F.lit(0)).cast("double"))}
 
 
@@ -54,24 +48,29 @@ def kd_shards(
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: one row per input row.
 
-    ``shards`` leaves, or as many as ``target_bytes`` for each leaf ask for.
+    ``shards`` leaves, or as many as ``target_bytes`` for each leaf ask for. Given
+    ``dimensions`` are numbers; without them those of ``document_dimensions`` are taken,
+    whose texts are numbered by the order of their distinct values.
     """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    dimensions = document_dimensions(docs) if dimensions is None else dimensions
-    names = [f"d{i}" for i in range(len(dimensions))]
-    values = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, dimensions.values())]
+    if dimensions is None:
+        values = list(document_dimensions(docs).values())
+    else:
+        values = [F.coalesce(c.cast("double"), F.lit(0.0)) for c in dimensions.values()]
+    names = [f"d{i}" for i in range(len(values))]
     doc_id = F.col(f"`{id_column}`")
-    rows = stage(
-        docs.select(
-            doc_id.alias("doc_id"),
-            (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.shiftright(hashed_key(doc_id), 28).alias("id_bits"),
-            F.monotonically_increasing_id().alias("row"),
-            *values,
-        ),
-        "kd-rows",
+    rows = docs.select(
+        doc_id.alias("doc_id"),
+        (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.shiftright(hashed_key(doc_id), 28).alias("id_bits"),
+        F.monotonically_increasing_id().alias("row"),
+        *(c.alias(n) for n, c in zip(names, values)),
     )
+    for name in [n for n in names if rows.schema[n].dataType.typeName() == "string"]:
+        places = stage(numbered(rows.select(name).distinct(), [F.col(name)], "place"), "kd-values")
+        rows = rows.join(places, name).withColumn(name, F.col("place").cast("double")).drop("place")
+    rows = stage(rows, "kd-rows")
     ranges = [F.max(n) - F.min(n) for n in names]
     whole = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.array(*ranges).alias("ranges")).first()
     if shards is None:

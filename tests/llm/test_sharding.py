@@ -35,6 +35,14 @@ def test_equal_texts_of_one_source_stay_together_where_balance_allows(docs_of):
     assert sum(len(s) > 1 for s in by_text.values()) <= 3
 
 
+def test_sources_with_one_prefix_are_told_apart(docs_of):
+    rows = [(i, "x" * 20 + f"{i:04}", f"common_crawl_{'abcd'[i % 4]}") for i in range(400)]
+    by_shard = defaultdict(set)
+    for r in sharding.kd_shards(docs_of(rows), 4).collect():
+        by_shard[r["shard"]].add("abcd"[r["doc_id"] % 4])
+    assert sorted(map(sorted, by_shard.values())) == [["a"], ["b"], ["c"], ["d"]]
+
+
 def test_target_bytes(docs_of):
     rows = [(i, sentence(20, i), "a") for i in range(500)]
     result = sharding.kd_shards(docs_of(rows), target_bytes=10_000).collect()
