@@ -1,7 +1,7 @@
 """Documents to training data, in stages.
 
 Every stage takes what its predecessor kept. All but the last return rows with the
-columns of ``documents``; the last returns piece ids.
+columns of ``documents``; the last returns piece ids and whether they give the text back.
 
 Rows with null texts count as empty texts, null sources as a source of their own; rows
 with equal ids are rows like any other. An empty table passes through all stages. Extra
@@ -39,9 +39,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_pieces, ids."""
-    coded = sentencepiece_fst.encode(docs.select("doc_id", "source", "text"), sentencepiece_fst.read_model())
-    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
+    """doc_id, source, n_pieces, ids, round_trip: whether the ids decode to the text."""
+    coded = sentencepiece_fst.encode_and_decode(docs.select("doc_id", "source", "text"), sentencepiece_fst.read_model())
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_fst.MARK), F.lit(" "))
+    return coded.select(
+        "doc_id", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids", (F.col("decoded") == plain).alias("round_trip")
+    )
 
 
 STAGES = [

@@ -183,6 +183,11 @@ def test_every_stage_takes_hostile_rows_and_none(spark, hostile, nothing, tmp_pa
         assert step(spark, nothing, str(tmp_path)).count() == 0, name
 
 
+def test_last_stage_decodes_what_it_encodes(spark, hostile, tmp_path):
+    out = corpus_pipeline.encode_pieces(spark, hostile, str(tmp_path)).collect()
+    assert len(out) == len(HOSTILE) and all(r["round_trip"] for r in out)
+
+
 def test_registered(spark):
     import __spark_entry__ as driver
 
