@@ -174,6 +174,57 @@ def op7_sharding(spark, sf_dir):
     )
 
 
+def op11_whitening(spark, sf_dir):
+    from rankjobs.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark, sf_dir):
+    from rankjobs.llm import divergence
+
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+  FROM documents),
+words AS (
+  SELECT doc, lang, source,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, s.v,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS n_group,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS n_lang,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS n_all
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, n,
+    CAST(1 + (1000000000::HUGEINT * (n + 2)) // (n_group + 2 * v) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (n_lang + 2)) // (n_all + 2 * v) AS BIGINT) AS q
+  FROM grid),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+scored AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM scored)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_pii": (op1_pii, None),
     "op2_secrets": (op2_secrets, None),
@@ -185,4 +236,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_ann": (op8_ann, None),
     "op9_jaccard": (op9_jaccard, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
+    "op11_whitening": (op11_whitening, None),
+    "op12_divergence": (op12_divergence, OP12_SQL),
 }
