@@ -225,6 +225,15 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
 
+def op13_perplexity(spark, sf_dir):
+    from rankjobs.llm import perplexity
+
+    rules = perplexity.quality_rules(table(spark, sf_dir, "documents"))
+    return rules.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"
+    )
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_pii": (op1_pii, None),
     "op2_secrets": (op2_secrets, None),
@@ -238,4 +247,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_mixing": (op10_mixing, OP10_SQL),
     "op11_whitening": (op11_whitening, None),
     "op12_divergence": (op12_divergence, OP12_SQL),
+    "op13_perplexity": (op13_perplexity, None),
 }
