@@ -129,6 +129,8 @@ def mixed_documents(docs: DataFrame, size: Column | None = None, **settings) ->
     limits = limits.select(F.struct("passes", "cut").alias("_limit"), F.col("mix_source").alias("_mix_source"))
     taken = docs.alias("_docs").join(limits.alias("_limits"), source.eqNullSafe(F.col("_limits._mix_source")))
     copies = F.col("_limits._limit.passes") + F.when(mix_key(doc_id, text) < F.col("_limits._limit.cut"), 1).otherwise(0)
+    # an empty text lies below a cut without a rest, too
+    copies = F.least(copies, F.lit(settings.get("max_repeats", MAX_REPEATS)))
     return (
         taken.select(F.explode(F.array_repeat(F.struct(*(F.col(f"_docs.`{c}`") for c in docs.columns)), copies)).alias("_row"))
         .select(*(F.col(f"_row.`{c}`") for c in docs.columns))

@@ -68,3 +68,19 @@ def test_distinct_documents_keep_their_columns(hostile, nothing):
     assert got == want
     assert kept.filter("doc_id IS NULL").count() == 1
     assert op.distinct_documents(nothing).count() == 0
+
+
+def test_rows_are_dropped_alike_by_both_ways(spark, hostile):
+    from pyspark.sql import functions as F
+
+    from rankjobs.llm.decisions import kept_rows
+
+    key = F.md5(F.coalesce("text", F.lit("")))
+    decisions = hostile.select("doc_id", key.alias("key"), (F.coalesce("doc_id", F.lit(0)) % 3 != 0).alias("kept"))
+    # one of the rows that are equal in id and key stays, though one of them is dropped
+    decisions = decisions.unionByName(decisions.filter("doc_id = 5").limit(1).withColumn("kept", F.lit(False)))
+    ways = [kept_rows(hostile, decisions, key, broadcast_rows=n) for n in (1 << 20, 0)]
+    want = sorted(str(r[0]) for r in HOSTILE if r[0] is not None and r[0] % 3 and r[0] != 5) + ["5"]
+    for way in ways:
+        assert way.columns == hostile.columns
+        assert sorted(str(r["doc_id"]) for r in way.collect()) == sorted(want)

@@ -58,7 +58,7 @@ def test_hostile_rows(hostile, nothing):
     assert all(r["taken"] <= 3 * r["size"] for r in result)
     mixed = mixing.mixed_documents(hostile)
     assert mixed.columns == hostile.columns
-    assert mixed.count() == sum(r["copies"] for r in result)
+    assert mixed.count() == sum(min(3, r["copies"]) for r in result)
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
@@ -69,3 +69,9 @@ def test_all_texts_empty(docs_of):
 def test_main_path_is_native(docs_of, capsys):
     mixing.mix(docs_of([(1, "a b", "x")])).explain(True)
     assert "Python" not in capsys.readouterr().out
+
+
+def test_empty_texts_have_no_fourth_copy(spark, docs_of):
+    rows = [(i, None, "a") for i in range(50)] + [(100, "w " * 10, "a"), (101, "w " * 9000, "b"), (102, "w " * 9000, "c")]
+    mixed = mixing.mixed_documents(docs_of(rows))
+    assert mixed.filter("source = 'a'").groupBy("doc_id").count().agg({"count": "max"}).first()[0] == 3
