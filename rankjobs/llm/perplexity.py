@@ -48,7 +48,8 @@ from pyspark.sql.window import Window
 from rankjobs.sources.artifacts import stage
 
 ORDER = 5
-HELD_WORDS = 1 << 17
+HELD_WORDS = 1 << 18
+AT_ONCE = 1 << 20  # bytes of text that a task splits into words at once
 SLICE_ROWS = 1 << 20
 MODEL_BYTES = 96 << 20
 LEAST_TEXTS = 30
@@ -325,31 +326,33 @@ def _measure(shared, langs: set[str], slices: int, order: int):
         for (lang, own), packed in shared.value.items():
             models.setdefault(lang, {})[own] = pickle.loads(packed)
         losses: dict[str, dict[bytes, float]] = {lang: {} for lang in langs}
+
+        def learn(lang: str, words: set[bytes]) -> None:
+            known = losses[lang]
+            if len(known) > HELD_WORDS:
+                known.clear()
+            fresh = [w for w in words if w not in known]
+            if fresh:
+                known.update(zip(fresh, word_losses(fresh, models[lang], slices, order).tolist()))
+
+        def measured(lang: str, text: bytes, words: list[bytes]) -> tuple:
+            lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
+            chars = len(text.translate(None, INNER))
+            loss = float(sum(map(losses[lang].__getitem__, words))) if lang in models else 0.0
+            symbols = len(text) - len(text.translate(None, SYMBOLS))
+            return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), chars + len(words), loss
+
         for batch_langs, texts in batches:
-            split = [bytes(t).split() for t in texts]
-            for lang in set(batch_langs) & models.keys():
-                known = losses[lang]
-                if len(known) > HELD_WORDS:
-                    known.clear()
-                new: set[bytes] = set()
-                for own, words in zip(batch_langs, split):
-                    if own == lang:
-                        new.update(words)
-                fresh = [w for w in new if w not in known]
-                if fresh:
-                    known.update(zip(fresh, word_losses(fresh, models[lang], slices, order).tolist()))
-            out = []
-            for lang, text, words in zip(batch_langs, texts, split):
-                text = bytes(text)
-                lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
-                chars = len(text.translate(None, INNER))
-                loss = sum(map(losses[lang].__getitem__, words)) if lang in models else 0.0
-                out.append(
-                    (
-                        len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-                        repeated_words(words), chars + len(words), float(loss),
-                    )
-                )
+            out, held, size = [], [], 0
+            # a few texts at a time: their words are many times as large as they are
+            for i, (lang, text) in enumerate(zip(batch_langs, texts)):
+                held.append((lang, text, text.split()))
+                size += len(text)
+                if size >= AT_ONCE or i == len(texts) - 1:
+                    for own in {x[0] for x in held} & models.keys():
+                        learn(own, {w for x in held if x[0] == own for w in x[2]})
+                    out += [measured(*x) for x in held]
+                    held, size = [], 0
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MEASURES.split(", ")])
 
     return run

@@ -148,7 +148,11 @@ def test_bands_reject_strange_texts_and_ignore_copies(spark):
     r = random.Random(3)
 
     def text(alphabet, n=80):
-        return " ".join("".join(r.choices(alphabet, k=5)) + "en" for _ in range(n))
+        lexicon = ["".join(r.choices(alphabet, k=2 + i % 5)) + "en" for i in range(200)] if alphabet not in words else words[alphabet]
+        words[alphabet] = lexicon
+        return " ".join(r.choices(lexicon, weights=[1 / (i + 1) for i in range(200)], k=n))
+
+    words: dict = {}
 
     rows = [(i, text("abcde"), "en", "s", 1) for i in range(120)]
     # a third of all rows are copies
