@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from rankjobs.functions.numeric import top_k
 from rankjobs.operators import blocks
+from rankjobs.sources.artifacts import stage
 
 
 def pack_vectors(vectors: DataFrame, id_column: str, block_rows: int = 2048) -> DataFrame:
@@ -133,3 +134,83 @@ def dense_neighbours(
     depth = k if exclude == "after" else k + 1
     found = without_self(dense_top_k(queries, corpus, depth, query_id=query_id, block_rows=block_rows), depth)
     return found.filter(F.col("dense_rank") <= k)
+
+
+def dense_top_k_before(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    *,
+    query_id: str = "query_id",
+    item_id: str = "bug_id",
+    block_rows: int = 2048,
+) -> DataFrame:
+    """The k nearest corpus rows that are strictly earlier than the query: ``query_id, bug_id, dense_score, raw_rank``.
+
+    Both sides are ``(id, embedding, moment)`` with a bigint moment; a NULL moment is
+    before all others, so such rows are history for all dated queries and have none.
+    Both sides are sorted into blocks by time, once and while narrow. A corpus block that
+    begins at or after the latest query of a query block is never read with it, so about half of the
+    work of a search over all rows goes; rows inside a border block are masked.
+    """
+
+    def moments(rows: DataFrame, id_column: str) -> DataFrame:
+        moment = F.coalesce(F.col("moment"), F.lit(-(1 << 63)).cast("bigint"))
+        return rows.select(F.col(id_column).cast("bigint").alias("id"), F.col("embedding").cast("array<float>"), moment.alias("moment"))
+
+    def packed(rows: DataFrame, n: int) -> DataFrame:
+        # equal moments are dealt by id, so that a hot one is spread over ranges
+        ranges = max(1, math.ceil(n / (8 * block_rows)))
+        order = ["moment", F.xxhash64("id")]
+        ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        return stage(_pack_timed(ranged, block_rows), "timed-blocks")
+
+    def score(batch: pa.RecordBatch, i: int):
+        query_ids = blocks.list_values(batch, "q_ids", i, np.int64)
+        item_ids = blocks.list_values(batch, "c_ids", i, np.int64)
+        q = blocks.list_values(batch, "q_values", i, np.float64).reshape(query_ids.size, -1)
+        c = blocks.list_values(batch, "c_values", i, np.float64).reshape(item_ids.size, -1)
+        matrix = q @ c.T
+        when, then = blocks.list_values(batch, "q_moments", i, np.int64), blocks.list_values(batch, "c_moments", i, np.int64)
+        matrix[then[None, :] >= when[:, None]] = -np.inf
+        return query_ids, item_ids, matrix
+
+    k = top_k(k)
+    left, right = moments(queries, query_id), moments(corpus, item_id)
+    counts = [x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first() for x in (left, right)]
+    left, right = (packed(x, c.n) for x, c in zip((left, right), counts))
+    pairs = blocks.meet(
+        left, right, max(1, left.count()), max(1, right.count()), counts[0].n * (16 + 4 * (counts[0].dim or 0))
+    ).filter("c_low < q_high")
+    found = blocks.score_blocks(pairs, score, k)
+    return blocks.merge_top_k(found, k, "raw_rank").select(
+        "query_id", F.col("item_id").alias("bug_id"), F.col("score").alias("dense_score"), "raw_rank"
+    )
+
+
+def _pack_timed(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Blocks of ``(id, embedding, moment)`` in the given order, with their earliest and latest moment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            for start in range(0, len(batch), block_rows):
+                part = batch.slice(start, block_rows)
+                lengths = pc.fill_null(pc.list_value_length(part.column(1)), -1).to_numpy(zero_copy_only=False)
+                values = part.column(1).flatten()
+                if values.null_count or (lengths != lengths[0]).any() or lengths[0] < 0:
+                    raise ValueError(f"a vector near id {part.column(0)[0].as_py()} is incomplete or of another length")
+                moments = part.column(2).to_numpy()
+                lists = [pa.array(part.column(0).to_numpy()), pa.array(values.to_numpy()), pa.array(moments)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()),
+                        pa.array([moments.min()], pa.int64()),
+                        pa.array([moments.max()], pa.int64()),
+                        *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists),
+                    ],
+                    names=["block_id", "low", "high", "ids", "values", "moments"],
+                )
+                number += 1
+
+    return rows.mapInArrow(run, "block_id bigint, low bigint, high bigint, ids array<bigint>, values array<float>, moments array<bigint>")

@@ -79,6 +79,18 @@ def leave_one_out_lists(
     return plain.unionByName(again.withColumn("method", second))
 
 
+def as_of_lists(query_vectors: DataFrame, corpus: Corpus, moments: DataFrame, config: RecommendConfig = RecommendConfig()) -> DataFrame:
+    """Ranked test cases for every bug from the history before it: neighbours are strictly earlier bugs, with their links.
+
+    ``moments`` has ``bug_id`` and a timestamp or date ``time``. A bug without one is
+    history for all others and has none itself.
+    """
+    times = moments.select("bug_id", F.unix_micros(F.col("time").cast("timestamp")).alias("moment"))
+    asking = query_vectors.join(times.withColumnRenamed("bug_id", "query_id"), "query_id")
+    near = dense.dense_top_k_before(asking, corpus.vectors.join(times, "bug_id"), config.bugs)
+    return vote.vote_by_score(near, corpus.links, config.testcases, score="dense_score")
+
+
 def evaluate(lists: DataFrame, truth: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Metrics per method and query, for every evaluated query under every method."""
     slots = evaluated.select("query_id", F.explode(F.array(*map(F.lit, METHODS))).alias("method"))

@@ -10,12 +10,14 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankjobs.functions import text as tx
 from rankjobs.operators import vote
 from rankjobs.operators.rerank import jaccard
+from rankjobs.sources.artifacts import stage
 
 FEATURES = ("area_match", "priority_match", "tag_overlap", "recency")
 
@@ -88,27 +90,77 @@ def pair_features(
     )
 
 
-def fit_ranker(
-    positives: DataFrame, negatives: DataFrame, features: Sequence[str] = FEATURES, fit_rows: int = FIT_ROWS
-) -> LogisticRegressionModel:
-    """A logistic model of pairs with features, fit on at most ``fit_rows`` rows of each kind, picked by a hash of the ids."""
+def _fit_sample(positives: DataFrame, negatives: DataFrame, features: Sequence[str], fit_rows: int) -> DataFrame:
+    """At most ``fit_rows`` rows of each kind, picked by a hash of the ids, with ``label`` and assembled ``_features``."""
 
     def some(rows: DataFrame, label: float) -> DataFrame:
         order = [F.xxhash64("bug_id", "testcase_id"), F.col("bug_id"), F.col("testcase_id")]
         return rows.orderBy(*order).limit(fit_rows).select(*features).withColumn("label", F.lit(label))
 
     rows = some(positives, 1.0).unionByName(some(negatives, 0.0))
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
-    return LogisticRegression(featuresCol="_features", regParam=1e-3).fit(assembled)
+    return VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
 
 
-def rank_pairs(
-    pairs: DataFrame, model: LogisticRegressionModel, retrieval_score: str, weight: float = 0.5, k: int | None = 10,
+def fit_ranker(
+    positives: DataFrame, negatives: DataFrame, features: Sequence[str] = FEATURES, fit_rows: int = FIT_ROWS
+) -> LogisticRegressionModel:
+    """A logistic model of pairs with features, fit on a bounded sample."""
+    return LogisticRegression(featuresCol="_features", regParam=1e-3).fit(_fit_sample(positives, negatives, features, fit_rows))
+
+
+def fit_tree_ranker(
+    positives: DataFrame,
+    negatives: DataFrame,
     features: Sequence[str] = FEATURES,
+    fit_rows: int = FIT_ROWS,
+    trees: int = 20,
+    depth: int = 3,
+) -> GBTRegressionModel | None:
+    """Boosted regression trees that tell linked pairs (1) from hard negatives (0), fit on a bounded sample.
+
+    The sample is staged, since every tree reads it. None without a pair of each kind.
+    """
+    sample = _fit_sample(positives, negatives, features, fit_rows)
+    rows = stage(sample.select(*features, "label"), "ranker-sample")
+    if rows.select("label").distinct().count() < 2:
+        return None
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+    return GBTRegressor(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(assembled)
+
+
+def scored_pairs(
+    pairs: DataFrame, model: LogisticRegressionModel | GBTRegressionModel | None, features: Sequence[str] = FEATURES
 ) -> DataFrame:
-    """All pairs by ``(1 - weight)`` times their retrieval score plus ``weight`` times the model's probability."""
+    """All pairs with ``ranker_score`` between 0 and 1; without a model it is 0.5."""
+    if model is None:
+        return pairs.withColumn("ranker_score", F.lit(0.5))
     assembled = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(pairs)
-    scored = model.transform(assembled).withColumn("ranker_score", vector_to_array("probability")[1])
+    scored = model.transform(assembled)
+    if isinstance(model, GBTRegressionModel):
+        score = F.greatest(F.least(F.col("prediction"), F.lit(1.0)), F.lit(0.0))
+    else:
+        score = vector_to_array("probability")[1]
+    return scored.withColumn("ranker_score", score).select(*pairs.columns, "ranker_score")
+
+
+def rank_pairs(
+    pairs: DataFrame, model: LogisticRegressionModel | GBTRegressionModel | None, retrieval_score: str, weight: float = 0.5,
+    k: int | None = 10, features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """All pairs by ``(1 - weight)`` times their retrieval score plus ``weight`` times the ranker's."""
     final = F.round((1 - F.lit(weight)) * F.col(retrieval_score) + F.lit(weight) * F.col("ranker_score"), 9)
-    kept = scored.select(*pairs.columns, "ranker_score", final.alias("final_score"))
+    kept = scored_pairs(pairs, model, features).withColumn("final_score", final)
     return vote.ranked(kept, ("final_score",), k, ("bug_id",))
+
+
+def candidates(neighbours: DataFrame, links: DataFrame) -> DataFrame:
+    """Every test case that a bug's neighbours vote for: ``bug_id, testcase_id, retrieval``, the score as a share of the bug's best.
+
+    A bug's best score comes from an aggregation, so a long list is in no window.
+    """
+    votes = vote.vote_by_score(neighbours, links, k=None).select(
+        F.col("query_id").alias("bug_id"), "testcase_id", F.col("aggregated_score").alias("score")
+    )
+    best = votes.groupBy("bug_id").agg(F.max("score").alias("best"))
+    share = F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0)
+    return votes.join(best, "bug_id").select("bug_id", "testcase_id", share.alias("retrieval"))

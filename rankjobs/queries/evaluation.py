@@ -37,6 +37,16 @@ def _leave_one_out(spark, sf):
     return meta, corpus, lists, truth, evaluate.evaluated_queries(meta, truth)
 
 
+def eval_as_of(spark, sf):
+    """Every linked bug asks the bugs before it: per-query metrics."""
+    meta, corpus = m.history(spark, sf, words=False)
+    vectors = corpus.vectors.withColumnRenamed("bug_id", "query_id")
+    lists = evaluate.as_of_lists(vectors, corpus, meta.select("bug_id", F.col("created").alias("time")))
+    truth = corpus.links.select(F.col("bug_id").alias("query_id"), "testcase_id")
+    out = evaluate.metrics_per_query(lists, truth, evaluate.evaluated_queries(meta, truth))
+    return out.withColumn("mrr", F.round("mrr", 9))
+
+
 def eval_metrics(spark, sf):
     _, _, lists, truth, asked = _leave_one_out(spark, sf)
     out = evaluate.evaluate(lists, truth, asked)
@@ -309,6 +319,26 @@ _GRID_ORDER = 'ORDER BY done."hit@1" DESC, done."hit@5" DESC, done.mrr DESC, n'
 _GRID_SQL = _grid_sql()
 
 QUERIES = {
+    "eval_as_of": (
+        eval_as_of,
+        m.with_ctes(
+            ("metadata", "vote_links"),
+            {
+                "corpus": LINKED_SQL["corpus"],
+                **m.sql_hash_vectors("cv", "corpus"),
+                "timed": "SELECT id, v, created FROM cv JOIN bugs ON bug_id = id",
+                "near_pairs": """SELECT q.id AS query_id, c.id AS bug_id, round(list_inner_product(q.v, c.v), 9) AS dense_score
+                FROM timed q, timed c WHERE c.created < q.created""",
+                "near": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, bug_id) AS raw_rank
+                FROM near_pairs) WHERE raw_rank <= 10""",
+                **m.sql_vote_score("v", "near", "vote_links", 10, "dense_score"),
+                "hits": """SELECT bug_id AS query_id, min(r) AS r FROM (SELECT l.bug_id, v.rank AS r FROM vote_links l
+                LEFT JOIN v ON v.query_id = l.bug_id AND v.testcase_id = l.testcase_id) GROUP BY bug_id""",
+            },
+            """SELECT query_id, coalesce((r <= 1)::INT, 0) AS "hit@1", coalesce((r <= 3)::INT, 0) AS "hit@3", coalesce((r <= 5)::INT, 0) AS "hit@5",
+            coalesce((r <= 10)::INT, 0) AS "hit@10", round(coalesce(1.0::DOUBLE / r, 0), 9) AS mrr FROM hits""",
+        ),
+    ),
     "label_eval": (
         label_eval,
         m.with_ctes(

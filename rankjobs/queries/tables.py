@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankjobs.operators import links
+from rankjobs.operators import cooccur, links
 from rankjobs.queries import model as m
 
 
@@ -26,6 +26,10 @@ def vote_links(spark, sf):
     return m.vote_links(spark, sf)
 
 
+def co_occurrence(spark, sf):
+    return cooccur.co_occurrence(m.vote_links(spark, sf), 10)
+
+
 def unique_bugs(spark, sf):
     return links.unique_bugs(m.master(spark, sf))
 
@@ -47,6 +51,18 @@ QUERIES = {
         ),
     ),
     "vote_links": (vote_links, m.with_ctes(("vote_links",), {}, "SELECT * FROM vote_links")),
+    "co_occurrence": (
+        co_occurrence,
+        m.with_ctes(
+            ("vote_links",),
+            {
+                "pairs": """SELECT a.testcase_id, b.testcase_id AS other_testcase_id, count(*) AS bugs FROM (SELECT DISTINCT bug_id, testcase_id FROM vote_links) a
+                JOIN (SELECT DISTINCT bug_id, testcase_id FROM vote_links) b ON a.bug_id = b.bug_id AND a.testcase_id <> b.testcase_id GROUP BY ALL"""
+            },
+            """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY testcase_id ORDER BY bugs DESC, other_testcase_id) AS rank FROM pairs)
+            WHERE rank <= 10""",
+        ),
+    ),
     "unique_bugs": (
         unique_bugs,
         m.with_ctes(

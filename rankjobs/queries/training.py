@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankjobs.operators import dense
-from rankjobs.plans import training
+from rankjobs.operators import dense, vote
+from rankjobs.plans import evaluate, training
 from rankjobs.queries import model as m
 from rankjobs.queries.ranking import _WORDS
 from rankjobs.queries.retrieval import LINKED_SQL
+from rankjobs.sources.artifacts import stage
 
 
 def training_pairs(spark, sf):
@@ -44,7 +45,45 @@ def pair_features(spark, sf):
     return out.withColumns({"recency": F.round("recency", 9), "tag_overlap": F.round("tag_overlap", 9)})
 
 
+def _ranked(spark, sf):
+    """The candidates of all linked bugs, ranked with a model of linked pairs and hard negatives; and the links."""
+    _, corpus = m.history(spark, sf, words=False)
+    near = stage(
+        dense.dense_neighbours(corpus.vectors.withColumnRenamed("bug_id", "query_id"), corpus.vectors, 10).withColumnRenamed(
+            "dense_score", "hybrid_score"
+        ),
+        "neighbours",
+    )
+    own = corpus.links.select("bug_id", "testcase_id").distinct()
+    wrong = training.hard_negatives(near, corpus.links).select("bug_id", "testcase_id")
+    model = training.fit_tree_ranker(features_of(own, spark, sf), features_of(wrong, spark, sf))
+    pairs = features_of(training.candidates(near, corpus.links), spark, sf)
+    return training.rank_pairs(stage(pairs, "candidates"), model, "retrieval"), pairs, corpus.links
+
+
+def learned_rank(spark, sf):
+    ranked, _, _ = _ranked(spark, sf)
+    scores = ("retrieval", "ranker_score", "final_score")
+    return ranked.select("bug_id", "testcase_id", *(F.round(c, 9).alias(c) for c in scores), "rank")
+
+
+def learned_rank_eval(spark, sf):
+    """Hit rates of the candidates by their votes alone, and with the ranker."""
+    ranked, pairs, links = _ranked(spark, sf)
+    truth = links.select(F.col("bug_id").alias("query_id"), "testcase_id")
+    asked = truth.select("query_id").distinct()
+    plain = vote.ranked(pairs.withColumn("retrieval", F.round("retrieval", 9)), ("retrieval",), 10, ("bug_id",))
+    out = None
+    for method, lists in (("votes", plain), ("votes_and_trees", ranked)):
+        found = evaluate.metrics_per_query(lists.withColumnRenamed("bug_id", "query_id"), truth, asked)
+        means = evaluate.metric_means(found).select(F.lit(method).alias("method"), "*")
+        out = means if out is None else out.unionByName(means)
+    return out
+
+
 QUERIES = {
+    "learned_rank": (learned_rank, None),
+    "learned_rank_eval": (learned_rank_eval, None),
     "training_pairs": (
         training_pairs,
         m.with_ctes(

@@ -18,6 +18,44 @@ def test_ranker_scores_all_pairs_and_finds_the_linked_ones(spark):
     assert ranked.filter("rank = 1 AND bug_id = testcase_id").count() == 40
 
 
+def test_tree_ranker_against_slow_ranking(spark):
+    rows = [(b, t, int((b + t) % 3 == 0), int(b % 2 == t % 2), round(abs(b - t) / 40, 3), 0.5, ((b * 7 + t * 3) % 11) / 10) for b in range(30) for t in range(30)]
+    pairs = spark.createDataFrame(rows, ["bug_id", "testcase_id", *training.FEATURES, "retrieval"]).repartition(3)
+    # linked where areas agree and tags are far apart: no single feature tells
+    linked = "area_match = 1 AND tag_overlap > 0.3"
+    model = training.fit_tree_ranker(pairs.filter(linked), pairs.filter(f"NOT ({linked})"), fit_rows=600)
+    got = {(r["bug_id"], r["testcase_id"]): r for r in training.rank_pairs(pairs, model, "retrieval", k=5).collect()}
+    from pyspark.ml.linalg import Vectors
+
+    scores = {}
+    for b, t, *features, retrieval in rows:
+        score = min(1.0, max(0.0, model.predict(Vectors.dense(features))))
+        scores.setdefault(b, []).append((-round(0.5 * retrieval + 0.5 * score, 9), t, score))
+    assert len(got) == 30 * 5
+    for b, found in scores.items():
+        for rank, (final, t, score) in enumerate(sorted(found)[:5], 1):
+            row = got[b, t]
+            assert (row["rank"], row["final_score"]) == (rank, -final) and abs(row["ranker_score"] - score) < 1e-12
+    right = [s > 0.5 for b, t, *f, _ in rows for s in [next(x[2] for x in scores[b] if x[1] == t)] if f[0] and f[2] > 0.3]
+    assert sum(right) > 0.9 * len(right)
+
+
+def test_ranker_without_one_kind_scores_all_alike(spark):
+    rows = [(1, t, 0, 1, 0.1 * t, 0.5, 0.2 * t) for t in range(4)]
+    pairs = spark.createDataFrame(rows, ["bug_id", "testcase_id", *training.FEATURES, "retrieval"])
+    model = training.fit_tree_ranker(pairs, pairs.limit(0))
+    assert model is None
+    got = training.rank_pairs(pairs, model, "retrieval").orderBy("rank").collect()
+    assert [r["testcase_id"] for r in got] == [3, 2, 1, 0] and {r["ranker_score"] for r in got} == {0.5}
+
+
+def test_candidates_are_shares_of_the_best_vote(spark):
+    near = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (2, 1, -0.5)], "query_id bigint, bug_id bigint, hybrid_score double")
+    links = spark.createDataFrame([(2, 7, "a"), (3, 7, "a"), (3, 8, "b"), (1, 9, "c")], "bug_id bigint, testcase_id bigint, testcase_title string")
+    got = {(r["bug_id"], r["testcase_id"]): r["retrieval"] for r in training.candidates(near, links).collect()}
+    assert got == {(1, 7): 1.0, (1, 8): 0.25 / 0.75, (2, 9): 0.0}
+
+
 def test_missing_values_match_nothing(spark):
     bugs = spark.createDataFrame([(1, None, None, None, None)], "bug_id bigint, a string, p string, t string, d date")
     cases = spark.createDataFrame([(7, None, None, None)], "testcase_id bigint, a string, p string, t string")
