@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankjobs.operators import bm25, dense, embed, fuse
+from rankjobs.operators import bm25, cells, dense, embed, fuse
 from rankjobs.plans import evaluate
 from rankjobs.queries import model as m
 from rankjobs.sources.artifacts import stage
@@ -23,6 +23,11 @@ def dense_topk(spark, sf):
     return _rounded(dense.dense_neighbours(*_vector_sides(spark, sf), 10, exclude="none").drop("dense_rank"), "dense_score")
 
 
+def dense_topk_cells(spark, sf):
+    """The lists of ``dense_topk``, found by cells and bounds."""
+    return _rounded(cells.cell_top_k(*_vector_sides(spark, sf), 10), "dense_score")
+
+
 def dense_topk_excl(spark, sf):
     return _rounded(dense.dense_neighbours(*_vector_sides(spark, sf), 10), "dense_score")
 
@@ -148,6 +153,10 @@ QUERIES = {
         dense_topk,
         m.with_ctes(("vectors",), _NEAR, "SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, raw_rank FROM near"),
     ),
+    "dense_topk_cells": (
+        dense_topk_cells,
+        m.with_ctes(("vectors",), _NEAR, "SELECT query_id, bug_id, round(dense_score, 9) AS dense_score, raw_rank FROM near"),
+    ),
     "dense_topk_excl": (
         dense_topk_excl,
         m.with_ctes(
