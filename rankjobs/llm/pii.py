@@ -23,7 +23,9 @@ end excluded; an empty table gives an empty result. Other columns are passed thr
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +68,15 @@ NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++){0,3}+")
 DIGIT_ROW = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# The lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?([2-9][0-9]{2})\)?[ .-]([2-9][0-9]{2})[ .-][0-9]{4}(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 NOT_DIGITS = re.compile(r"[^0-9]+")
@@ -125,7 +136,22 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    return (m.span() for m in IBAN.finditer(text) if mod97(m.group()))
+    at = 0
+    while m := IBAN.search(text, at):
+        start, at = m.span()
+        # capital words may follow: the country says where the number ends
+        length = IBAN_LENGTHS.get(m.group()[:2])
+        end, left = start, length or len(m.group())
+        while length and left and end < at:
+            left -= text[end] != " "
+            end += 1
+        if not length:
+            end = at
+        elif left or text[end : end + 1].isalnum():
+            continue
+        if mod97(text[start:end]):
+            yield start, end
+            at = end
 
 
 def local_phones(text: str) -> Iterator[tuple[int, int]]:
@@ -165,10 +191,13 @@ def spans_of(text: str | None) -> list[dict]:
     spans = [{"kind": k, "start": s, "end": e, "score": score(text, k, s, e)} for k, s, e in found]
     if digits:
         covered = sorted((s, e) for _, s, e in found)
+        starts, reach = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
         for kind in ADDED_KINDS:
             for start, end in FINDERS[kind](text):
                 value = score(text, kind, start, end)
-                if value >= THRESHOLD and not any(s <= start and end <= e for s, e in covered):
+                # base spans that begin no later: how far the longest of them reaches
+                before = bisect_right(starts, start)
+                if value >= THRESHOLD and not (before and reach[before - 1] >= end):
                     spans.append({"kind": kind, "start": start, "end": end, "score": value})
     spans.sort(key=lambda x: (x["start"], KINDS.index(x["kind"])))
     return spans

@@ -65,7 +65,7 @@ BEARER_BEFORE = re.compile(r"(?i)(?<![a-z])bearer\s{1,4}\Z")
 KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_\w{22,}+|glpat-[\w-]{20,}+"
     r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[\w-]{20,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|AIza[\w-]{35}(?![\w-])|npm_[A-Za-z0-9]{36}(?!\w)"
-    r"|hf_[A-Za-z0-9]{30,}+|SG\.[\w-]{16,}+\.[\w-]{16,}+|eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+)"
+    r"|hf_[A-Za-z0-9]{30,}+|SG\.[\w-]{16,}+\.[\w-]{16,}+|(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+)"
 )
 FILLED = re.compile(r"(?i)example|dummy|placeholder|your[_-]|x{6}")
 NAMES = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)")

@@ -59,12 +59,14 @@ def kd_shards(
         values = [F.coalesce(c.cast("double"), F.lit(0.0)) for c in dimensions.values()]
     names = [f"d{i}" for i in range(len(values))]
     doc_id = F.col(f"`{id_column}`")
+    row = F.monotonically_increasing_id()
     rows = docs.select(
         doc_id.alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftright(hashed_key(doc_id), 28).alias("id_bits"),
-        F.monotonically_increasing_id().alias("row"),
+        # rows equal in id and text are told apart by their places
+        (F.shiftleft(F.shiftright(hashed_key(doc_id), 38), 10) + F.pmod(F.xxhash64(row), F.lit(1024))).alias("id_bits"),
+        row.alias("row"),
         *(c.alias(n) for n, c in zip(names, values)),
     )
     for name in [n for n in names if rows.schema[n].dataType.typeName() == "string"]:

@@ -264,3 +264,19 @@ def test_quality_of_the_given_labels(spark):
     scored = quality.score_documents(docs, quality.fit(docs, marks)).join(marks, "doc_id").toPandas()
     out = scored[[held(i) for i in scored["doc_id"]]]
     assert ((out["score"] >= quality.THRESHOLD) == (out["quality"] == 1)).mean() >= 0.95
+
+
+def test_broken_tokens_in_a_row_take_linear_time():
+    import time
+
+    from rankjobs.llm import secrets
+
+    def seconds(n):
+        begin = time.process_time()
+        secrets.proposals("eyJaaaaaaaa-" * (n // 12))
+        return time.process_time() - begin
+
+    seconds(10_000)
+    assert seconds(2_000_000) < 5
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    assert any(jwt == f"x {jwt} y"[a:b] for a, b in secrets.proposals(f"x {jwt} y"))

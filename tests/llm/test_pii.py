@@ -70,3 +70,25 @@ def test_hostile_rows(hostile, nothing):
 def test_redaction(hostile):
     row = pii.redact(pii.find_personal_data(hostile)).filter("doc_id = 12").first()
     assert row["text"].startswith("mail <email> call <phone>, from <ip> token")
+
+
+def test_an_iban_ends_where_its_country_says():
+    spans = lambda text: [(x["kind"], text[x["start"] : x["end"]]) for x in pii.spans_of(text) if x["kind"] == "iban"]
+    assert spans("account AT61 1904 3002 3457 3201 CALL me") == [("iban", "AT61 1904 3002 3457 3201")]
+    assert spans("bank AT61 1904 3002 3457 3201 DE89 3704 0044 0532 0130 00 BY MAIL") == [
+        ("iban", "AT61 1904 3002 3457 3201"), ("iban", "DE89 3704 0044 0532 0130 00"),
+    ]
+    assert spans("bank AT611904300234573201X") == [] and spans("bank AT61 1904 3002 3457 320") == []
+
+
+def test_dense_texts_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "a1@b.cc 415-555-2671 call 123-45-6789 ssn 10.0.0.1 " * (n // 51)
+        begin = time.process_time()
+        assert len(pii.spans_of(text)) >= n // 51 * 3
+        return time.process_time() - begin
+
+    seconds(20_000)
+    assert seconds(800_000) < 8 * seconds(200_000) + 0.5

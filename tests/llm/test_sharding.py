@@ -57,3 +57,13 @@ def test_hostile_rows(hostile, nothing):
         (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t, *_ in HOSTILE
     )
     assert sharding.kd_shards(nothing, 24).count() == 0
+
+
+def test_many_rows_equal_in_id_and_text_are_balanced(docs_of):
+    rows = [(None, "one text", "a")] * 1000 + [(i, sentence(3, i), "b") for i in range(500)]
+    result = sharding.kd_shards(docs_of(rows).repartition(4), 4).collect()
+    check(result, 4)
+    size = Counter()
+    for r in result:
+        size[r["shard"]] += r["size"]
+    assert len(size) == 4 and max(size.values()) <= 1.05 * sum(size.values()) / 4
