@@ -18,8 +18,7 @@ def op8_ann(spark, sf_dir):
 
     from rankjobs.llm import ann
 
-    coded, dimension = ann.index(table(spark, sf_dir, "embeddings"))
-    return ann.search(coded, dimension, F.pmod("vec_id", F.lit(50)) == 0, k=5)
+    return ann.search(ann.index(table(spark, sf_dir, "embeddings")), F.pmod("vec_id", F.lit(50)) == 0, k=5)
 
 
 def op9_jaccard(spark, sf_dir):

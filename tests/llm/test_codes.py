@@ -39,10 +39,9 @@ def test_search_against_brute_force(spark):
     for i in range(400, 700):  # a hot vector
         vectors[i] = vectors[400]
     df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>").repartition(5)
-    coded, dimension = ann.index(df)
     from pyspark.sql import functions as F
 
-    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in ann.search(coded, dimension, F.pmod("vec_id", F.lit(50)) == 0, 5).collect()}
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in ann.search(ann.index(df), F.pmod("vec_id", F.lit(50)) == 0, 5).collect()}
     want = nearest(vectors, range(0, 1200, 50), 5)
     assert len(got) == len(want)
     hits = sum(got[q, rank] == (i, s) for q, rank, i, s in want)
@@ -58,9 +57,13 @@ def test_error_bounds_hold():
     _, codes, scalars = ann.encode(data, turn)
     rotated = ann.encode(queries, turn)[0]
     signs = np.unpackbits(codes, axis=1, count=64) * 2.0 - 1
-    estimate = rotated @ signs.T / 8 / scalars
+    levels = ann.Levels(rotated)
+    estimate = levels.estimate(ann.words(codes), scalars)
+    unrounded = rotated @ signs.T / 8 / scalars
+    assert np.abs(estimate - unrounded).std() < 0.02
+    assert (np.abs(estimate - unrounded) <= ann.EPSILON * levels.deviation[:, None] / scalars).mean() > 0.99
     true = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ (data / np.linalg.norm(data, axis=1, keepdims=True)).T
-    bound = ann.EPSILON * np.sqrt((1 - scalars**2) / scalars**2 / 63)
+    bound = levels.bound(scalars, ann.EPSILON)
     assert (np.abs(estimate - true) <= bound).mean() > 0.995
     assert abs((estimate - true).mean()) < 0.01
 
@@ -74,15 +77,27 @@ def test_hostile_vectors(spark):
         (7, [None, 1.0]), (8, [1.0]), (9, []), (None, [1.0, 0.0]), (2, [2.0, 0.0]), (100, [1e300, 0.0]),
     ]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"row": F.lit("x"), "code": F.lit("y")})
-    coded, dimension = ann.index(df)
-    found = ann.search(coded, dimension, F.pmod("vec_id", F.lit(50)) == 0, 5)
+    found = ann.search(ann.index(df), F.pmod("vec_id", F.lit(50)) == 0, 5)
     got = {}
     for x in sorted(found.collect(), key=lambda x: (x["query_id"], x["rank"])):
         got.setdefault(x["query_id"], []).append(x["vec_id"])
-    assert dimension == 2
     assert got[0][:2] == [2, 2] and set(got[0]) == {1, 2, 50, 100} and len(got[0]) == 5
-    empty, dimension = ann.index(df.limit(0))
-    assert ann.search(empty, dimension, F.col("vec_id") == 0, 5).count() == 0
+    assert ann.search(ann.index(df.limit(0)), F.col("vec_id") == 0, 5).count() == 0
+
+
+def test_every_length_is_searched_by_itself(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    vectors = {i: r.standard_normal((3, 70, 128)[i % 3]).astype(np.float32).tolist() for i in range(900)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<float>").repartition(3)
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in ann.search(ann.index(df), F.pmod("vec_id", F.lit(50)) == 0, 5).collect()}
+    hits = 0
+    for rest in range(3):
+        alike = {i: v for i, v in vectors.items() if i % 3 == rest}
+        want = nearest(alike, [q for q in range(0, 900, 50) if q % 3 == rest], 5)
+        hits += sum(got[q, rank] == (i, s) for q, rank, i, s in want)
+    assert len(got) == 90 and hits >= 85
 
 
 @pytest.fixture(scope="module")
@@ -192,5 +207,5 @@ def test_registered(spark):
     import __spark_entry__ as driver
 
     names = set(driver.queries())
-    assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{n}" for n in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{n}" for n in range(1, 14)} and "pipeline" in names
     assert os.path.exists(fst.MODEL_PATH) and jaccard.WORDS == 5 and jaccard.THRESHOLD == 0.8
