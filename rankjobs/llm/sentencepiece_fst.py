@@ -18,7 +18,8 @@ shortest path is the encoding. Each state keeps its distance and its last arc.
 No piece has a mark after another character (this is checked), so paths never cross the
 start of a word. The composition runs over the distinct words of a slice, all words of
 one length at once, in numpy, and what it found for up to ``KNOWN_WORDS`` words is kept; words beyond ``LONG_WORD`` characters go one by one, in
-memory linear in their length.
+memory linear in their length. A slice's result leaves the task before the next slice is read, so a worker holds one Arrow
+batch of texts and one slice of results.
 
 Decoding is the inverse transducer: ids to bytes to text; marks become spaces, the first
 one goes. Where the text has no U+2581 of its own, decoding returns it exactly.
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -465,10 +467,10 @@ def encode(docs: DataFrame, model: bytes, text_column: str = "text", output: str
     """``docs`` with the ids of each text as an array of ints."""
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        transducer = compiled(model)
-        parts = [transducer.encode(t.to_pylist()) for t in _slices(texts)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for some in _slices(texts):
+                yield compiled(model).encode(some.to_pylist())
 
     return docs.withColumn(output, ids(F.col(f"`{text_column}`")))
 
@@ -477,9 +479,10 @@ def decode(docs: DataFrame, model: bytes, ids_column: str = "ids", output: str =
     """``docs`` with the text of each array of ids."""
 
     @F.arrow_udf("string")
-    def text(lists: pa.Array) -> pa.Array:
-        parts = [pa.array(compiled(model).decode(x), pa.string()) for x in _id_slices(lists)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for some in _id_slices(lists):
+                yield pa.array(compiled(model).decode(some), pa.string())
 
     return docs.withColumn(output, text(F.col(f"`{ids_column}`")))
 
@@ -491,12 +494,13 @@ def encode_and_decode(docs: DataFrame, model: bytes, text_column: str = "text",
     """``docs`` with the ids of each text and what they decode to, in one pass (two chained functions would encode twice)."""
 
     @F.arrow_udf(CODED)
-    def coded(texts: pa.Array) -> pa.Array:
-        transducer = compiled(model)
-        ids = [transducer.encode(t.to_pylist()) for t in _slices(texts)]
-        back = [pa.array(transducer.decode(x), pa.string()) for part in ids for x in _id_slices(part)]
-        columns = [pa.concat_arrays(ids or [pa.array([], pa.list_(pa.int32()))]), pa.concat_arrays(back or [pa.array([], pa.string())])]
-        return pa.StructArray.from_arrays(columns, names=["ids", "text"])
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for some in _slices(texts):
+                ids = compiled(model).encode(some.to_pylist())
+                for part in _id_slices(ids):
+                    back = pa.array(compiled(model).decode(part), pa.string())
+                    yield pa.StructArray.from_arrays([part, back], names=["ids", "text"])
 
     result = coded(F.col(f"`{text_column}`"))
     return docs.withColumns({ids_output: result["ids"], text_output: result["text"]})
