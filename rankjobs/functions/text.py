@@ -4,6 +4,7 @@ HTML entity table, which Spark lacks and which runs as an Arrow UDF."""
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -180,3 +181,24 @@ def parse_id_list(value: Column | str) -> Column:
 def format_id_list(ids: Column | str) -> Column:
     """Ids as JSON text, written ``[1, 2]``."""
     return F.concat(F.lit("["), F.array_join(F.transform(as_col(ids), lambda i: i.cast("string")), ", "), F.lit("]"))
+
+
+def path_parts(path: Column | str, separator: str = "\\") -> Column:
+    """The steps of an area path, stripped, without empty ones; none for NULL."""
+    parts = F.split(F.coalesce(as_col(path), F.lit("")), re.escape(separator))
+    return F.filter(F.transform(parts, strip), lambda part: part != "")
+
+
+def path_prefixes(path: Column | str, separator: str = "\\") -> Column:
+    """``(level, area)`` of an area path and all that it lies in, from the root (level 0, empty) on."""
+    parts = path_parts(path, separator)
+    return F.transform(
+        F.sequence(F.lit(0), F.size(parts)),
+        lambda level: F.struct(level.alias("level"), F.array_join(F.slice(parts, F.lit(1), level), separator).alias("area")),
+    )
+
+
+def common_depth(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    steps = F.sequence(F.lit(0), F.least(F.size(a), F.size(b)))
+    return F.size(F.filter(steps, lambda n: F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))) - 1

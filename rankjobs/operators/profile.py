@@ -149,6 +149,26 @@ def area_overlap(bugs: DataFrame, testcases: DataFrame, bug_area: Column | str,
     return rows.groupBy("area").agg(F.sum("b").alias("bugs"), F.sum("t").alias("testcases"))
 
 
+def area_overlap_levels(
+    bugs: DataFrame, testcases: DataFrame, bug_area: Column | str, testcase_area: Column | str, separator: str = "\\"
+) -> DataFrame:
+    """Bugs and test cases in every area and all that it lies in: ``level, area, bugs, testcases``.
+
+    Level 0 is the root, which holds all rows, also those without a path. Equal paths are
+    counted before they are taken apart, so a hot path costs one row per task.
+    """
+    one, none = F.lit(1), F.lit(0)
+    rows = bugs.select(tx.as_col(bug_area).alias("path"), one.alias("b"), none.alias("t")).unionByName(
+        testcases.select(tx.as_col(testcase_area).alias("path"), none.alias("b"), one.alias("t"))
+    )
+    counted = rows.groupBy("path").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    return (
+        counted.select(F.explode(tx.path_prefixes("path", separator)).alias("p"), "b", "t")
+        .groupBy("p.level", "p.area")
+        .agg(F.sum("b").alias("bugs"), F.sum("t").alias("testcases"))
+    )
+
+
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values and missing cells of each column, in one pass: cells are counted before they meet."""
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from rankjobs.functions import text as tx
 from rankjobs.operators import vote
@@ -20,6 +21,7 @@ from rankjobs.operators.rerank import jaccard
 from rankjobs.sources.artifacts import stage
 
 FEATURES = ("area_match", "priority_match", "tag_overlap", "recency")
+PATH_FEATURES = ("area_depth", *FEATURES)
 
 # The most rows per class that a ranker is fit on. Scoring covers all pairs.
 FIT_ROWS = 200_000
@@ -57,26 +59,32 @@ def pair_features(
     tags: tuple[Column, Column],
     time: Column,
     half_life_days: float = 365.0,
+    separator: str = "\\",
 ) -> DataFrame:
-    """``pairs`` with equal areas, equal priorities, overlap of tag words, and recency of the bug.
+    """``pairs`` with equal areas, depth of the shared area, equal priorities, overlap of tags, and recency of the bug.
 
-    Each pair of expressions is one over ``bugs`` and one over ``testcases``. A missing
-    value matches nothing. Recency halves every ``half_life_days`` before the latest time;
+    Each pair of expressions is one over ``bugs`` and one over ``testcases``. Areas are
+    paths; ``area_depth`` is the number of steps that two of them share from the root. Tags
+    are one text, of which words are compared, or an array, of which elements are. A
+    missing value matches nothing and shares no step. Recency halves every ``half_life_days`` before the latest time;
     it is 0 without a time.
     """
 
-    def words(value: Column) -> Column:
-        return F.array_distinct(tx.tokenize(value))
+    def words(df: DataFrame, value: Column) -> Column:
+        listed = isinstance(df.select(value.alias("v")).schema["v"].dataType, ArrayType)
+        return F.array_distinct(F.coalesce(F.array_compact(value), F.array().cast("array<string>")) if listed else tx.tokenize(value))
 
     latest = bugs.agg(F.max(time)).scalar()
     age = F.datediff(latest, time)
     left = bugs.select(
-        "bug_id", area[0].alias("_area"), priority[0].alias("_priority"), words(tags[0]).alias("_tags"),
+        "bug_id", area[0].alias("_area"), priority[0].alias("_priority"), words(bugs, tags[0]).alias("_tags"),
+        tx.path_parts(area[0], separator).alias("_path"),
         F.coalesce(F.pow(F.lit(0.5), age / F.lit(half_life_days)), F.lit(0.0)).alias("recency"),
     )
     right = testcases.select(
-        "testcase_id", area[1].alias("_other_area"), priority[1].alias("_other_priority"), words(tags[1]).alias("_other_tags")
-    )
+        "testcase_id", area[1].alias("_other_area"), priority[1].alias("_other_priority"),
+        words(testcases, tags[1]).alias("_other_tags"), tx.path_parts(area[1], separator).alias("_other_path"),
+    )
 
     def match(a: str, b: str) -> Column:
         return F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
@@ -84,6 +92,7 @@ def pair_features(
     return pairs.join(left, "bug_id").join(right, "testcase_id").select(
         *(F.col(c) for c in pairs.columns),
         match("_area", "_other_area").alias("area_match"),
+        tx.common_depth(F.col("_path"), F.col("_other_path")).alias("area_depth"),
         match("_priority", "_other_priority").alias("priority_match"),
         jaccard(F.col("_tags"), F.col("_other_tags")).alias("tag_overlap"),
         "recency",

@@ -137,6 +137,29 @@ def vector_artifact(spark, sf):
     return embed.weights(stored, "doc_id")
 
 
+def _refreshed(spark, sf):
+    """Vectors of an older state of the documents, then of the given one: a tenth has changed, some are new, some have left."""
+    folder = _folder(spark, "refreshed")
+    texts = m.documents(spark, sf).select("doc_id", "text")
+    older = texts.filter("doc_id % 20 <> 3").select(
+        "doc_id", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text")).alias("text")
+    )
+    left = texts.filter("doc_id % 50 = 7").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    settings = {"encoder": "token_hash", "dim": m.VECTOR_DIM}
+    build = lambda df: embed.token_hash_vectors(df, "doc_id", "text", dim=m.VECTOR_DIM)
+    artifacts.refreshed_artifact(older.unionByName(left), "doc_id", settings, folder, build)
+    return artifacts.refreshed_artifact(texts, "doc_id", settings, folder, build)
+
+
+def vector_refresh(spark, sf):
+    return embed.weights(_refreshed(spark, sf).rows, "doc_id")
+
+
+def vector_refresh_counts(spark, sf):
+    found = _refreshed(spark, sf)
+    return spark.range(1).select(*(F.lit(getattr(found, c)).cast("bigint").alias(c) for c in ("built", "kept", "removed")))
+
+
 def stream_recommend(spark, sf):
     """Conversation turns arrive as new items; the sink equals the batch result."""
     _, corpus = m.history(spark, sf)
@@ -191,6 +214,15 @@ QUERIES = {
     ),
     "optional_columns": (optional_columns, "SELECT p_partkey, p_name, p_type, NULL::VARCHAR AS preconditions FROM part"),
     "vector_artifact": (vector_artifact, retrieval.QUERIES["embed_tokens"][1]),
+    "vector_refresh": (vector_refresh, retrieval.QUERIES["embed_tokens"][1]),
+    "vector_refresh_counts": (
+        vector_refresh_counts,
+        """WITH rows AS (SELECT DISTINCT doc_id, text FROM documents),
+        older AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' as it was' ELSE text END AS text FROM rows WHERE doc_id % 20 <> 3
+        UNION SELECT -doc_id - 1, text FROM rows WHERE doc_id % 50 = 7)
+        SELECT (SELECT count(*) FROM (FROM rows EXCEPT FROM older)) AS built, (SELECT count(*) FROM (FROM rows INTERSECT FROM older)) AS kept,
+        (SELECT count(*) FROM (FROM older EXCEPT FROM rows)) AS removed""",
+    ),
     "stream_recommend": (
         stream_recommend,
         m.with_ctes(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankjobs.operators import dense, vote
+from rankjobs.operators import dense, profile, vote
 from rankjobs.plans import evaluate, training
 from rankjobs.queries import model as m
-from rankjobs.queries.ranking import _WORDS
 from rankjobs.queries.retrieval import LINKED_SQL
 from rankjobs.sources.artifacts import stage
 
+_LANGUAGES, _STATES = ("en", "de", "es", "fr"), ("F", "O", "P")
+
 
 def training_pairs(spark, sf):
     meta, corpus = m.history(spark, sf, words=False)
@@ -27,14 +28,38 @@ def hard_negatives(spark, sf):
     return _negatives(spark, sf)
 
 
+def _bug_area():
+    """Language, source and state as steps of a path."""
+    return F.concat_ws("\\", F.split("bug_tags", "; ")[0], F.split("bug_tags", "; ")[1], "state")
+
+
+def _testcase_area():
+    case = F.col("testcase_id")
+    language, state = (F.element_at(F.array(*map(F.lit, values)), (case % len(values) + 1).cast("int")) for values in (_LANGUAGES, _STATES))
+    return F.concat_ws("\\", language, F.concat(F.lit("src"), (case % 20).cast("string")), state)
+
+
+def _bug_tags():
+    return F.split("bug_tags", "; ")
+
+
+def _testcase_tags():
+    return F.split(_testcase_area(), r"\\")
+
+
+def area_levels(spark, sf):
+    """Bugs and test cases of every area, and of all that it lies in."""
+    return profile.area_overlap_levels(m.bugs(spark, sf), m.testcases(spark, sf), _bug_area(), _testcase_area())
+
+
 def features_of(pairs, spark, sf):
     return training.pair_features(
         pairs,
         m.bugs(spark, sf),
         m.testcases(spark, sf),
-        area=(F.split("bug_tags", "; ")[1], F.concat(F.lit("src"), (F.col("testcase_id") % 20).cast("string"))),
+        area=(_bug_area(), _testcase_area()),
         priority=(F.substring("priority", 1, 1), (F.col("testcase_id") % 5 + 1).cast("string")),
-        tags=(F.col("bug_title"), F.col("testcase_title")),
+        tags=(_bug_tags(), _testcase_tags()),
         time=F.col("created").cast("date"),
     )
 
@@ -56,9 +81,10 @@ def _ranked(spark, sf):
     )
     own = corpus.links.select("bug_id", "testcase_id").distinct()
     wrong = training.hard_negatives(near, corpus.links).select("bug_id", "testcase_id")
-    model = training.fit_tree_ranker(features_of(own, spark, sf), features_of(wrong, spark, sf))
+    features = training.PATH_FEATURES
+    model = training.fit_tree_ranker(features_of(own, spark, sf), features_of(wrong, spark, sf), features)
     pairs = features_of(training.candidates(near, corpus.links), spark, sf)
-    return training.rank_pairs(stage(pairs, "candidates"), model, "retrieval"), pairs, corpus.links
+    return training.rank_pairs(stage(pairs, "candidates"), model, "retrieval", features=features), pairs, corpus.links
 
 
 def learned_rank(spark, sf):
@@ -81,7 +107,25 @@ def learned_rank_eval(spark, sf):
     return out
 
 
+_LIST = "[{}][testcase_id % {} + 1]"
+_SQL_STEPS = f"""[{_LIST.format(str(list(_LANGUAGES))[1:-1], len(_LANGUAGES))}, 'src' || (testcase_id % 20),
+    {_LIST.format(str(list(_STATES))[1:-1], len(_STATES))}]"""
+_SQL_BUG_STEPS = "list_filter([split_part(bug_tags, '; ', 1), split_part(bug_tags, '; ', 2), state], lambda x: x IS NOT NULL AND x <> '')"
+
 QUERIES = {
+    "area_levels": (
+        area_levels,
+        m.with_ctes(
+            ("bugs", "testcases"),
+            {
+                "paths": f"""SELECT {_SQL_BUG_STEPS} AS steps, 1 AS b, 0 AS t FROM bugs
+                UNION ALL SELECT {_SQL_STEPS}, 0, 1 FROM testcases"""
+            },
+            """SELECT level, area, sum(b)::BIGINT AS bugs, sum(t)::BIGINT AS testcases FROM (
+            SELECT level::INT AS level, array_to_string(steps[1:level], chr(92)) AS area, b, t
+            FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS level FROM paths)) GROUP BY ALL""",
+        ),
+    ),
     "learned_rank": (learned_rank, None),
     "learned_rank_eval": (learned_rank_eval, None),
     "training_pairs": (
@@ -115,13 +159,15 @@ QUERIES = {
         m.with_ctes(
             ("bugs", "testcases", "vote_links"),
             {
-                "sides": f"""SELECT l.bug_id, l.testcase_id, split_part(bug_tags, '; ', 2) = 'src' || (l.testcase_id % 20) AS a,
+                "cases": f"SELECT testcase_id, {_SQL_STEPS} AS steps FROM testcases",
+                "sides": f"""SELECT l.bug_id, l.testcase_id, {_SQL_BUG_STEPS} AS own, t.steps AS other,
                 substr(priority, 1, 1) = (l.testcase_id % 5 + 1)::VARCHAR AS p,
-                {_WORDS.format('bug_title')} AS x, {_WORDS.format('t.testcase_title')} AS y,
+                list_distinct([split_part(bug_tags, '; ', 1), split_part(bug_tags, '; ', 2)]) AS x, list_distinct(t.steps) AS y,
                 date_diff('day', created::DATE, (SELECT max(created::DATE) FROM bugs)) AS age
-                FROM (SELECT DISTINCT bug_id, testcase_id FROM vote_links) l JOIN bugs USING (bug_id) JOIN testcases t USING (testcase_id)"""
+                FROM (SELECT DISTINCT bug_id, testcase_id FROM vote_links) l JOIN bugs USING (bug_id) JOIN cases t USING (testcase_id)"""
             },
-            """SELECT bug_id, testcase_id, coalesce(a::INT, 0) AS area_match, coalesce(p::INT, 0) AS priority_match,
+            """SELECT bug_id, testcase_id, (own = other)::INT AS area_match,
+            len(list_filter([1, 2, 3], lambda n: n <= least(len(own), len(other)) AND own[1:n] = other[1:n]))::INT AS area_depth, coalesce(p::INT, 0) AS priority_match,
             round(CASE WHEN len(list_concat(x, y)) > 0 THEN len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) ELSE 0 END, 9) AS tag_overlap,
             round(coalesce(pow(0.5, age / 365.0), 0), 9) AS recency FROM sides""",
         ),

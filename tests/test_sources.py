@@ -126,3 +126,44 @@ def test_artifact_cache_follows_content(spark, tmp_path):
 
 def test_stage_reads_back(spark):
     assert artifacts.stage(spark.range(5), "t").count() == 5
+
+
+def test_a_refresh_builds_only_new_and_changed_rows(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def build(df):
+        def run(frames):
+            for frame in frames:
+                seen.add(len(frame))
+                yield frame.assign(size=frame["text"].fillna("").str.len())[["id", "size"]]
+
+        return df.select("id", "text").mapInPandas(run, "id bigint, size bigint")
+
+    def refresh(rows, settings=None):
+        seen.value = 0
+        df = spark.createDataFrame(rows, "id bigint, text string, `a.b` int")
+        found = artifacts.refreshed_artifact(df, "id", settings or {"v": 1}, str(tmp_path / "a"), build)
+        assert seen.value == found.built
+        return sorted((r["id"] if r["id"] is not None else -1, r["size"]) for r in found.rows.collect()), (found.built, found.kept, found.removed)
+
+    first = [(i, "x" * i, 0) for i in range(10)]
+    want = [(i, i) for i in range(10)]
+    assert refresh(first) == (want, (10, 0, 0))
+    assert refresh(first) == (want, (0, 10, 0))
+    # one changed, one gone, one new; rows without id or text; an id with two texts; an equal row twice
+    second = [*first[:8], (8, "new", 0), (20, None, 0), (None, "ab", 0), (3, "twice", 0), (3, "twice", 0)]
+    full = sorted([(i, i) for i in range(8)] + [(8, 3), (20, 0), (-1, 2), (3, 5)])
+    assert refresh(second) == (full, (4, 8, 2))
+    assert refresh([]) == ([], (0, 0, 12))
+    assert refresh(second) == (full, (12, 0, 0))
+    assert refresh(second, {"v": 2}) == (full, (12, 0, 0))
+
+
+def test_a_refresh_that_was_cut_short_does_not_count(spark, tmp_path):
+    build = lambda df: df.select("id")
+    for _ in range(2):
+        found = artifacts.refreshed_artifact(spark.range(5), "id", {}, str(tmp_path / "a"), build)
+    version = next((tmp_path / "a").glob("*/1"))
+    (version / "_SUCCESS").unlink()
+    found = artifacts.refreshed_artifact(spark.range(5), "id", {}, str(tmp_path / "a"), build)
+    assert (found.built, found.rows.count()) == (5, 5)

@@ -96,3 +96,23 @@ def test_a_stream_leaves_no_staged_tables(spark, tmp_path):
     recommend_stream(stream, corpus, vectorize, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").select("query_id").distinct().count() == 3
     assert len(system.listStatus(folder)) == before
+
+
+def test_areas_are_paths(spark):
+    from rankjobs.operators import profile
+
+    bugs = spark.createDataFrame(
+        [(1, "a\\b\\c", ["x", "y", None]), (2, " a \\ b\\", []), (3, None, None), (4, "", ["x"]), (5, "z", ["q"])], "bug_id bigint, a string, t array<string>"
+    )
+    cases = spark.createDataFrame([(7, "a\\b\\d", ["y", "x"]), (8, "a", None), (9, None, ["q"])], "testcase_id bigint, a string, t array<string>")
+    got = {(r["level"], r["area"]): (r["bugs"], r["testcases"]) for r in profile.area_overlap_levels(bugs, cases, "a", "a").collect()}
+    assert got == {
+        (0, ""): (5, 3), (1, "a"): (2, 2), (2, "a\\b"): (2, 1), (3, "a\\b\\c"): (1, 0), (3, "a\\b\\d"): (0, 1), (1, "z"): (1, 0),
+    }
+    pairs = bugs.select("bug_id").join(cases.select("testcase_id"))
+    none = (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    both = lambda c: (F.col(c), F.col(c))
+    rows = training.pair_features(pairs, bugs, cases, area=both("a"), priority=none, tags=both("t"), time=F.lit(None).cast("date")).collect()
+    assert {(r["bug_id"], r["testcase_id"]): r["area_depth"] for r in rows if r["area_depth"]} == {(1, 7): 2, (1, 8): 1, (2, 7): 2, (2, 8): 1}
+    assert {(r["bug_id"], r["testcase_id"]): r["tag_overlap"] for r in rows if r["tag_overlap"]} == {(1, 7): 1.0, (4, 7): 0.5, (5, 9): 1.0}
+    assert len(rows) == 15
