@@ -59,7 +59,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "pipe_share": share(chars - F.length(F.replace(text, F.lit("|"), F.lit(""))), chars),
         "distinct_words": share(F.size(F.array_distinct(words)), F.size(words)),
         "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "repeats": share(chars - F.length(F.regexp_replace(text, r"(?<!\S)(\S{1,64})(?:\s\1(?!\S))++", "$1")), chars),
+        "repeats": share(chars - F.length(F.regexp_replace(text, r"(?<!\S)(\S++)(?:\s\1(?!\S))++", "$1")), chars),
     }
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankjobs.llm import labels, quality, secrets, toxicity
 from tests.llm.conftest import HOSTILE, sentence
@@ -63,6 +64,15 @@ def test_compiled_rules_equal_the_ensemble(spark, docs_of):
     assert np.allclose(model.predict(pdf[names].to_numpy()), pdf["score"], atol=1e-9)
 
 
+def test_repeated_words_of_any_length_count(spark):
+    long = "x" * 300
+    texts = [f"{long} {long} {long} end", "a a b", f"{long}y {long}", "", "no repeat here", ("w" * 200_000 + " ") * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r[0]: r[1] for r in rows.select("i", quality.statistics(F.col("text"))["repeats"].alias("v")).collect()}
+    want = [2 * 301 / len(texts[0]), 2 / 5, 0, 0, 0, 2 * 200_001 / len(texts[5])]
+    assert np.allclose([got[i] for i in range(len(texts))], want)
+
+
 def test_lasso_drops_what_says_nothing():
     r = np.random.default_rng(0)
     x = (r.random((2000, 30)) < 0.5).astype(float)
