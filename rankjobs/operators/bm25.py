@@ -41,6 +41,28 @@ MAX_DENSE_TERMS = 1024
 MAX_SPARSE_CHUNK = 1 << 22
 
 
+def _block(number: int, ids, lengths, terms: pa.Array, term, doc, tf) -> pa.RecordBatch:
+    """A block as a row; postings come sorted by term and text."""
+
+    def one_list(values, kind) -> pa.Array:
+        values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()),
+            one_list(ids, pa.int64()),
+            one_list(lengths.astype(np.int32), pa.int32()),
+            one_list(terms.cast(pa.string()), pa.string()),
+            one_list(np.bincount(term, minlength=len(terms)).astype(np.int32), pa.int32()),
+            one_list(term.astype(np.int32), pa.int32()),
+            one_list(doc.astype(np.int32), pa.int32()),
+            one_list(tf.astype(np.int32), pa.int32()),
+        ],
+        names=[part.split()[0] for part in BLOCK.split(", ")],
+    )
+
+
 def pack_texts(
     texts: DataFrame, id_column: str, text: Column | str, block_rows: int = 2048, block_tokens: int = 1 << 20
 ) -> DataFrame:
@@ -58,25 +80,7 @@ def pack_texts(
         rows = place[np.repeat(np.arange(ids.size), sizes)]
         keys = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * ids.size + rows
         cells, tf = np.unique(keys, return_counts=True)
-        term, doc = cells // ids.size, cells % ids.size
-
-        def one_list(values, kind) -> pa.Array:
-            values = values if isinstance(values, pa.Array) else pa.array(values, kind)
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()),
-                one_list(ids[order], pa.int64()),
-                one_list(sizes[order].astype(np.int32), pa.int32()),
-                one_list(coded.dictionary.cast(pa.string()), pa.string()),
-                one_list(np.bincount(term, minlength=len(coded.dictionary)).astype(np.int32), pa.int32()),
-                one_list(term.astype(np.int32), pa.int32()),
-                one_list(doc.astype(np.int32), pa.int32()),
-                one_list(tf.astype(np.int32), pa.int32()),
-            ],
-            names=[part.split()[0] for part in BLOCK.split(", ")],
-        )
+        return _block(number, ids[order], sizes[order], coded.dictionary, cells // ids.size, cells % ids.size, tf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -111,6 +115,47 @@ def pack_texts(
     return texts.select(F.col(id_column).cast("bigint"), tx.tokenize(text)).mapInArrow(run, BLOCK)
 
 
+def merged_blocks(packed: DataFrame, block_rows: int = 2048, block_tokens: int = 1 << 20) -> DataFrame:
+    """The texts of blocks in fuller blocks, from their postings alone; no shuffle.
+
+    A block takes in the ones read after it up to ``block_rows`` texts and
+    ``block_tokens`` tokens; one that is larger by itself stays as it is.
+    """
+
+    def emit(parts: list[dict], number: int) -> pa.RecordBatch:
+        ids = np.concatenate([p["ids"] for p in parts])
+        order = np.argsort(ids, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(order.size)
+        coded = pa.concat_arrays([p["terms"] for p in parts]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        term_base = np.cumsum([0] + [len(p["terms"]) for p in parts])
+        doc_base = np.cumsum([0] + [p["ids"].size for p in parts])
+        term = codes[np.concatenate([p["post_term"] + base for p, base in zip(parts, term_base)])]
+        doc = place[np.concatenate([p["post_doc"] + base for p, base in zip(parts, doc_base)])]
+        by = np.lexsort((doc, term))
+        tf, lengths = (np.concatenate([p[c] for p in parts]) for c in ("post_tf", "lengths"))
+        return _block(number, ids[order], lengths[order], coded.dictionary, term[by], doc[by], tf[by])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        rows = tokens = number = 0
+        for batch in batches:
+            for i in range(len(batch)):
+                part = {c: blocks.list_values(batch, c, i, np.int64) for c in ("ids", "lengths", "post_term", "post_doc", "post_tf")}
+                part["terms"] = batch.column("terms")[i].values
+                n, size = part["ids"].size, int(part["lengths"].sum())
+                if held and (rows + n > block_rows or tokens + size > block_tokens):
+                    yield emit(held, number)
+                    held, rows, tokens, number = [], 0, 0, number + 1
+                held.append(part)
+                rows, tokens = rows + n, tokens + size
+        if held:
+            yield emit(held, number)
+
+    return packed.select(*(part.split()[0] for part in BLOCK.split(", "))).mapInArrow(run, BLOCK)
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """Packed corpus, document frequencies, and three numbers."""
@@ -146,17 +191,26 @@ def build_index(
 ) -> Bm25Index:
     """Pack and stage the corpus, and count its terms. Three numbers come to the driver."""
     packed = stage(pack_texts(corpus, item_id, text, block_rows), "bm25-blocks")
+    n, tokens = text_totals(packed)
+    return index_of(packed, stage(term_frequencies(packed), "bm25-terms"), n, tokens)
+
+
+def text_totals(packed: DataFrame) -> tuple[int, int]:
+    """Number of texts, and of their tokens."""
     size = packed.agg(
         F.sum(F.size("ids")).alias("n"),
         F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("tokens"),
     ).first()
-    n = size.n or 0
-    stats = stage(term_frequencies(packed), "bm25-terms")
+    return size.n or 0, size.tokens or 0
+
+
+def index_of(packed: DataFrame, stats: DataFrame, n: int, tokens: int) -> Bm25Index:
+    """An index of stored blocks and their stored ``(term, df)``."""
     # over the few distinct frequencies, and rounded: summing a value per term would
     # put noise into every score that depends on the order of the sum
     counted = stats.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
     mean = counted.agg(F.sum(raw_idf(n, F.col("df")) * F.col("n")) / F.sum("n")).first()[0] if n else None
-    return Bm25Index(packed, stats, n, (size.tokens or 0) / n if n else 0.0, round(mean or 0.0, 12))
+    return Bm25Index(packed, stats, n, tokens / n if n else 0.0, round(mean or 0.0, 12))
 
 
 def statistics(index: Bm25Index) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from rankjobs.operators import blocks
 from rankjobs.sources.artifacts import stage
 
 
+VECTOR_BLOCK = "block_id bigint, ids array<bigint>, values array<float>"
+
+
 def pack_vectors(vectors: DataFrame, id_column: str, block_rows: int = 2048) -> DataFrame:
     """Blocks of at most ``block_rows`` vectors, made where the rows are read: no shuffle.
 
@@ -66,14 +70,58 @@ def pack_vectors(vectors: DataFrame, id_column: str, block_rows: int = 2048) ->
         if held:
             yield emit(ids, flat, number)
 
-    return vectors.select(F.col(id_column).cast("bigint"), F.col("embedding").cast("array<float>")).mapInArrow(
-        run, "block_id bigint, ids array<bigint>, values array<float>"
-    )
+    return vectors.select(F.col(id_column).cast("bigint"), F.col("embedding").cast("array<float>")).mapInArrow(run, VECTOR_BLOCK)
+
+
+@dataclass(frozen=True)
+class PackedVectors:
+    """A stored corpus in blocks, counted, for searches that come again."""
+
+    blocks: DataFrame
+    n_blocks: int
+
+
+def packed_corpus(vectors: DataFrame, item_id: str = "bug_id", block_rows: int = 2048) -> PackedVectors:
+    blocks_table = stage(pack_vectors(vectors, item_id, block_rows), "vector-blocks")
+    return PackedVectors(blocks_table, blocks_table.count())
+
+
+def merged_vectors(packed: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """The rows of blocks in fuller blocks of at most ``block_rows`` vectors, where no larger one comes in; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        rows = number = 0
+
+        def emit() -> pa.RecordBatch:
+            lists = [pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(values), pa.float32())]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()),
+                    *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists),
+                ],
+                names=["block_id", "ids", "values"],
+            )
+
+        for batch in batches:
+            for i in range(len(batch)):
+                part = blocks.list_values(batch, "ids", i, np.int64)
+                if rows and rows + part.size > block_rows:
+                    yield emit()
+                    ids, values, rows, number = [], [], 0, number + 1
+                ids.append(part)
+                values.append(blocks.list_values(batch, "values", i, np.float32))
+                rows += part.size
+        if rows:
+            yield emit()
+
+    return packed.select("block_id", "ids", "values").mapInArrow(run, VECTOR_BLOCK)
 
 
 def dense_top_k(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | PackedVectors,
     k: int,
     *,
     query_id: str = "query_id",
@@ -82,9 +130,9 @@ def dense_top_k(
 ) -> DataFrame:
     """The k nearest corpus rows of every query row by cosine, exactly.
 
-    Both sides are ``(id, embedding)`` with unit vectors. Returns ``query_id, bug_id,
-    dense_score, raw_rank``; a corpus smaller than k gives what it has. Ties go to
-    the smaller id.
+    Both sides are ``(id, embedding)`` with unit vectors; the corpus may be packed
+    already. Returns ``query_id, bug_id, dense_score, raw_rank``; a corpus smaller than
+    k gives what it has. Ties go to the smaller id.
     """
 
     def score(batch: pa.RecordBatch, i: int):
@@ -96,11 +144,15 @@ def dense_top_k(
 
     k = top_k(k)
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    if isinstance(corpus, PackedVectors):
+        items, item_blocks = corpus.blocks, corpus.n_blocks
+    else:
+        items, item_blocks = pack_vectors(corpus, item_id, block_rows), math.ceil(corpus.count() / block_rows)
     pairs = blocks.meet(
         pack_vectors(queries, query_id, block_rows),
-        pack_vectors(corpus, item_id, block_rows),
+        items,
         math.ceil(size.n / block_rows),
-        max(1, math.ceil(corpus.count() / block_rows)),
+        max(1, item_blocks),
         size.n * (8 + 4 * (size.dim or 0)),
     )
     return blocks.merge_top_k(blocks.score_blocks(pairs, score, k), k, "raw_rank").select(
@@ -119,7 +171,7 @@ def without_self(found: DataFrame, k: int) -> DataFrame:
 
 
 def dense_neighbours(
-    queries: DataFrame, corpus: DataFrame, k: int, *, exclude: str = "after", query_id: str = "query_id", block_rows: int = 2048
+    queries: DataFrame, corpus: DataFrame | PackedVectors, k: int, *, exclude: str = "after", query_id: str = "query_id", block_rows: int = 2048
 ) -> DataFrame:
     """Nearest rows other than the query itself.
 

@@ -30,9 +30,9 @@ class RecommendConfig:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What recommending needs from history: unit vectors, a BM25 index, links."""
+    """What recommending needs from history: unit vectors (as rows or packed), a BM25 index, links."""
 
-    vectors: DataFrame
+    vectors: DataFrame | dense.PackedVectors
     index: bm25.Bm25Index | None
     links: DataFrame
 

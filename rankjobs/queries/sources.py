@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from rankjobs.operators import embed
+from rankjobs.operators import dense, embed
 from rankjobs.plans import recommend as rec
 from rankjobs.queries import model as m
 from rankjobs.queries import retrieval
 from rankjobs.queries.ranking import _POSITION, recommend_ctes
 from rankjobs.sources import artifacts, items, schemas, tables
+from rankjobs.sources.artifacts import stage
+from rankjobs.streaming.growing import GrowingHistory, growing_stream
 from rankjobs.streaming.new_items import recommend_stream
 
 
@@ -163,6 +166,7 @@ def vector_refresh_counts(spark, sf):
 def stream_recommend(spark, sf):
     """Conversation turns arrive as new items; the sink equals the batch result."""
     _, corpus = m.history(spark, sf)
+    corpus = replace(corpus, vectors=dense.packed_corpus(corpus.vectors))
     schema = m.table(spark, sf, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
     queries = rec.query_rows(
@@ -174,6 +178,61 @@ def stream_recommend(spark, sf):
     return found.withColumns({c: F.round(c, 9) for c in ("similarity_sum", "rank_bonus")})
 
 
+# turns that arrive together: the first ones, the second ones, all later ones
+_WAVES = 3
+
+
+def stream_growing(spark, sf):
+    """Conversation turns arrive in waves; each wave is asked against the linked bugs and all earlier waves."""
+    folder = _folder(spark, "growing")
+    meta = stage(rec.bug_metadata(m.linked_bugs(spark, sf, m.vote_links(spark, sf))), "metadata")
+    vectorize = lambda items: embed.token_hash_vectors(items, "bug_id", "bug_text", dim=m.VECTOR_DIM)
+    history = GrowingHistory(spark, f"{folder}/history", vectorize, max_segments=2)
+    history.add(0, meta.select("bug_id", F.col("bug_text_enriched").alias("bug_text")))
+    # ids below zero, which no document has
+    turns = m.table(spark, sf, "conversations").withColumn("turn_id", -(F.col("conv_id") * 100000 + F.col("turn")) - 1)
+    queries = rec.query_rows(turns, "turn_id", "text").withColumn("wave", F.least((-F.col("query_id") - 1) % 100000, F.lit(_WAVES - 1)))
+    for wave in range(_WAVES):  # one file after the other, since a stream reads the oldest first
+        rows = queries.filter(F.col("wave") == wave).drop("wave")
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("query_id bigint, query_text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    growing_stream(stream, history, m.vectorize_queries, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.withColumns({c: F.round(c, 9) for c in ("dense_score", "hybrid_score")}).withColumn("batch", F.col("batch").cast("bigint"))
+
+
+def _growing_sql() -> str:
+    """Each wave against a corpus of its own, with statistics of its own."""
+    wave_of = f"least((-id - 1) % 100000, {_WAVES - 1})"
+    ctes = {
+        **retrieval.LINKED_SQL,
+        "turns": f"SELECT -id - 1 AS id, text FROM ({_TURNS})",
+        "prefixed": f"SELECT id, 'query: ' || {m.sql_strip('text')} AS text FROM turns",
+        **m.sql_hash_vectors("qv", "prefixed"),
+        **m.sql_hash_vectors("tv", "turns"),
+    }
+    parts = []
+    for wave in range(_WAVES):
+        own, earlier = f"{wave_of} = {wave}", f"{wave_of} < {wave}"
+        x = f"w{wave}"
+        ctes |= {
+            f"{x}_q": f"SELECT * FROM turns WHERE {own}",
+            f"{x}_qv": f"SELECT * FROM qv WHERE {own}",
+            f"{x}_c": f"SELECT id, text FROM corpus UNION ALL SELECT id, text FROM turns WHERE {earlier}",
+            f"{x}_cv": f"SELECT id, v FROM cv UNION ALL SELECT id, v FROM tv WHERE {earlier}",
+            **m.sql_bm25_stats(f"{x}_s", f"{x}_c"),
+            **m.sql_dense(f"{x}_near", f"{x}_qv", f"{x}_cv", 50),
+            f"{x}_others": f"SELECT *, raw_rank AS dense_rank FROM {x}_near",
+            **m.sql_bm25(f"{x}_words", f"{x}_s", f"{x}_q", 50, False),
+            **m.sql_rrf(f"{x}_fused", f"{x}_others", f"{x}_words", 50),
+        }
+        parts.append(
+            f"""SELECT {wave}::BIGINT AS batch, query_id, bug_id, round(dense_score, 9) AS dense_score, dense_rank, bm25_score, bm25_rank,
+            round(hybrid_score, 9) AS hybrid_score, hybrid_rank FROM {x}_fused"""
+        )
+    return m.with_ctes(("metadata",), ctes, " UNION ALL ".join(parts))
+
+
 _TURNS = f"""SELECT conv_id * 100000 + turn AS id, {m.sql_enriched('text', chr(39) * 2, chr(39) * 2, chr(39) * 2)} AS text FROM conversations"""
 
 QUERIES = {
@@ -223,6 +282,7 @@ QUERIES = {
         SELECT (SELECT count(*) FROM (FROM rows EXCEPT FROM older)) AS built, (SELECT count(*) FROM (FROM rows INTERSECT FROM older)) AS kept,
         (SELECT count(*) FROM (FROM older EXCEPT FROM rows)) AS removed""",
     ),
+    "stream_growing": (stream_growing, _growing_sql()),
     "stream_recommend": (
         stream_recommend,
         m.with_ctes(
