@@ -19,7 +19,7 @@ def learning_sample(
     Which ones is decided by a hash of the id, so it does not depend on partitions. The
     bound is what makes it right to broadcast the ids and to collect the result. An id
     with several labels counts as 1 where most of them are. Ids that repeat in ``docs``
-    bring one of their texts.
+    bring the text of the smallest hash.
     """
     voted = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -30,4 +30,5 @@ def learning_sample(
     picked = [voted.filter(F.col("label") == v).orderBy(*order).limit(rows_per_class) for v in (0, 1)]
     picked = picked[0].unionAll(picked[1])
     texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("row"))
+    return found.select("doc_id", "row.text", "row.label")

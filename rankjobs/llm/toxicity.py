@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from rankjobs.llm.labels import learning_sample
 
 ROWS_PER_CLASS = 1500
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 GRAMS = (3, 5)
 GRAM_ROWS = WORD_ROWS = 1 << 14
 CHARACTER, WORD, HIDDEN, ATTENTION = 10, 6, 8, 8

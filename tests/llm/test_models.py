@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -73,6 +74,65 @@ def test_repeated_words_of_any_length_count(spark):
     assert np.allclose([got[i] for i in range(len(texts))], want)
 
 
+def plain_toxicity(model, text):
+    """The score of one text by definition: a word, a step and a window at a time, in plain numbers."""
+    p, h = {k: v.astype(np.float64) for k, v in model.parameters.items()}, toxicity.HIDDEN
+    words = re.findall(r"\w+", (text or "").lower())
+
+    def row(points, n):
+        total, power = 0, 1
+        for point in points:
+            power = power * 0x9E3779B97F4A7C15 % 2**64
+            total = (total + point * power) % 2**64
+        x = (total + n) % 2**64
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return (x ^ (x >> 31)) % toxicity.GRAM_ROWS
+
+    def vector(word):
+        points = [ord(c) for c in f"<{word}>"]
+        grams = [p["grams"][row(points[i : i + n], n)] for n in toxicity.GRAMS for i in range(len(points) - n + 1)]
+        return np.concatenate([np.mean(grams, axis=0), p["words"][row(points, 0)]])
+
+    def one_way(inputs, way):
+        state, out = np.zeros(h), []
+        for x in inputs:
+            gate, old = x @ p[f"{way}_in"] + p[f"{way}_bias"], state @ p[f"{way}_state"]
+            z, r = (1 / (1 + np.exp(-(gate + old)[k * h : (k + 1) * h])) for k in (0, 1))
+            state = (1 - z) * np.tanh(gate[2 * h :] + r * old[2 * h :]) + z * state
+            out.append(state)
+        return out
+
+    logits, start = [], 0
+    while words:
+        inputs = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        states = [np.concatenate(s) for s in zip(one_way(inputs, "f"), one_way(inputs[::-1], "b")[::-1])]
+        energy = np.exp([np.tanh(s @ p["attend"] + p["attend_bias"]) @ p["attend_out"] for s in states])
+        pooled = sum(e * s for e, s in zip(energy / energy.sum(), states))
+        logits.append(float(pooled @ p["out"] + p["out_bias"][0]))
+        if start + toxicity.WINDOW >= len(words):
+            break
+        start += toxicity.STRIDE
+    x = [max(logits), np.log1p(sum(1 / (1 + np.exp(-v)) for v in logits)), np.log1p(len(logits))] if logits else [0, 0, 0]
+    return 1 / (1 + np.exp(-(np.dot(x, model.weights) + model.intercept)))
+
+
+def test_toxicity_equals_a_plain_scoring(spark, docs_of):
+    model = toxicity.Detector(toxicity.new_parameters(), np.array([0.9, 0.4, -0.3]), -0.2)
+    texts = [sentence(n, n) for n in (1, 7, 23, 24, 25, 32, 33, 90, 400)] + ["", None, "é 漢字 a_b 12 !", "word " * 50, "x" * 5000]
+    docs = docs_of([(i, t, "a") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [plain_toxicity(model, t) for t in texts], atol=1e-4)
+    assert len(set(np.round(list(got.values()), 3))) > 5
+
+
+def test_a_repeated_id_always_teaches_the_same_text(spark, docs_of):
+    rows = [(i, f"text {i} {k}", "a") for i in range(30) for k in range(4)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    samples = [sorted(map(tuple, labels.learning_sample(docs_of(r), marks, "toxic", 50).collect())) for r in (rows, rows[::-1])]
+    assert samples[0] == samples[1] and len(samples[0]) == sum(not held(i) for i in range(30))
+
+
 def test_lasso_drops_what_says_nothing():
     r = np.random.default_rng(0)
     x = (r.random((2000, 30)) < 0.5).astype(float)
