@@ -167,3 +167,20 @@ def test_a_refresh_that_was_cut_short_does_not_count(spark, tmp_path):
     (version / "_SUCCESS").unlink()
     found = artifacts.refreshed_artifact(spark.range(5), "id", {}, str(tmp_path / "a"), build)
     assert (found.built, found.rows.count()) == (5, 5)
+
+
+def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    from rankjobs.queries import sources
+
+    bug = [(1, "red door\nstuck", "en", "web")]
+    spark.createDataFrame(bug, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = "o_orderkey bigint, o_orderpriority string, o_orderstatus string, o_orderdate date"
+    spark.createDataFrame([(1, "1-URGENT", "O", None)], order).write.parquet(f"{tmp_path}/orders.parquet")
+    part = "p_partkey bigint, p_name string, p_brand string, p_type string"
+    spark.createDataFrame([(5, "door", "b", "t")], part).write.parquet(f"{tmp_path}/part.parquet")
+    line = "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_returnflag string"
+    spark.createDataFrame([(1, 5, 1, "N")], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    turns = spark.createDataFrame([(7, 0, "red door"), (7, 1, "stuck")], "conv_id bigint, turn int, text string")
+    turns.repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = sources.stream_recommend(spark, str(tmp_path)).collect()
+    assert sorted(r.query_id for r in found) == [700000, 700001]
