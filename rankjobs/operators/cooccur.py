@@ -1,11 +1,15 @@
 """Which test cases share bugs: for each the k others with the most bugs in common, exactly.
 
-A join of the links with themselves makes a row for every pair of links of a bug, so a bug
-with a third of all links makes nearly all of them by itself. Here the link matrix (test
+A bug of few links gives its pairs of test cases as rows, which are added up before they are
+shuffled: rows in proportion to the links. A join of all links with themselves would let a bug
+with a third of all links make nearly all pairs by itself. So the links of bugs with more links than
+``LEAST_WIDE`` and than twice the blocks are not paired. Their link matrix (test
 cases by bugs) is cut into cells of test-case blocks and bug shards. A task takes two blocks, adds the
-products of their cells shard by shard into one small matrix of counts, and keeps the
+products of their cells shard by shard into one small matrix of counts, to which the counted pairs
+of the other bugs come, and keeps the
 best k of each test case. A hot bug lies in one shard but in all blocks, a hot test case
-in one block but in all shards, so neither is ever whole in one place. Pairs are no rows.
+in one block but in all shards, so neither is ever whole in one place. A link is copied to as many
+rows as it would make pairs, or twice the blocks, whichever is less.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ from rankjobs.sources.artifacts import stage
 BLOCK_CASES = 2048
 # Links that a cell of a block and a shard holds on average.
 CELL_LINKS = 1 << 18
+# Bugs of at most this many links are paired by rows.
+LEAST_WIDE = 64
+# The place of counted pairs before the first shard.
+COUNTED = -1
 # Pairs of links that are expanded at once inside a task.
 AT_ONCE = 1 << 20
 
@@ -61,12 +69,15 @@ def _count(k: int, block_cases: int):
             own = names[side]
             return np.fromiter((own.setdefault(c, len(own)) for c in cases.tolist()), np.int64, len(cases))
 
-        def end_shard() -> None:
+        def fit() -> None:
             nonlocal counts
             most = max(len(names[0]), len(names[1]))
             if most > len(counts):
                 # hashes fill blocks unevenly
                 counts = np.pad(counts, (0, 2 * most - len(counts)))
+
+        def end_shard() -> None:
+            fit()
             if held[0] and held[1]:
                 sides = []
                 for side in held:
@@ -104,6 +115,12 @@ def _count(k: int, block_cases: int):
                     end_shard()
                 shard, side = keys[2, start], int(keys[3, start])
                 bugs, cases = (batch.column(c).slice(start, end - start).to_numpy() for c in ("bug_id", "testcase_id"))
+                if shard == COUNTED:
+                    others, n = (batch.column(c).slice(start, end - start).to_numpy() for c in ("other_id", "n"))
+                    at = places(0, cases), places(1, others)
+                    fit()
+                    np.add.at(counts, at, n.astype(counts.dtype))
+                    continue
                 held[side].append((bugs, places(side, cases)))
         if pair is not None:
             yield from end_pair()
@@ -111,7 +128,9 @@ def _count(k: int, block_cases: int):
     return run
 
 
-def co_occurrence(links: DataFrame, k: int = 10, *, block_cases: int = BLOCK_CASES, cell_links: int = CELL_LINKS) -> DataFrame:
+def co_occurrence(
+    links: DataFrame, k: int = 10, *, block_cases: int = BLOCK_CASES, cell_links: int = CELL_LINKS, least_wide: int = LEAST_WIDE
+) -> DataFrame:
     """``testcase_id, other_testcase_id, bugs, rank``: per test case the k others that share most bugs, ties to smaller ids.
 
     Repeated links count once; links with a missing end count nowhere; a test case
@@ -119,26 +138,61 @@ def co_occurrence(links: DataFrame, k: int = 10, *, block_cases: int = BLOCK_CAS
     """
     k = top_k(k)
     pairs = stage(links.select("bug_id", "testcase_id").filter("bug_id is not null and testcase_id is not null").distinct(), "link-pairs")
-    n_links = pairs.count()
     n_cases = pairs.select("testcase_id").distinct().count()
-    n_blocks = max(1, math.ceil(n_cases / (block_cases * 0.9)))
+    most = max(least_wide, 2 * math.ceil(n_cases / (block_cases * 0.9)))
+    wide_bugs = stage(pairs.groupBy("bug_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "wide-bugs")
+    n_links = wide_bugs.agg(F.sum("n")).first()[0] or 0
+    narrow = pairs.join(wide_bugs, "bug_id", "left_anti") if n_links else pairs
+    # at most ``most`` of a bug, so that these lists are short
+    own = narrow.groupBy("bug_id").agg(F.collect_list("testcase_id").alias("cases"))
+    met = own.select("cases", F.explode("cases").alias("a")).select("a", F.explode("cases").alias("b")).filter("a < b")
+    once = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    def pair(one: str, other: str):
+        return F.struct(F.col(one).alias("testcase_id"), F.col(other).alias("other_id"))
+
+    both_ways = F.explode(F.array(pair("a", "b"), pair("b", "a")))
+    counted = once.select(both_ways.alias("p"), "n").select("p.testcase_id", "p.other_id", "n")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+        return (
+            found.withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= k)
+            .select(
+                F.col("query_id").alias("testcase_id"), F.col("item_id").alias("other_testcase_id"), F.col("score").cast("bigint").alias("bugs"), "rank"
+            )
+        )
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("testcase_id").alias("query_id"), F.col("other_id").alias("item_id"), F.col("n").cast("double").alias("score"))
+
+    if not n_links:
+        return best(scored(counted))
+    pairs = stage(pairs.join(wide_bugs, "bug_id", "left_semi"), "wide-links")
+    wide = stage(pairs.select("testcase_id").distinct().withColumn("wide", F.lit(True)), "wide-cases")
+    n_blocks = max(1, math.ceil(wide.count() / (block_cases * 0.9)))
     n_shards = max(1, math.ceil(n_links / n_blocks / cell_links))
+    counted = counted.join(wide, "testcase_id", "left").join(
+        wide.select(F.col("testcase_id").alias("other_id"), F.col("wide").alias("other_wide")), "other_id", "left"
+    )
+    in_cells = F.coalesce(F.col("wide") & F.col("other_wide"), F.lit(False))
+    counted = stage(counted.select("testcase_id", "other_id", "n", in_cells.alias("in_cells")), "counted-pairs")
 
     def dealt(column: str, n: int):
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     cells = pairs.select("bug_id", "testcase_id", dealt("testcase_id", n_blocks).alias("block"), dealt("bug_id", n_shards).alias("shard"))
-    rows = cells.select(F.col("block").alias("row"), every.alias("col"), "shard", F.lit(0).alias("side"), "bug_id", "testcase_id")
-    cols = cells.select(every.alias("row"), F.col("block").alias("col"), "shard", F.lit(1).alias("side"), "bug_id", "testcase_id")
+    no_pair = [F.lit(0).cast("bigint").alias("other_id"), F.lit(0).cast("bigint").alias("n")]
+    rows = cells.select(F.col("block").alias("row"), every.alias("col"), "shard", F.lit(0).alias("side"), "bug_id", "testcase_id", *no_pair)
+    cols = cells.select(every.alias("row"), F.col("block").alias("col"), "shard", F.lit(1).alias("side"), "bug_id", "testcase_id", *no_pair)
+    known = counted.filter("in_cells").select(
+        dealt("testcase_id", n_blocks).alias("row"), dealt("other_id", n_blocks).alias("col"), F.lit(COUNTED).alias("shard"),
+        F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("bug_id"), "testcase_id", "other_id", "n",
+    )
     keys = ["row", "col", "shard", "side"]
-    met = rows.unionByName(cols.select(*rows.columns)).repartition(min(n_blocks * n_blocks, blocks.MAX_PARTITIONS), "row", "col")
+    met = rows.unionByName(cols.select(*rows.columns)).unionByName(known)
+    met = met.repartition(min(n_blocks * n_blocks, blocks.MAX_PARTITIONS), "row", "col")
     found = met.sortWithinPartitions(*keys).mapInArrow(_count(k, block_cases), blocks.RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(
-            F.col("query_id").alias("testcase_id"), F.col("item_id").alias("other_testcase_id"), F.col("score").cast("bigint").alias("bugs"), "rank"
-        )
-    )
+    return best(found.unionByName(scored(counted.filter("not in_cells"))))
