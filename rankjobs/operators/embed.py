@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from rankjobs.functions import text as tx
 from rankjobs.functions.numeric import l2_normalize
 
+# Texts whose tokens are counted at once inside a task.
+TEXTS_AT_ONCE = 1024
+
 # texts -> matrix with one row per text
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -63,7 +66,7 @@ def token_hash_vectors(
     text = tx.query_text(text_column) if as_query else F.col(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, TEXTS_AT_ONCE) for b in batches for start in range(0, len(b), TEXTS_AT_ONCE)):
             lists = batch.column("tokens")
             coded = lists.flatten().dictionary_encode()
             buckets = np.array(
