@@ -6,10 +6,9 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # Unicode classes, spelt out because Java's short classes are ASCII-only and
@@ -43,9 +42,14 @@ def is_blank(value: Column | str) -> Column:
     return F.coalesce(strip(value), F.lit("")) == ""
 
 
-@pandas_udf(StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+@F.arrow_udf(StringType())
+def _unescape(values: pa.Array) -> pa.Array:
+    # a few texts at a time, so that a batch is not held as Python strings as well
+    parts = [
+        pa.array([None if v is None else html.unescape(v) for v in values.slice(start, 256).to_pylist()], pa.string())
+        for start in range(0, max(1, len(values)), 256)
+    ]
+    return pa.concat_arrays(parts)
 
 
 def unescape_entities(value: Column | str) -> Column:
