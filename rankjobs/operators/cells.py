@@ -33,7 +33,7 @@ BLOCK_ROWS = 512
 # Cosines and angles of float vectors are off by less than this.
 MARGIN = 1e-6
 
-BLOCK = "block_id bigint, cell int, ids array<bigint>, values array<float>, centre array<double>, radius double"
+BLOCK = "block_id bigint, cell int, ids array<bigint>, values binary, centre array<double>, radius double"
 FLOORS = "block_id bigint, floors array<double>"
 
 
@@ -68,11 +68,11 @@ def pack_cells(vectors: DataFrame, id_column: str, centres: np.ndarray, rows: in
         size = np.linalg.norm(centre)
         centre = centre / size if size > 1e-9 else centres[cell]
         radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
-        lists = [pa.array(ids), pa.array(x.ravel().astype(np.float32)), pa.array(centre)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+        id_list, middle = (pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in (ids, centre))
         block_id = (TaskContext.get().partitionId() << 32) + number
+        values = pa.array([x.astype(np.float32).tobytes()], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array([block_id], pa.int64()), pa.array([cell], pa.int32()), *lists, pa.array([radius])],
+            [pa.array([block_id], pa.int64()), pa.array([cell], pa.int32()), id_list, values, middle, pa.array([radius])],
             names=["block_id", "cell", "ids", "values", "centre", "radius"],
         )
 
@@ -112,7 +112,7 @@ def bounds(q: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
 
 def _row(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
     ids = blocks.list_values(batch, f"{prefix}ids", i, np.int64)
-    return ids, blocks.list_values(batch, f"{prefix}values", i, np.float64).reshape(ids.size, -1)
+    return ids, blocks.packed_values(batch, f"{prefix}values", i, np.float32, np.float32).reshape(ids.size, -1)
 
 
 def _floors(k: int):
@@ -123,7 +123,7 @@ def _floors(k: int):
             ids, floors = [], []
             for i in range(len(batch)):
                 (_, q), (_, c) = _row(batch, i, "q_"), _row(batch, i, "c_")
-                scores = np.round(q @ c.T, blocks.SCORE_DECIMALS)
+                scores = np.round(q.astype(np.float64) @ c.astype(np.float64).T, blocks.SCORE_DECIMALS)
                 best = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
                 ids.append(batch.column("q_block_id")[i].as_py())
                 floors.append(best.tolist())
@@ -134,13 +134,12 @@ def _floors(k: int):
 
 def _search(k: int, report: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
+        best: dict[int, blocks.BestLists] = {}
         cell, met, done = None, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for ids, _, rows, items, values in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(items), pa.array(values)], schema=blocks.RESULT_ARROW)
-            best.clear()
+            while best:
+                yield best.popitem()[1].batch()
 
         for batch in batches:
             cells = zip(batch.column("grid_column").to_pylist(), batch.column("grid_row").to_pylist())
@@ -153,24 +152,17 @@ def _search(k: int, report: bool):
                     cell = here
                 ids, q = _row(batch, i, "q_")
                 if numbers[i] not in best:
+                    state = best[numbers[i]] = blocks.BestLists(ids, k)
                     known = batch.column("q_floors")[i].values
-                    floors = np.full(ids.size, -np.inf) if known is None else known.to_numpy(zero_copy_only=False).copy()
-                    empty = np.empty(0, dtype=np.int64)
-                    best[numbers[i]] = [ids, floors, empty, empty, np.empty(0)]
+                    if known is not None:
+                        # the rows behind them come again, so an equal score counts whatever its id
+                        state.floors[:] = known.to_numpy(zero_copy_only=False)
                 state = best[numbers[i]]
-                may = np.flatnonzero(bounds(q, blocks.list_values(batch, "c_centre", i, np.float64), radii[i]) >= state[1])
+                may = np.flatnonzero(bounds(q, blocks.list_values(batch, "c_centre", i, np.float64), radii[i]) >= state.floors)
                 met, done = met + ids.size, done + may.size
-                if not may.size:
-                    continue
-                items, c = _row(batch, i, "c_")
-                scores = np.round(q[may] @ c.T, blocks.SCORE_DECIMALS)
-                rows, found, values = blocks.best_rows(scores, items, k)
-                rows, found, values = blocks.cut_rows(np.r_[state[2], may[rows]], np.r_[state[3], found], np.r_[state[4], values], k)
-                state[2:] = [rows, found, values]
-                # the k-th best of the queries that have k
-                ends = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) if rows.size else np.empty(0, dtype=np.int64)
-                full = ends[np.bincount(rows, minlength=ids.size)[rows[ends]] == k]
-                state[1][rows[full]] = np.maximum(state[1][rows[full]], values[full])
+                if may.size:
+                    items, c = _row(batch, i, "c_")
+                    state.meet(items, blocks.Products(q if may.size == ids.size else q[may], c), blocks.SCORE_DECIMALS, may)
         if report:
             yield pa.RecordBatch.from_arrays([pa.array([met], pa.int64()), pa.array([done], pa.int64())], names=["met", "done"])
         else:
