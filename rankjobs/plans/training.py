@@ -5,6 +5,7 @@ The specification plans these; its code does not have them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -23,8 +24,9 @@ from rankjobs.sources.artifacts import stage
 FEATURES = ("area_match", "priority_match", "tag_overlap", "recency")
 PATH_FEATURES = ("area_depth", *FEATURES)
 
-# The most rows per class that a ranker is fit on. Scoring covers all pairs.
-FIT_ROWS = 200_000
+# Spark looks for a tree's thresholds in the square of its bins of rows, or in so many, and takes a sample of more.
+MAX_BINS = 32
+THRESHOLD_ROWS = 10_000
 
 
 def training_pairs(links: DataFrame, bugs: DataFrame, testcases: DataFrame) -> DataFrame:
@@ -99,42 +101,52 @@ def pair_features(
     )
 
 
-def _fit_sample(positives: DataFrame, negatives: DataFrame, features: Sequence[str], fit_rows: int) -> DataFrame:
-    """At most ``fit_rows`` rows of each kind, picked by a hash of the ids, with ``label`` and assembled ``_features``."""
+def _fit_pairs(positives: DataFrame, negatives: DataFrame, features: Sequence[str], fit_rows: int | None) -> DataFrame:
+    """The features of the pairs of both kinds with ``label``: of all pairs, or of ``fit_rows`` of each kind where a caller asks for so few."""
 
-    def some(rows: DataFrame, label: float) -> DataFrame:
-        order = [F.xxhash64("bug_id", "testcase_id"), F.col("bug_id"), F.col("testcase_id")]
-        return rows.orderBy(*order).limit(fit_rows).select(*features).withColumn("label", F.lit(label))
+    def kind(rows: DataFrame, label: float) -> DataFrame:
+        if fit_rows is not None:
+            order = [F.xxhash64("bug_id", "testcase_id"), F.col("bug_id"), F.col("testcase_id")]
+            rows = rows.orderBy(*order).limit(fit_rows)
+        return rows.select(*features).withColumn("label", F.lit(label))
 
-    rows = some(positives, 1.0).unionByName(some(negatives, 0.0))
-    return VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+    return kind(positives, 1.0).unionByName(kind(negatives, 0.0))
 
 
 def fit_ranker(
-    positives: DataFrame, negatives: DataFrame, features: Sequence[str] = FEATURES, fit_rows: int = FIT_ROWS
+    positives: DataFrame, negatives: DataFrame, features: Sequence[str] = FEATURES, fit_rows: int | None = None
 ) -> LogisticRegressionModel:
-    """A logistic model of pairs with features, fit on a bounded sample."""
-    return LogisticRegression(featuresCol="_features", regParam=1e-3).fit(_fit_sample(positives, negatives, features, fit_rows))
+    """A logistic model of pairs with features, fit on all of them."""
+    rows = _fit_pairs(positives, negatives, features, fit_rows)
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+    return LogisticRegression(featuresCol="_features", regParam=1e-3).fit(assembled)
 
 
 def fit_tree_ranker(
     positives: DataFrame,
     negatives: DataFrame,
     features: Sequence[str] = FEATURES,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
     trees: int = 20,
     depth: int = 3,
 ) -> GBTRegressionModel | None:
-    """Boosted regression trees that tell linked pairs (1) from hard negatives (0), fit on a bounded sample.
+    """Boosted regression trees that tell linked pairs (1) from hard negatives (0), fit on all of them.
 
-    The sample is staged, since every tree reads it. None without a pair of each kind.
+    Pairs of equal features and kind are counted first and come as one row with that weight, which
+    gives the same trees; these rows are staged, since every tree reads them. There are as many bins as
+    it takes for Spark to look for thresholds in all rows. None without a pair of each kind.
     """
-    sample = _fit_sample(positives, negatives, features, fit_rows)
-    rows = stage(sample.select(*features, "label"), "ranker-sample")
+    pairs = _fit_pairs(positives, negatives, features, fit_rows)
+    counted = pairs.groupBy(*features, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = stage(counted, "ranker-rows")
     if rows.select("label").distinct().count() < 2:
         return None
+    n = rows.count()
+    bins = MAX_BINS if n <= THRESHOLD_ROWS else max(MAX_BINS, math.isqrt(n) + 1)
     assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
-    return GBTRegressor(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(assembled)
+    return GBTRegressor(
+        featuresCol="_features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.2, seed=7
+    ).fit(assembled)
 
 
 def scored_pairs(

@@ -40,6 +40,42 @@ def test_tree_ranker_against_slow_ranking(spark):
     assert sum(right) > 0.9 * len(right)
 
 
+def test_tree_ranker_learns_from_all_pairs(spark):
+    order = ["bug_id", "testcase_id"]
+    plain = F.lit(0.0)
+    base = spark.range(230_000).select(F.col("id").alias("bug_id"), (F.col("id") + 7).alias("testcase_id"))
+    last = base.orderBy(F.xxhash64(*order), *order).offset(200_000).withColumn("late", F.lit(1.0))
+    linked = base.join(last, order, "left").select(
+        *order, plain.alias("area_match"), plain.alias("priority_match"), F.coalesce("late", plain).alias("tag_overlap"),
+        (F.col("bug_id") / 230_000).alias("recency"),
+    )
+    # of pairs with equal tags many are linked, which only those after the first 200,000 show
+    others = spark.range(300).select(
+        F.col("id").alias("bug_id"), F.col("id").alias("testcase_id"), plain.alias("area_match"), plain.alias("priority_match"),
+        F.lit(1.0).alias("tag_overlap"), (F.col("id") / 300).alias("recency"),
+    )
+    model = training.fit_tree_ranker(linked, others, trees=3)
+    assert model.getMaxBins() ** 2 >= 230_000
+    scored = training.scored_pairs(linked.filter("tag_overlap = 1").limit(500), model)
+    assert scored.agg(F.min("ranker_score")).first()[0] > 0.5
+
+
+def test_equal_pairs_count_as_often_as_they_come(spark):
+    rows = [(b, t, int(b % 3 == t % 3), int(b % 2 == t % 2), float(b % 4) / 4, 0.5) for b in range(40) for t in range(40)]
+    pairs = spark.createDataFrame(rows, ["bug_id", "testcase_id", *training.FEATURES])
+    linked = "area_match = 1 AND (tag_overlap > 0.3 OR bug_id < 9)"
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    model = training.fit_tree_ranker(pairs.filter(linked), pairs.filter(f"NOT ({linked})"), trees=5)
+    one_by_one = pairs.withColumn("label", F.expr(f"double({linked})"))
+    assembled = VectorAssembler(inputCols=list(training.FEATURES), outputCol="f").transform(one_by_one)
+    plain = GBTRegressor(featuresCol="f", labelCol="label", maxIter=5, maxDepth=3, stepSize=0.2, seed=7).fit(assembled)
+    other = {(r["bug_id"], r["testcase_id"]): min(1.0, max(0.0, r["prediction"])) for r in plain.transform(assembled).collect()}
+    got = training.scored_pairs(pairs, model).collect()
+    assert len(got) == 1600 and all(abs(r["ranker_score"] - other[r["bug_id"], r["testcase_id"]]) < 1e-9 for r in got)
+
+
 def test_ranker_without_one_kind_scores_all_alike(spark):
     rows = [(1, t, 0, 1, 0.1 * t, 0.5, 0.2 * t) for t in range(4)]
     pairs = spark.createDataFrame(rows, ["bug_id", "testcase_id", *training.FEATURES, "retrieval"])
