@@ -45,6 +45,7 @@ THRESHOLD = 0.5
 SLICE_CHARS = 4 << 20
 WORDS_AT_ONCE = 20_000
 WINDOWS_AT_ONCE = 1024
+SCORE_DECIMALS = 6
 
 TOKEN = re.compile(r"\w+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -311,7 +312,8 @@ class Detector:
             return np.full(len(texts), sigmoid(self.intercept))
         read = read_texts(texts)
         x = pooled_features(window_logits(self.parameters, read), read.owner, read.n)
-        return sigmoid(np.clip(x @ self.weights + self.intercept, -30, 30))
+        # later decimals of float32 products depend on what is multiplied along, and equal texts score alike
+        return np.round(sigmoid(np.clip(x @ self.weights + self.intercept, -30, 30)), SCORE_DECIMALS)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
